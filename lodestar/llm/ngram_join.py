@@ -244,34 +244,52 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: in
     return rows.repartition(width(pairs.sparkSession), "at").sortWithinPartitions("at", "role").mapInArrow(run, "a long, b long")
 
 
-def across(members: DataFrame) -> DataFrame:
-    """Pairs of bucket members that are in different components, and of sizes that allow a link: (a, b), each once.
+def sketches(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """For each set, how many features hash to each of 256 cells, up to 255. The sum of absolute differences of two
+    sketches is never more than the number of features in which their sets differ."""
+    n = len(bounds) - 1
+    cell = (mix(sets ^ U(0x3C6EF372FE94F82B)) >> U(56)).astype(np.int64) + 256 * np.repeat(np.arange(n), np.diff(bounds))
+    counts = np.minimum(np.bincount(cell, minlength=256 * n), 255).astype(np.uint8)
+    return [counts[256 * i : 256 * i + 256].tobytes() for i in range(n)]
 
-    members: (bucket, member, root, n). Buckets of one component have none. A bucket's members stream in order of
-    size, and each meets only those before it that are large enough and of another component.
+
+def across(members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b), a < b, of bucket members that are in different components and may be similar, each once.
+
+    members: (bucket, member, root, n, sketch). Buckets of one component have none. A bucket's members stream in order
+    of size; each meets those before it that are large enough and of another component, and a pair goes on only if
+    sizes and sketches don't rule out the similarity. Members too small for any later one are let go.
     """
     mixed = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
-    rows = members.join(mixed, "bucket").select("bucket", "n", "member", "root")
+    rows = members.join(mixed, "bucket").select("bucket", "n", "member", "root", "sketch")
 
     def run(source) -> Iterator[pa.RecordBatch]:
-        now, n_of, key_of, root_of = None, [], [], []
+        now, used, start = None, 0, 0
+        n_of, key_of, root_of, table = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 256), np.int16)
         for batch in source:
             a, b = [], []
-            for bucket, n, member, root in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            columns = [np.asarray(batch.column(i)) for i in range(4)]
+            for bucket, n, member, root, sketch in zip(*columns, batch.column(4), strict=True):
                 if bucket != now:
-                    now, n_of, key_of, root_of = bucket, [], [], []
-                for x in range(len(n_of) - 1, -1, -1):
-                    if n_of[x] * 100 < PERCENT * n:
-                        break
-                    if root_of[x] != root:
-                        a.append(min(key_of[x], member))
-                        b.append(max(key_of[x], member))
-                n_of.append(n)
-                key_of.append(member)
-                root_of.append(root)
-                if len(a) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                    a, b = [], []
+                    now, used, start = bucket, 0, 0
+                if used == len(n_of):
+                    keep = slice(start, used)
+                    room = max(64, 2 * (used - start))
+                    n_of, key_of, root_of = (np.concatenate([x[keep], np.zeros(room, np.int64)]) for x in (n_of, key_of, root_of))
+                    table = np.concatenate([table[keep], np.zeros((room, 256), np.int16)])
+                    used, start = used - start, 0
+                own = np.frombuffer(sketch.as_buffer(), np.uint8).astype(np.int16)
+                while start < used and n_of[start] * 100 < percent * n:
+                    start += 1
+                other = start + np.flatnonzero(root_of[start:used] != root)
+                for lo in range(0, len(other), 4096):
+                    some = other[lo : lo + 4096]
+                    apart = np.abs(table[some] - own).sum(axis=1, dtype=np.int64)
+                    for x in key_of[some[apart * (100 + percent) <= (100 - percent) * (n_of[some] + n)]].tolist():
+                        a.append(min(x, int(member)))
+                        b.append(max(x, int(member)))
+                n_of[used], key_of[used], root_of[used], table[used] = n, member, root, own
+                used += 1
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
@@ -293,14 +311,15 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     # one text for each key that meets another; a doc_id that repeats with other texts is told apart by its own key
     ids = reps.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
     found = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id")
-    found = with_key(found, words).join(reps.select("set_key"), "set_key").groupBy("set_key").agg(F.max("text").alias("text"))
+    found = with_key(found, words).join(reps.select("set_key", "n"), "set_key").groupBy("set_key").agg(F.max("n").alias("n"), F.max("text").alias("text"), F.max("sketch").alias("sketch"))
     texts = cut(found)
     low = met.groupBy("bucket").agg(F.min("member").alias("a"))
     star = met.join(low, "bucket").where("member != a").groupBy("member").agg(F.min("a").alias("a")).select("a", F.col("member").alias("b"))
     links = cut(verified(star, texts, words, percent))
     roots = connected_components(links)
-    named = met.join(roots, met["member"] == roots["node"], "left").select("bucket", "member", F.coalesce("root", "member").alias("root")).join(reps.select(F.col("set_key").alias("member"), "n"), "member")
-    more = across(named).join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    named = met.join(roots, met["member"] == roots["node"], "left").select("bucket", "member", F.coalesce("root", "member").alias("root"))
+    named = named.join(texts.select(F.col("set_key").alias("member"), "n", "sketch"), "member")
+    more = across(named, percent).join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     links = cut(links.unionByName(verified(cut(more), texts, words, percent)))
     roots = connected_components(links)
     group = vertex.join(roots, vertex["set_key"] == roots["node"], "left").select("set_key", "rep", F.coalesce("root", "set_key").alias("root"))
@@ -310,12 +329,16 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def with_key(rows: DataFrame, words: int) -> DataFrame:
-    """(set_key, text) of rows of doc_id and text."""
+    """(set_key, text, sketch) of rows of doc_id and text."""
 
     def run(source) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            keys = [set_keys(*sets_of(data, off, words)) for _, _, data, off in chunks(batch.column(1))]
+            keys, sketch = [], []
+            for _, _, data, off in chunks(batch.column(1)):
+                sets, bounds = sets_of(data, off, words)
+                keys.append(set_keys(sets, bounds))
+                sketch += sketches(sets, bounds)
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), batch.column(1)], names=["set_key", "text"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), batch.column(1), pa.array(sketch, pa.binary())], names=["set_key", "text", "sketch"])
 
-    return rows.select("doc_id", "text").mapInArrow(run, "set_key long, text string")
+    return rows.select("doc_id", "text").mapInArrow(run, "set_key long, text string, sketch binary")
