@@ -24,7 +24,7 @@ SHARES = np.array([0.0, 0.004, 0.01, 0.02, 0.04, 0.08, 0.15, 0.3, 0.5, 0.8])
 LENGTHS = np.array([0, 8, 16, 32, 64, 128, 256, 512, 1024, 4096])
 WORD = np.array([1, 2, 3, 4, 5, 6, 8, 10, 14, 20])
 BINS = 11
-MEASURES = 12
+MEASURES = 13
 OUTSIDE = BINS - 1
 WIDTH = MEASURES * BINS * 3 + 1
 
@@ -82,9 +82,16 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if len(data):
         gap[1:] = space | (data == 10)
         gap[off[:-1]] = True
-    begin = np.zeros(len(data) + 1, np.int32)
-    np.cumsum(gap[:-1] & ~gap[1:], out=begin[1:])
-    words = np.maximum(begin[ends] - begin[starts], 1)
+    word = np.flatnonzero(gap[:-1] & ~gap[1:])
+    past = np.append(data, np.uint8(32))[np.minimum(word + 1, len(data))] if len(word) else word
+    length = np.diff(np.append(word, len(data)))
+    again = np.zeros(len(word) + 1, np.int32)
+    if len(word) > 1:  # alike to the word before, as far as length and two letters tell
+        same = (length[1:] == length[:-1]) & (data[word[1:]] == data[word[:-1]]) & (past[1:] == past[:-1])
+        np.cumsum(same, out=again[2:])
+    w0, w1 = np.searchsorted(word, starts), np.searchsorted(word, ends)
+    words = np.maximum(w1 - w0, 1)
+    bins[:, 12] = np.searchsorted(SHARES, np.maximum(again[w1] - again[np.minimum(w0 + 1, w1)], 0) / words, side="left").clip(0, BINS - 2)
     bins[:, 10] = np.searchsorted(WORD, size / words, side="left").clip(0, BINS - 2)
     bins[:, 11] = np.searchsorted(LENGTHS, size, side="left").clip(0, BINS - 2)
     own = bins + np.arange(MEASURES) * BINS
