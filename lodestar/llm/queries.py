@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, url_filter
+from . import decontaminate, mixing, url_filter
 from .ngram_join import ngram_components
 from .quality import quality
 from .toxicity import toxicity
@@ -31,6 +31,10 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
@@ -41,10 +45,12 @@ QUERIES = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_url_filter": op5_url_filter,
     "op6_source_mixing": op6_source_mixing,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_toxicity": op10_toxicity,
 }
 
 SQL: dict[str, str] = {
     "op5_url_filter": url_filter.SQL,
     "op6_source_mixing": mixing.SQL,
+    "op9_benchmark_decontamination": decontaminate.SQL,
 }
