@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .blobs import SCHEMA, batches, by_part, runs
 from .components import connected_components
 from .kernels import CHUNK_BYTES, U, chunks, lower_table, mix, shingle_sets, signed, space_table, span_hashes, word_spans
+from .prefilter import id_bitmap, maybe_in
 from .runtime import cut, width
 
 WORDS = 5
@@ -114,20 +115,21 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.n
 
 
 def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, set_key, n_shingles) of each row; set_key is null for a set without elements."""
+    """(doc_id, set_key, n_shingles, sketch) of each row; set_key and sketch are null for a set without elements."""
 
     def run(source) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            keys, sizes = [], []
+            keys, sizes, sketch = [], [], []
             for _, _, data, off in chunks(batch.column(1)):
                 sets, bounds = sets_of(data, off, words)
                 keys.append(set_keys(sets, bounds))
                 sizes.append(np.diff(bounds))
+                sketch += sketches(sets, bounds)
             if keys:
                 n = np.concatenate(sizes)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed(np.concatenate(keys)), mask=n == 0), pa.array(n)], names=["doc_id", "set_key", "n_shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed(np.concatenate(keys)), mask=n == 0), pa.array(n), pa.array(sketch, pa.binary(), mask=n == 0)], names=["doc_id", "set_key", "n_shingles", "sketch"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, set_key long, n_shingles long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, set_key long, n_shingles long, sketch binary")
 
 
 def buckets(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -304,23 +306,19 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     its group's smallest. Repeated rows stay repeated. Other columns of docs are not read. Sets are compared by
     64-bit hashes of their shingles.
     """
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     all_keys = cut(digest(docs, doc_id, text, words))
-    vertex = all_keys.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"))
+    vertex = cut(all_keys.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")))
     met = cut(buckets(docs, text, words, percent))
-    reps = cut(met.select(F.col("member").alias("set_key")).distinct().join(vertex, "set_key"))
-    # one text for each key that meets another; a doc_id that repeats with other texts is told apart by its own key
-    ids = reps.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
-    found = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(ids, "doc_id")
-    found = with_key(found, words).join(reps.select("set_key", "n"), "set_key").groupBy("set_key").agg(F.max("n").alias("n"), F.max("text").alias("text"), F.max("sketch").alias("sketch"))
-    texts = cut(found)
     low = met.groupBy("bucket").agg(F.min("member").alias("a"))
     star = met.join(low, "bucket").where("member != a").groupBy("member").agg(F.min("a").alias("a")).select("a", F.col("member").alias("b"))
-    links = cut(verified(star, texts, words, percent))
+    star = cut(star)
+    links = cut(confirmed(cut(possible(star, vertex, percent)), vertex, rows, words, percent))
     roots = connected_components(links)
     named = met.join(roots, met["member"] == roots["node"], "left").select("bucket", "member", F.coalesce("root", "member").alias("root"))
-    named = named.join(texts.select(F.col("set_key").alias("member"), "n", "sketch"), "member")
+    named = named.join(vertex.select(F.col("set_key").alias("member"), "n", "sketch"), "member")
     more = across(named, percent).join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = cut(links.unionByName(verified(cut(more), texts, words, percent)))
+    links = links.unionByName(confirmed(cut(more), vertex, rows, words, percent))
     roots = connected_components(links)
     group = vertex.join(roots, vertex["set_key"] == roots["node"], "left").select("set_key", "rep", F.coalesce("root", "set_key").alias("root"))
     lowest = group.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -328,17 +326,45 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return all_keys.join(of_key, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def confirmed(pairs: DataFrame, vertex: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    keys = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b"))
+    return verified(pairs, texts_of(keys, vertex, rows, words), words, percent)
+
+
 def with_key(rows: DataFrame, words: int) -> DataFrame:
-    """(set_key, text, sketch) of rows of doc_id and text."""
+    """(set_key, text) of rows of doc_id and text."""
 
     def run(source) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            keys, sketch = [], []
-            for _, _, data, off in chunks(batch.column(1)):
-                sets, bounds = sets_of(data, off, words)
-                keys.append(set_keys(sets, bounds))
-                sketch += sketches(sets, bounds)
+            keys = [set_keys(*sets_of(data, off, words)) for _, _, data, off in chunks(batch.column(1))]
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), batch.column(1), pa.array(sketch, pa.binary())], names=["set_key", "text", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), batch.column(1)], names=["set_key", "text"])
+
+    return rows.select("doc_id", "text").mapInArrow(run, "set_key long, text string")
+
+
+def texts_of(keys: DataFrame, vertex: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """(set_key, text): one text for each of the keys, from rows of doc_id and text."""
+    reps = cut(keys.distinct().join(vertex.select("set_key", "rep"), "set_key"))
+    ids = reps.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
+    found = maybe_in(rows, "doc_id", id_bitmap(ids, "doc_id")).join(ids, "doc_id")
+    if reps.where("rep is null").limit(1).count():
+        found = found.unionByName(rows.where("doc_id is null"))
+    # a doc_id that repeats with other texts is told apart by their keys
+    return cut(with_key(found, words).join(reps.select("set_key"), "set_key").groupBy("set_key").agg(F.max("text").alias("text")))
+
+
+def possible(pairs: DataFrame, vertex: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of keys that sizes and sketches don't rule out."""
+    v = vertex.select("set_key", "n", "sketch")
+    both = pairs.join(v.toDF("a", "n_a", "s_a"), "a").join(v.toDF("b", "n_b", "s_b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+
+    def run(source) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            if batch.num_rows:
+                table = [np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(i)]).astype(np.int16) for i in (4, 5)]
+                n = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
+                apart = np.abs(table[0] - table[1]).sum(axis=1, dtype=np.int64)
+                yield batch.select([0, 1]).filter(pa.array(apart * (100 + percent) <= (100 - percent) * n))
 
-    return rows.select("doc_id", "text").mapInArrow(run, "set_key long, text string, sketch binary")
+    return both.mapInArrow(run, "a long, b long")
