@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, mixing, url_filter
+from .embedding_dedup import near_duplicates
 from .ngram_join import ngram_components
 from .quality import quality
 from .toxicity import toxicity
@@ -19,6 +20,10 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"))
 
@@ -42,6 +47,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_url_filter": op5_url_filter,
     "op6_source_mixing": op6_source_mixing,
