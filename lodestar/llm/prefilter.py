@@ -39,8 +39,8 @@ def id_bitmap(ids: DataFrame, column: str, bits: int = BITS):
     return ids.sparkSession.sparkContext.broadcast(whole)
 
 
-def maybe_in(rows: DataFrame, column: str, bitmap, bits: int = BITS) -> DataFrame:
-    """The rows whose id is in the map, and a few more whose hash coincides. column holds longs."""
+def maybe_in(rows: DataFrame, column: str, bitmap, bits: int = BITS, inside: bool = True) -> DataFrame:
+    """The rows whose id is in the map, and a few more whose hash coincides; or, not inside, all others. column holds longs."""
     at = rows.columns.index(column)
 
     def run(source) -> Iterator[pa.RecordBatch]:
@@ -49,6 +49,6 @@ def maybe_in(rows: DataFrame, column: str, bitmap, bits: int = BITS) -> DataFram
             c = batch.column(at)
             p = (mix(np.asarray(c.fill_null(0)).astype(np.int64).view(U)) % U(bits)).astype(np.int64)
             hit = ((whole[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).astype(bool)
-            yield batch.filter(pa.array(hit))
+            yield batch.filter(pa.array(hit == inside))
 
     return rows.mapInArrow(run, rows.schema)
