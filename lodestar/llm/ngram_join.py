@@ -28,6 +28,8 @@ from .runtime import cut, width
 WORDS = 5
 PERCENT = 75
 FLUSH = 6 * CHUNK_BYTES
+#: members of a cluster in a task
+BLOCK = 2000
 
 
 def sets_of(data: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -255,47 +257,157 @@ def sketches(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [counts[256 * i : 256 * i + 256].tobytes() for i in range(n)]
 
 
-def across(members: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b), a < b, of bucket members that are in different components and may be similar, each once.
+def apart(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Sums of absolute differences of rows of sketches, a bounded number at a time."""
+    out = np.empty(len(one), np.int64)
+    for lo in range(0, len(one), 16_384):
+        x, y = one[lo : lo + 16_384], two[lo : lo + 16_384]
+        out[lo : lo + 16_384] = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
+    return out
 
-    members: (bucket, member, root, n, sketch). Buckets of one component have none. A bucket's members stream in order
-    of size; each meets those before it that are large enough and of another component, and a pair goes on only if
-    sizes and sketches don't rule out the similarity. Members too small for any later one are let go.
+
+def may_link(n: np.ndarray, root: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of rows are of two components and not ruled out by sizes and sketches."""
+    some = np.flatnonzero((root[i] != root[j]) & (np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j])))
+    ok = np.zeros(len(i), bool)
+    a, b = i[some], j[some]
+    ok[some] = apart(table[a], table[b]) * (100 + percent) <= (100 - percent) * (n[a] + n[b])
+    return ok
+
+
+def pair_rows(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of all pairs within each run of rows."""
+    later = np.repeat(first + size, size) - (np.arange(int(size.sum())) + np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size)) - 1
+    row = np.arange(int(size.sum())) + np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+    i = np.repeat(row, later)
+    return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+
+
+def joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Smallest row each of n rows is connected with."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, i, low)
+        np.minimum.at(label, j, low)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def meetings(members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b): for each bucket, a forest over those members of different components that may be similar.
+
+    members: (bucket, member, root, n, sketch). Buckets of one component have none. Pairs are weighed inside the task,
+    a bounded number at a time, and only the forest leaves it, so what moves is in proportion to the members.
     """
     mixed = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
     rows = members.join(mixed, "bucket").select("bucket", "n", "member", "root", "sketch")
 
+    def weigh(bucket, n, key, root, table) -> pa.RecordBatch:
+        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        size = np.diff(np.append(first, len(bucket)))
+        found_i, found_j = [], []
+        lo = 0
+        while lo < len(first):  # buckets up to about a million pairs, or one larger
+            hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo:] ** 2), 2_000_000, side="right")))
+            if hi == lo + 1 and size[lo] > 1400:
+                for x in range(int(size[lo])):
+                    j = first[lo] + np.arange(x + 1, size[lo])
+                    i = np.full(len(j), first[lo] + x)
+                    ok = may_link(n, root, table, i, j, percent)
+                    found_i.append(i[ok])
+                    found_j.append(j[ok])
+            else:
+                i, j = pair_rows(first[lo:hi], size[lo:hi])
+                ok = may_link(n, root, table, i, j, percent)
+                found_i.append(i[ok])
+                found_j.append(j[ok])
+            lo = hi
+        label = joined(len(bucket), np.concatenate(found_i), np.concatenate(found_j))
+        at = np.flatnonzero(label != np.arange(len(label)))
+        pairs = np.unique(np.sort(np.stack([key[at], key[label[at]]], axis=1), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def run(source) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in source:
+            if not batch.num_rows:
+                continue
+            now = tuple(np.asarray(batch.column(k)) for k in range(4)) + (np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, 256),)
+            held.append(now)
+            last = now[0][-1]
+            if held[0][0][0] == last and sum(len(h[0]) for h in held) < 1 << 30:
+                continue  # one bucket so far
+            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
+            end = int(np.flatnonzero(whole[0] != last)[-1]) + 1
+            yield weigh(*(c[:end] for c in whole))
+            held = [tuple(c[end:].copy() for c in whole)]
+        if held:
+            yield weigh(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    return rows.repartition(width(members.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long").distinct()
+
+
+def links_within(clusters: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int = BLOCK) -> DataFrame:
+    """(a, b): a forest of links between members of different components of each cluster.
+
+    clusters: (cluster, member, root, n, text). A cluster too large for one task is dealt into blocks, and each pair of
+    blocks is a task; a text goes once to each task of its block.
+    """
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("g"))
+    rows = clusters.join(sizes, "cluster").withColumn("mine", F.pmod(F.xxhash64("member"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    rows = rows.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "member", "root", "n", "mine", "text")
+
+    def links(now, held) -> pa.RecordBatch:
+        key, root, n, mine = (np.array([h[k] for h in held], np.int64) for k in range(4))
+        sets = [h[4] for h in held]
+        flat, bounds = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        table = np.frombuffer(b"".join(sketches(flat, bounds)), np.uint8).reshape(-1, 256)
+        up = {r: r for r in root.tolist()}
+
+        def top(r):
+            while up[r] != r:
+                up[r] = r = up[up[r]]
+            return r
+
+        a, b = [], []
+        for i in range(len(held)):
+            j = np.arange(i + 1, len(held))
+            if now[1] != now[2]:
+                j = j[mine[j] != mine[i]]
+            j = j[may_link(n, root, table, np.full(len(j), i), j, percent)]
+            for x in j.tolist():
+                p, q = top(int(root[i])), top(int(root[x]))
+                if p == q:
+                    continue
+                pos = np.minimum(np.searchsorted(sets[i], sets[x]), len(sets[i]) - 1)
+                common = int(np.count_nonzero(sets[i][pos] == sets[x]))
+                if 100 * common >= percent * (len(sets[i]) + len(sets[x]) - common):
+                    up[max(p, q)] = min(p, q)
+                    a.append(int(key[i]))
+                    b.append(int(key[x]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
     def run(source) -> Iterator[pa.RecordBatch]:
-        now, used, start = None, 0, 0
-        n_of, key_of, root_of, table = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 256), np.int16)
+        now, held = None, []
         for batch in source:
-            a, b = [], []
-            columns = [np.asarray(batch.column(i)) for i in range(4)]
-            for bucket, n, member, root, sketch in zip(*columns, batch.column(4), strict=True):
-                if bucket != now:
-                    now, used, start = bucket, 0, 0
-                if used == len(n_of):
-                    keep = slice(start, used)
-                    room = max(64, 2 * (used - start))
-                    n_of, key_of, root_of = (np.concatenate([x[keep], np.zeros(room, np.int64)]) for x in (n_of, key_of, root_of))
-                    table = np.concatenate([table[keep], np.zeros((room, 256), np.int16)])
-                    used, start = used - start, 0
-                own = np.frombuffer(sketch.as_buffer(), np.uint8).astype(np.int16)
-                while start < used and n_of[start] * 100 < percent * n:
-                    start += 1
-                other = start + np.flatnonzero(root_of[start:used] != root)
-                for lo in range(0, len(other), 4096):
-                    some = other[lo : lo + 4096]
-                    apart = np.abs(table[some] - own).sum(axis=1, dtype=np.int64)
-                    for x in key_of[some[apart * (100 + percent) <= (100 - percent) * (n_of[some] + n)]].tolist():
-                        a.append(min(x, int(member)))
-                        b.append(max(x, int(member)))
-                n_of[used], key_of[used], root_of[used], table[used] = n, member, root, own
-                used += 1
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return rows.repartition(width(members.sparkSession), "bucket").sortWithinPartitions("bucket", "n").mapInArrow(run, "a long, b long").distinct()
+            columns = [batch.column(k).to_pylist() for k in range(7)]
+            for lo, _, data, off in chunks(batch.column(7)):
+                sets, bounds = sets_of(data, off, words)
+                for d in range(len(off) - 1):
+                    r = lo + d
+                    task = (columns[0][r], columns[1][r], columns[2][r])
+                    if task != now:
+                        if len(held) > 1:
+                            yield links(now, held)
+                        now, held = task, []
+                    held.append((columns[3][r], columns[4][r], columns[5][r], columns[6][r], sets[bounds[d] : bounds[d + 1]].copy()))
+        if len(held) > 1:
+            yield links(now, held)
+
+    return rows.repartition(width(clusters.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -317,8 +429,11 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     roots = connected_components(links)
     named = met.join(roots, met["member"] == roots["node"], "left").select("bucket", "member", F.coalesce("root", "member").alias("root"))
     named = named.join(vertex.select(F.col("set_key").alias("member"), "n", "sketch"), "member")
-    more = across(named, percent).join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    links = links.unionByName(confirmed(cut(more), vertex, rows, words, percent))
+    clusters = connected_components(meetings(named, percent)).toDF("set_key", "cluster")
+    clusters = cut(clusters.join(roots.toDF("set_key", "root"), "set_key", "left").select("set_key", "cluster", F.coalesce("root", "set_key").alias("root")))
+    texts = texts_of(clusters.select("set_key"), vertex, rows, words)
+    clusters = clusters.join(vertex.select("set_key", "n"), "set_key").join(texts, "set_key").withColumnRenamed("set_key", "member")
+    links = cut(links.unionByName(links_within(clusters, percent, words)))
     roots = connected_components(links)
     group = vertex.join(roots, vertex["set_key"] == roots["node"], "left").select("set_key", "rep", F.coalesce("root", "set_key").alias("root"))
     lowest = group.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -362,9 +477,8 @@ def possible(pairs: DataFrame, vertex: DataFrame, percent: int) -> DataFrame:
     def run(source) -> Iterator[pa.RecordBatch]:
         for batch in source:
             if batch.num_rows:
-                table = [np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in batch.column(i)]).astype(np.int16) for i in (4, 5)]
+                table = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 256) for i in (4, 5)]
                 n = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
-                apart = np.abs(table[0] - table[1]).sum(axis=1, dtype=np.int64)
-                yield batch.select([0, 1]).filter(pa.array(apart * (100 + percent) <= (100 - percent) * n))
+                yield batch.select([0, 1]).filter(pa.array(apart(*table) * (100 + percent) <= (100 - percent) * n))
 
     return both.mapInArrow(run, "a long, b long")
