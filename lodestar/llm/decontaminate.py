@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .kernels import CHUNK_BYTES, U, alnum_table, chunks, lower_table, span_hashes, word_spans
 
@@ -205,8 +206,13 @@ def occurrences(hashes: np.ndarray, first: np.ndarray, p: Patterns) -> tuple[np.
 RUN = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def search(docs: DataFrame, block, doc_id: str, text: str) -> DataFrame:
-    """doc_id, text, n_words, runs (word and byte bounds of merged hits), items, for one block of patterns."""
+NEW = ("n_words", "runs", "items")
+
+
+def search(docs: DataFrame, block, text: str) -> DataFrame:
+    """docs with n_words, runs (word and byte bounds of merged hits) and items, for one block of patterns."""
+    names = docs.columns
+    text_at = names.index(text)
 
     def shard(columns, words, p: Patterns):
         hashes = np.concatenate([w[0] for w in words])
@@ -234,13 +240,13 @@ def search(docs: DataFrame, block, doc_id: str, text: str) -> DataFrame:
         pair = np.unique(np.stack([np.searchsorted(first, at, side="right") - 1, which], axis=1), axis=0) if len(at) else []
         for d, k in pair:
             items[d].update(p.items[p.item_at[k] : p.item_at[k + 1]])
-        return pa.RecordBatch.from_arrays([columns[0], columns[1], pa.array(sizes), pa.array(runs, RUN), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=["doc_id", "text", "n_words", "runs", "items"])
+        return pa.RecordBatch.from_arrays([*columns, pa.array(sizes), pa.array(runs, RUN), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=[*names, *NEW])
 
     def run(source) -> Iterator[pa.RecordBatch]:
         p = block.value
         for batch in source:
             words, begin, held = [], 0, 0
-            for lo, hi, h, first, s, e in words_of(batch.column(1)):
+            for lo, hi, h, first, s, e in words_of(batch.column(text_at)):
                 words.append((h, first, s, e))
                 held += len(h)
                 if held * 6 >= SHARD_BYTES:
@@ -249,9 +255,8 @@ def search(docs: DataFrame, block, doc_id: str, text: str) -> DataFrame:
             if words:
                 yield shard([c.slice(begin) for c in batch.columns], words, p)
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"doc_id {kind}, text string, n_words long, runs array<struct<first:long,last:long,start:long,end:long>>, items array<string>")
+    added = StructType.fromDDL("n_words long, runs array<struct<first:long,last:long,start:long,end:long>>, items array<string>")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added.fields]))
 
 
 def merged(runs):
@@ -265,8 +270,8 @@ def merged(runs):
     return F.aggregate(F.array_sort(runs), F.slice(runs, 1, 0), add)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """doc_id, text, n_words, runs, items for each row of docs.
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """docs with n_words, runs and items added; of columns of docs that are named like these, these replace them.
 
     runs: merged hits as word bounds (first, last) and byte bounds (start, end) of the text. items: ids, as strings and
     sorted, of the items with an occurring window. A null or wordless text has no words and no hits; an item without
@@ -279,16 +284,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     if not blocks:
         nothing = Patterns(np.zeros(0, U), np.zeros((0, window), np.int32), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, object))
         blocks = [spark.sparkContext.broadcast(nothing)]
-    found = [search(docs, b, doc_id, text) for b in blocks]
+    docs = docs.select(*[c for c in docs.columns if c not in NEW])
+    found = [search(docs, b, text) for b in blocks]
     if len(found) == 1:
         return found[0]
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
     # rows that are alike give alike results, so a set of these is as small as the number of blocks
-    one = every.groupBy("doc_id", "text").agg(F.first("n_words").alias("n_words"), F.collect_set("runs").alias("r"), F.collect_set("items").alias("i"), (F.count("*") / len(found)).cast("int").alias("times"))
-    one = one.select("doc_id", "text", "n_words", merged(F.flatten("r")).alias("runs"), F.array_sort(F.array_distinct(F.flatten("i"))).alias("items"), F.explode(F.sequence(F.lit(1), "times")).alias("k"))
-    return one.drop("k")
+    one = every.groupBy(*docs.columns).agg(F.first("n_words").alias("n_words"), F.collect_set("runs").alias("r"), F.collect_set("items").alias("i"), (F.count("*") / len(found)).cast("int").alias("times"))
+    one = one.select(*docs.columns, "n_words", merged(F.flatten("r")).alias("runs"), F.array_sort(F.array_distinct(F.flatten("i"))).alias("items"), F.explode(F.sequence(F.lit(1), "times")).alias("__k"))
+    return one.drop("__k")
 
 
 def report(found: DataFrame) -> DataFrame:
@@ -297,14 +303,16 @@ def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
-def without_runs(found: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """doc_id and text of contamination() with the bytes of its runs taken out of the text; a null text stays null."""
+def without_runs(found: DataFrame, text: str = "text") -> DataFrame:
+    """contamination() with the bytes of its runs taken out of the text; a null text stays null."""
+    names = found.columns
+    text_at, runs_at = names.index(text), names.index("runs")
 
     def run(source) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            texts = batch.column(1)
+            texts = batch.column(text_at)
             out = []
-            for t, runs in zip(texts, batch.column(2).to_pylist(), strict=True):
+            for t, runs in zip(texts, batch.column(runs_at).to_pylist(), strict=True):
                 if not runs or not t.is_valid:
                     out.append(t.as_py())
                     continue
@@ -313,10 +321,9 @@ def without_runs(found: DataFrame, extra: list[str] | None = None) -> DataFrame:
                     kept.append(b[at : r["start"]])
                     at = r["end"]
                 out.append((b"".join(kept) + b[at:]).decode("utf-8"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == text_at else batch.column(i) for i in range(len(names))], names=names)
 
-    kind = dict(found.dtypes)["doc_id"]
-    return found.select("doc_id", "text", "runs").mapInArrow(run, f"doc_id {kind}, text string")
+    return found.mapInArrow(run, found.schema)
 
 
 SQL = r"""

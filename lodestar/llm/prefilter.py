@@ -52,3 +52,12 @@ def maybe_in(rows: DataFrame, column: str, bitmap, bits: int = BITS, inside: boo
             yield batch.filter(pa.array(hit == inside))
 
     return rows.mapInArrow(run, rows.schema)
+
+
+def without_ids(rows: DataFrame, column: str, ids: DataFrame, id_column: str) -> DataFrame:
+    """The rows whose id isn't in ids; only those that the bitmap can't tell are shuffled. Rows of a null id stay."""
+    bitmap = id_bitmap(ids, id_column)
+    keyed = rows.withColumn("__id", F.col(column).cast("long"))
+    rest = maybe_in(keyed, "__id", bitmap, inside=False)
+    near = maybe_in(keyed, "__id", bitmap).join(ids.select(F.col(id_column).cast("long").alias("__id")), "__id", "left_anti")
+    return rest.unionByName(near).drop("__id")

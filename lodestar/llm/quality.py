@@ -241,3 +241,20 @@ def quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Data
     """Fit on a bounded sample of labelled documents outside the held-out fold, then score every document."""
     train = F.coalesce(fold("doc_id", 5) != 0, F.lit(False))
     return score_quality(docs, fit_quality(labelled_sample(docs, labels, "quality", train, rows=rows)))
+
+
+def keep_good(docs: DataFrame, model: QualityModel, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of docs whose text scores at or over the threshold, with all their columns."""
+    at = docs.columns.index(text)
+
+    def run(source) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            keep = []
+            for _, _, data, off in chunks(batch.column(at)):
+                idx, size, first = features(data, off)
+                p, _, _ = marginals(emissions(model, idx), model.move, first)
+                keep.append(1 / (1 + np.exp(-np.clip(model.slope * logit(document_means(p, size, first)) + model.offset, -30, 30))) >= threshold)
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)

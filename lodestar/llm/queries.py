@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, mixing, url_filter
 from .embedding_dedup import near_duplicates
+from .language_model import score_language
 from .line_dedup import dedup_lines
 from .ngram_join import ngram_components
 from .quality import quality
+from .substring_dedup import remove_repeats
 from .toxicity import toxicity
 
 
@@ -41,6 +43,14 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_language(table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -57,6 +67,8 @@ QUERIES = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
     "op5_url_filter": op5_url_filter,
     "op6_source_mixing": op6_source_mixing,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_toxicity": op10_toxicity,
 }
