@@ -27,7 +27,7 @@ from .runtime import cut, width
 
 WORDS = 5
 PERCENT = 75
-FLUSH = 6 * CHUNK_BYTES
+FLUSH = 4 * CHUNK_BYTES
 #: members of a cluster in a task
 BLOCK = 2000
 
@@ -270,8 +270,10 @@ def may_link(n: np.ndarray, root: np.ndarray, table: np.ndarray, i: np.ndarray,
     """Which pairs of rows are of two components and not ruled out by sizes and sketches."""
     some = np.flatnonzero((root[i] != root[j]) & (np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j])))
     ok = np.zeros(len(i), bool)
-    a, b = i[some], j[some]
-    ok[some] = apart(table[a], table[b]) * (100 + percent) <= (100 - percent) * (n[a] + n[b])
+    for lo in range(0, len(some), 16_384):
+        x = some[lo : lo + 16_384]
+        a, b = i[x], j[x]
+        ok[x] = apart(table[a], table[b]) * (100 + percent) <= (100 - percent) * (n[a] + n[b])
     return ok
 
 
@@ -310,8 +312,8 @@ def meetings(members: DataFrame, percent: int = PERCENT) -> DataFrame:
         size = np.diff(np.append(first, len(bucket)))
         found_i, found_j = [], []
         lo = 0
-        while lo < len(first):  # buckets up to about a million pairs, or one larger
-            hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo:] ** 2), 2_000_000, side="right")))
+        while lo < len(first):  # buckets up to about 300,000 pairs, or one larger
+            hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo:] ** 2), 600_000, side="right")))
             if hi == lo + 1 and size[lo] > 1400:
                 for x in range(int(size[lo])):
                     j = first[lo] + np.arange(x + 1, size[lo])
