@@ -25,8 +25,10 @@ from .suffix_sort import repeated
 
 LENGTH = 400
 GRAM = 120
-#: bytes of pieces that are sorted at once; a key is never split
-SHARD = 1_500_000
+#: bytes of pieces that are sorted at once
+SHARD = 400_000
+#: a key of more bytes has its pieces keyed again, by the least hash of nearly whole strings
+HOT = 600_000
 FLUSH = 40_000
 
 
@@ -198,7 +200,17 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(doc_id, text_key, runs): the byte ranges to remove, unmerged, for each id and text that has any."""
     rows = docs.where(F.col(text).isNotNull()).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("doc_id"), F.col(text).alias("text"))
     found = cut(candidates(rows, length, gram))
-    spans = cut(sorted_repeats(piece_bytes(found, rows), length))
+    finer = length - max(1, length // 25)
+    hot = cut(found.where("sort").groupBy("key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > HOT).select("key"))
+    if gram < finer and hot.limit(1).count():
+        # what a common passage draws together is told apart by strings that reach beyond it
+        cool = sorted_repeats(piece_bytes(found.join(hot, "key", "left_anti"), rows), length)
+        pieces = cut(piece_bytes(found.join(hot, "key"), rows).dropDuplicates(["key", "content"]))
+        again = repeated_spans(pieces.select(F.xxhash64("key", "content").alias("doc_id"), F.col("bytes").alias("text")), length=length, gram=finer)
+        again = again.select(F.col("doc_id").alias("piece"), "runs").join(pieces.select("key", "content", F.xxhash64("key", "content").alias("piece")), "piece")
+        spans = cut(cool.unionByName(again.select("key", "content", "runs")))
+    else:
+        spans = cut(sorted_repeats(piece_bytes(found, rows), length))
     whole = found.where("whole").select("doc_id", "text_key", F.array(F.struct(F.col("start").alias("first"), (F.col("start") + F.col("size")).alias("last"))).alias("runs"))
     part = found.where("not whole").join(spans, ["key", "content"])
     part = part.select("doc_id", "text_key", F.transform("runs", lambda r: F.struct((r["first"] + F.col("start")).alias("first"), (r["last"] + F.col("start")).alias("last"))).alias("runs"))

@@ -38,6 +38,18 @@ def test_brute_force(spark):
     assert got(spark, rows, 30, 8) == brute(rows, 30)
 
 
+def test_hot_keys_are_split(spark, monkeypatch):
+    from lodestar.llm import substring_dedup
+
+    monkeypatch.setattr(substring_dedup, "HOT", 200)
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcdef", k=24))
+    texts = ["".join(rng.choices("ghijk", k=20)) + passage + "".join(rng.choices("ghijk", k=20)) for _ in range(25)]
+    texts += [texts[3][5:50], texts[4][10:], "zz" + texts[3] + "yy"]
+    rows = list(enumerate(texts))
+    assert got(spark, rows, 30, 8) == brute(rows, 30)
+
+
 def test_repeated_rows_nulls_and_empty_table(spark):
     t = "".join(random.Random(1).choices("abcdef", k=90))
     rows = [(1, t), (1, t), (1, "q" * 10), (None, t[:50]), (None, None), (2, "z" * 40)]
