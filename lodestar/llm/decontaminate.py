@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .kernels import CHUNK_BYTES, U, alnum_table, chunks, lower_table, span_hashes, word_spans
+from .runtime import tidy
 
 WINDOW = 10
 SHARD_BYTES = 8 * CHUNK_BYTES
@@ -256,7 +257,7 @@ def search(docs: DataFrame, block, text: str) -> DataFrame:
                 yield shard([c.slice(begin) for c in batch.columns], words, p)
 
     added = StructType.fromDDL("n_words long, runs array<struct<first:long,last:long,start:long,end:long>>, items array<string>")
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *added.fields]))
+    return docs.mapInArrow(tidy(run), StructType([*docs.schema.fields, *added.fields]))
 
 
 def merged(runs):
@@ -323,7 +324,7 @@ def without_runs(found: DataFrame, text: str = "text") -> DataFrame:
                 out.append((b"".join(kept) + b[at:]).decode("utf-8"))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == text_at else batch.column(i) for i in range(len(names))], names=names)
 
-    return found.mapInArrow(run, found.schema)
+    return found.mapInArrow(tidy(run), found.schema)
 
 
 SQL = r"""

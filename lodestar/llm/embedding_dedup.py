@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .kernels import U, mix
-from .runtime import cut, width
+from .runtime import cut, tidy, width
 
 COSINE = 0.98
 TABLES = 8
@@ -120,7 +120,7 @@ def links_of(vertex: DataFrame, cosine: float = COSINE, tables: int = TABLES, pr
                         yield pa.RecordBatch.from_arrays([rows.column(1).take(pa.array(row)), pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(k) > 0, n)), rows.column(0).take(pa.array(row))], names=["label", "bucket", "probe", "vec_id"])
 
     kind = dict(vertex.dtypes)["label"]
-    placed = cut(vertex.select("vec_id", "label", "embedding").mapInArrow(place, f"label {kind}, bucket long, probe boolean, vec_id long"))
+    placed = cut(vertex.select("vec_id", "label", "embedding").mapInArrow(tidy(place), f"label {kind}, bucket long, probe boolean, vec_id long"))
     # a bucket matters if a vector lives there and another one lives there or probes it
     use = placed.groupBy("label", "bucket").agg(F.count_if(~F.col("probe")).alias("homes"), F.count("*").alias("n")).where("homes > 0 and n > 1")
     split = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
@@ -174,7 +174,7 @@ def links_of(vertex: DataFrame, cosine: float = COSINE, tables: int = TABLES, pr
         if len(held) > 1:
             yield done()
 
-    met = rows.repartition(width(spark), "label", "bucket", "i", "j").sortWithinPartitions("label", "bucket", "i", "j").mapInArrow(meet, "a long, b long")
+    met = rows.repartition(width(spark), "label", "bucket", "i", "j").sortWithinPartitions("label", "bucket", "i", "j").mapInArrow(tidy(meet), "a long, b long")
     return met.distinct()
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .blobs import by_part, runs
 from .kernels import CHUNK_BYTES, U, chunks, lower_table, mix, space_table, span_hashes, word_spans
 from .labelled import fold
-from .runtime import cut, width
+from .runtime import cut, tidy, width
 
 END = U(0x0E17D0C5)
 CLASSES, IN_CLASS = 32, 32
@@ -103,7 +103,7 @@ def token_counts(texts: DataFrame, parts: int) -> DataFrame:
             at = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([tokens[at].tobytes() + np.add.reduceat(count[order], at).tobytes()], pa.binary())], names=["part", "blob"])
 
-    return texts.mapInArrow(send, "part int, blob binary").repartition(width(texts.sparkSession), "part").sortWithinPartitions("part").mapInArrow(add, "part int, blob binary")
+    return texts.mapInArrow(tidy(send), "part int, blob binary").repartition(width(texts.sparkSession), "part").sortWithinPartitions("part").mapInArrow(tidy(add), "part int, blob binary")
 
 
 def size_bin(count: np.ndarray) -> np.ndarray:
@@ -122,7 +122,7 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
                 k, at = np.unique(size_bin(c), return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(np.bincount(at)), pa.array(np.bincount(at, weights=c).astype(np.int64))], names=["bin", "v", "n"])
 
-    rows = counts.mapInArrow(bins, "bin long, v long, n long").groupBy("bin").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).orderBy(F.desc("bin")).collect()
+    rows = counts.mapInArrow(tidy(bins), "bin long, v long, n long").groupBy("bin").agg(F.sum("v").alias("v"), F.sum("n").alias("n")).orderBy(F.desc("bin")).collect()
     n, v = sum(r["n"] for r in rows), sum(r["v"] for r in rows)
     least, taken = 1 << 60, 0
     for r in rows:
@@ -138,7 +138,7 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
                 keep = (size_bin(c) >= least) | (t.view(U) == END)
                 yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([t[keep], c[keep]]).tobytes()], pa.binary())], names=["blob"])
 
-    found = [np.frombuffer(r["blob"], np.int64) for r in counts.mapInArrow(top, "blob binary").collect()]
+    found = [np.frombuffer(r["blob"], np.int64) for r in counts.mapInArrow(tidy(top), "blob binary").collect()]
     tokens = np.concatenate([x[: len(x) // 2] for x in found] or [np.zeros(0, np.int64)]).view(U)
     count = np.concatenate([x[len(x) // 2 :] for x in found] or [np.zeros(0, np.int64)])
     order = np.lexsort((tokens, -count, tokens != END))  # END leads, so it is always in the model
@@ -294,7 +294,7 @@ def train(texts: DataFrame, vocab, w: Weights, rate: float = RATE) -> Weights:
             total /= np.maximum(n, 1)[:, None]
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["part", "blob"])
 
-    found = texts.mapInArrow(run, "part int, blob binary").repartition(width(spark), "part").sortWithinPartitions("part").mapInArrow(mean, "part int, blob binary").collect()
+    found = texts.mapInArrow(tidy(run), "part int, blob binary").repartition(width(spark), "part").sortWithinPartitions("part").mapInArrow(tidy(mean), "part int, blob binary").collect()
     classes, words = w.classes.copy(), w.words.copy()
     for r in found:
         table = classes if r["part"] < 1000 else words
@@ -426,11 +426,11 @@ def score_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     v_n = int(v.n)
     form = "part int, batch long, blob binary, ids binary"
-    sent = cut(rows.mapInArrow(score, form))
+    sent = cut(rows.mapInArrow(tidy(score), form))
     asked = sent.where("part >= 0").unionByName(counts.select("part", F.lit(-1).cast("long").alias("batch"), "blob", F.lit(None).cast("binary").alias("ids")))
-    answers = asked.repartition(width(spark), "part").sortWithinPartitions("part", "batch").mapInArrow(answer, form)
+    answers = asked.repartition(width(spark), "part").sortWithinPartitions("part", "batch").mapInArrow(tidy(answer), form)
     final = sent.where("part = -1").unionByName(answers).repartition(width(spark), "batch").sortWithinPartitions("batch", "part")
-    return final.mapInArrow(gather, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return final.mapInArrow(tidy(gather), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def slices(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .kernels import chunks, mix, space_table, span_hashes, word_spans
 from .prefilter import id_bitmap, maybe_in
 from .quality import line_bounds
-from .runtime import cut, width
+from .runtime import cut, tidy, width
 
 #: a line in at most so many documents is rare
 RARE = 64
@@ -104,7 +104,7 @@ def lines_of(rows: DataFrame, least: int = MIN_CHARS) -> DataFrame:
                 order = order[once]
                 yield pa.RecordBatch.from_arrays([pa.array(h[order].view(np.int64)), ids.take(pa.array(lo + doc[order])), pa.array(size[order]), pa.array(np.diff(off)[doc[order]])], names=["line", "doc_id", "size", "whole"])
 
-    return rows.mapInArrow(run, "line long, doc_id long, size long, whole long")
+    return rows.mapInArrow(tidy(run), "line long, doc_id long, size long, whole long")
 
 
 def partners(rows: DataFrame, rare: int = RARE) -> DataFrame:
@@ -149,7 +149,7 @@ def aligned(pairs: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=OUT)
 
-    return rows.repartition(width(pairs.sparkSession), "owner", "salt").sortWithinPartitions("owner", "salt", "role", "doc_id").mapInArrow(run, "doc_id long, text_key long, owner long, runs array<struct<first:int,last:int>>")
+    return rows.repartition(width(pairs.sparkSession), "owner", "salt").sortWithinPartitions("owner", "salt", "role", "doc_id").mapInArrow(tidy(run), "doc_id long, text_key long, owner long, runs array<struct<first:int,last:int>>")
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("owner", pa.int64()), ("runs", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))])

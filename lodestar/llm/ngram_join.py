@@ -23,7 +23,7 @@ from .blobs import SCHEMA, batches, by_part, runs
 from .components import connected_components
 from .kernels import CHUNK_BYTES, U, chunks, lower_table, mix, shingle_sets, signed, space_table, span_hashes, word_spans
 from .prefilter import id_bitmap, maybe_in
-from .runtime import cut, width
+from .runtime import cut, tidy, width
 
 WORDS = 5
 PERCENT = 75
@@ -131,7 +131,7 @@ def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: i
                 n = np.concatenate(sizes)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed(np.concatenate(keys)), mask=n == 0), pa.array(n), pa.array(sketch, pa.binary(), mask=n == 0)], names=["doc_id", "set_key", "n_shingles", "sketch"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, set_key long, n_shingles long, sketch binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), "doc_id long, set_key long, n_shingles long, sketch binary")
 
 
 def buckets(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -210,8 +210,8 @@ def buckets(docs: DataFrame, text: str = "text", words: int = WORDS, percent: in
                 rows = np.repeat(take, size)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.repeat(name, size)[rows])), pa.array(signed(key[rows]))], names=["bucket", "member"])
 
-    sent = docs.select(F.col(text).alias("text")).mapInArrow(send, SCHEMA)
-    met = sent.repartition(width(docs.sparkSession), "part").sortWithinPartitions("part").mapInArrow(meet, "bucket long, member long")
+    sent = docs.select(F.col(text).alias("text")).mapInArrow(tidy(send), SCHEMA)
+    met = sent.repartition(width(docs.sparkSession), "part").sortWithinPartitions("part").mapInArrow(tidy(meet), "bucket long, member long")
     return met.distinct()
 
 
@@ -245,7 +245,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: in
                 if a:
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.repartition(width(pairs.sparkSession), "at").sortWithinPartitions("at", "role").mapInArrow(run, "a long, b long")
+    return rows.repartition(width(pairs.sparkSession), "at").sortWithinPartitions("at", "role").mapInArrow(tidy(run), "a long, b long")
 
 
 def sketches(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
@@ -349,7 +349,7 @@ def meetings(members: DataFrame, percent: int = PERCENT) -> DataFrame:
         if held:
             yield weigh(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    return rows.repartition(width(members.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(width(members.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def links_within(clusters: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int = BLOCK) -> DataFrame:
@@ -409,7 +409,7 @@ def links_within(clusters: DataFrame, percent: int = PERCENT, words: int = WORDS
         if len(held) > 1:
             yield links(now, held)
 
-    return rows.repartition(width(clusters.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(run, "a long, b long")
+    return rows.repartition(width(clusters.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(tidy(run), "a long, b long")
 
 
 def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -457,7 +457,7 @@ def with_key(rows: DataFrame, words: int) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), batch.column(1)], names=["set_key", "text"])
 
-    return rows.select("doc_id", "text").mapInArrow(run, "set_key long, text string")
+    return rows.select("doc_id", "text").mapInArrow(tidy(run), "set_key long, text string")
 
 
 def texts_of(keys: DataFrame, vertex: DataFrame, rows: DataFrame, words: int) -> DataFrame:
@@ -483,4 +483,4 @@ def possible(pairs: DataFrame, vertex: DataFrame, percent: int) -> DataFrame:
                 n = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
                 yield batch.select([0, 1]).filter(pa.array(apart(*table) * (100 + percent) <= (100 - percent) * n))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")

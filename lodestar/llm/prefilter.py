@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import U, mix
-from .runtime import width
+from .runtime import tidy, width
 
 #: bits of the map, and so the bound of what is broadcast (8 MB); a map that fills up lets more rows through, none less
 BITS = 1 << 26
@@ -32,7 +32,7 @@ def id_bitmap(ids: DataFrame, column: str, bits: int = BITS):
         if maps:
             yield pa.RecordBatch.from_arrays([pa.array(list(maps), pa.int32()), pa.array([zlib.compress(np.packbits(m).tobytes(), 1) for m in maps.values()], pa.binary())], names=["part", "bits"])
 
-    rows = ids.where(F.col(column).isNotNull()).select(F.col(column).cast("long").alias("id")).distinct().coalesce(n).mapInArrow(run, "part int, bits binary")
+    rows = ids.where(F.col(column).isNotNull()).select(F.col(column).cast("long").alias("id")).distinct().coalesce(n).mapInArrow(tidy(run), "part int, bits binary")
     whole = np.zeros(piece // 8 * n, np.uint8)
     for r in rows.toLocalIterator():
         whole[r["part"] * (piece // 8) : (r["part"] + 1) * (piece // 8)] |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
@@ -51,7 +51,7 @@ def maybe_in(rows: DataFrame, column: str, bitmap, bits: int = BITS, inside: boo
             hit = ((whole[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).astype(bool)
             yield batch.filter(pa.array(hit == inside))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(tidy(run), rows.schema)
 
 
 def without_ids(rows: DataFrame, column: str, ids: DataFrame, id_column: str) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .kernels import chunks
 from .labelled import SAMPLE_ROWS, fold, labelled_sample
 from .toxicity import logistic
+from .runtime import tidy
 
 SHARES = np.array([0.0, 0.004, 0.01, 0.02, 0.04, 0.08, 0.15, 0.3, 0.5, 0.8])
 LENGTHS = np.array([0, 8, 16, 32, 64, 128, 256, 512, 1024, 4096])
@@ -172,7 +173,7 @@ def fit_quality(sample: DataFrame, steps: int = 80, ridge: float = 3.0) -> Quali
                 sizes = [size[first[d] : first[d + 1]].astype(np.int32).tobytes() for d in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary()), pa.array(sizes, pa.binary()), pa.array(label[lo:hi], pa.int32())], names=["own", "size", "label"])
 
-    rows = sample.mapInArrow(describe, "own binary, size binary, label int").collect()
+    rows = sample.mapInArrow(tidy(describe), "own binary, size binary, label int").collect()
     y = np.array([r["label"] for r in rows], float)
     base = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     model = QualityModel(np.zeros(WIDTH), np.zeros((2, 2)), 0.0, base)
@@ -234,7 +235,7 @@ def score_quality(docs: DataFrame, model: QualityModel, doc_id: str = "doc_id",
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(fold(doc_id, folds) == held, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, line_quality array<float>")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, score double, predicted int, line_quality array<float>")
 
 
 def quality(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -257,4 +258,4 @@ def keep_good(docs: DataFrame, model: QualityModel, text: str = "text", threshol
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,3 +32,21 @@ def cut(df: DataFrame) -> DataFrame:
 def width(spark: SparkSession) -> int:
     """Number of shuffle partitions the session asks for."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def tidy(run):
+    """An Arrow batch function that gives freed memory back to the system when it ends: workers stay for later stages."""
+
+    def tidied(source):
+        import pyarrow
+
+        try:
+            yield from run(source)
+        finally:
+            pyarrow.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library than glibc
+                pass
+
+    return tidied

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .blobs import SCHEMA, batches, by_part, runs
 from .kernels import U, _ODD, _power_of, chunks, mix, text_bytes
 from .prefilter import id_bitmap, maybe_in
-from .runtime import cut, width
+from .runtime import cut, tidy, width
 from .suffix_sort import repeated
 
 LENGTH = 400
@@ -139,8 +139,8 @@ def candidates(rows: DataFrame, length: int, gram: int) -> DataFrame:
                 y = x[s]
                 yield pa.RecordBatch.from_arrays([pa.array(y["id"]), pa.array(y["text"].view(np.int64) if y["text"].flags.c_contiguous else y["text"].copy().view(np.int64)), pa.array(y["key"].copy().view(np.int64)), pa.array(y["content"].copy().view(np.int64)), pa.array(y["start"]), pa.array(y["size"]), pa.array(whole[s]), pa.array(sort[s])], names=["doc_id", "text_key", "key", "content", "start", "size", "whole", "sort"])
 
-    sent = rows.mapInArrow(send, SCHEMA)
-    return sent.repartition(width(rows.sparkSession), "part").sortWithinPartitions("part").mapInArrow(meet, "doc_id long, text_key long, key long, content long, start long, size int, whole boolean, sort boolean")
+    sent = rows.mapInArrow(tidy(send), SCHEMA)
+    return sent.repartition(width(rows.sparkSession), "part").sortWithinPartitions("part").mapInArrow(tidy(meet), "doc_id long, text_key long, key long, content long, start long, size int, whole boolean, sort boolean")
 
 
 def piece_bytes(found: DataFrame, rows: DataFrame) -> DataFrame:
@@ -159,7 +159,7 @@ def piece_bytes(found: DataFrame, rows: DataFrame) -> DataFrame:
                     b = raw[off[d] : off[d + 1]].tobytes()
                     yield pa.RecordBatch.from_arrays([pa.array([c["key"] for c in cuts], pa.int64()), pa.array([c["content"] for c in cuts], pa.int64()), pa.array([b[c["start"] : c["start"] + c["size"]] for c in cuts], pa.binary())], names=["key", "content", "bytes"])
 
-    return near.mapInArrow(run, "key long, content long, bytes binary")
+    return near.mapInArrow(tidy(run), "key long, content long, bytes binary")
 
 
 def sorted_repeats(pieces: DataFrame, length: int, shard: int = SHARD) -> DataFrame:
@@ -193,7 +193,7 @@ def sorted_repeats(pieces: DataFrame, length: int, shard: int = SHARD) -> DataFr
         if held:
             yield solve(held)
 
-    return pieces.repartition(width(pieces.sparkSession), "key").sortWithinPartitions("key").mapInArrow(run, "key long, content long, runs array<struct<first:long,last:long>>")
+    return pieces.repartition(width(pieces.sparkSession), "key").sortWithinPartitions("key").mapInArrow(tidy(run), "key long, content long, runs array<struct<first:long,last:long>>")
 
 
 def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -269,4 +269,4 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_spans, span_type)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     form = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
-    return with_spans.mapInArrow(run, form).unionByName(without.mapInArrow(run, form))
+    return with_spans.mapInArrow(tidy(run), form).unionByName(without.mapInArrow(tidy(run), form))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .kernels import U, alnum_table, chunks, lower_table, signed, span_hashes, word_spans
 from .labelled import SAMPLE_ROWS, fold, labelled_sample
+from .runtime import tidy
 
 MOST_TOKENS = 20_000
 PRIOR = 200.0
@@ -115,7 +116,7 @@ def fit_toxicity(sample: DataFrame) -> ToxicityModel:
     if n_pos == 0 or n_pos == n_all:
         return empty
     n_neg = n_all - n_pos
-    t = sample.mapInArrow(count, "token long, toxic long, docs long").groupBy("token").agg(F.sum("toxic").alias("y"), F.sum("docs").alias("d"))
+    t = sample.mapInArrow(tidy(count), "token long, toxic long, docs long").groupBy("token").agg(F.sum("toxic").alias("y"), F.sum("docs").alias("d"))
     prior = F.lit(PRIOR) * (F.col("d") / n_all)
     pos, neg = F.col("y") + prior + 0.01, F.col("d") - F.col("y") + prior + 0.01
     odds = F.log(pos / (n_pos + PRIOR - pos + 1)) - F.log(neg / (n_neg + PRIOR - neg + 1))
@@ -137,7 +138,7 @@ def fit_toxicity(sample: DataFrame) -> ToxicityModel:
             if m:
                 yield pa.RecordBatch.from_arrays([pa.array(np.floor(np.clip(np.concatenate(m), -30, 60) * 4).astype(np.int32)), batch.column(1)], names=["bin", "label"])
 
-    seen = sample.mapInArrow(margins, "bin int, label int").groupBy("bin", "label").count().collect()
+    seen = sample.mapInArrow(tidy(margins), "bin int, label int").groupBy("bin", "label").count().collect()
     x = np.array([(r["bin"] + 0.5) / 4 for r in seen])
     y = np.array([float(r["label"]) for r in seen])
     model.slope, model.offset = logistic(x, y, np.array([float(r["count"]) for r in seen]))
@@ -192,7 +193,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, doc_id: str = "doc_id"
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(fold(doc_id, folds) == held, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int, passages array<struct<start:long,end:long>>")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, score double, predicted int, passages array<struct<start:long,end:long>>")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
