@@ -1,6 +1,227 @@
-"""Registered queries of the attribution engine and the SQL that gives the same rows."""
+"""Registered queries of the attribution engine over whole tables, and the SQL that gives the same rows.
+
+benchmark items and the assistant's turns of conversations are answers; documents are one shared corpus of sources.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from .. import api
+from ..config import CitationConfig
+from ..functions.segments import with_sentences
+from ..operators import citations as C
+from ..operators.lexical import inverse_document_frequency, lexical_top
+from ..operators.passages import passages_of, with_tokens
+from ..operators.vectors import cosine_top, index_norms
+from ..sources import adapters
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adapters.documents(table(spark, sf_dir, "documents"), source_id="doc_id", position="doc_id")
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("all").alias("corpus_id"), F.col("text").alias("answer"))
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    return t.select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id"), F.lit("all").alias("corpus_id"), F.col("text").alias("answer"))
+
+
+def source_documents(spark, sf_dir):
+    return sources(spark, sf_dir).select("source_pos", "source_id", "source_index", "base_doc_offset", F.element_at("metadata", "lang").alias("lang"), F.length("text").alias("n"))
+
+
+def source_chunks(spark, sf_dir):
+    """Every document after its first 100 characters, as a chunk of the whole."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("whole"), F.substring("text", 101, 1 << 30).alias("text"), F.lit(100).alias("start_index"))
+    got = adapters.chunks(rows, source_id="doc_id", full_text="whole", position="doc_id")
+    ends = rows.select(F.col("doc_id").alias("source_pos"), adapters.chunk_ends(rows).alias("chunk_end"))
+    return got.join(ends, "source_pos").select("source_pos", "source_id", "base_doc_offset", "chunk_end", F.length("text").alias("n"), F.length("full_text").alias("n_full"))
+
+
+def segment_sources(spark, sf_dir):
+    rows = with_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.posexplode("segments").alias("sentence_no", "s")).select("doc_id", "sentence_no", F.col("s.text").alias("text"), F.col("s.start").alias("char_start"), F.col("s.end").alias("char_end"))
+
+
+def segment_answers(spark, sf_dir):
+    return api.spans_of(turns(spark, sf_dir)).select("query_id", "span_no", "paragraph_index", "text", "char_start", "char_end")
+
+
+def passage_windows(spark, sf_dir):
+    got = passages_of(sources(spark, sf_dir), 3, 2)
+    return got.select("source_pos", "passage_no", "segment_start", "segment_end", "doc_char_start", "doc_char_end", F.md5("text").alias("digest"))
+
+
+def tokenize(spark, sf_dir):
+    rows = with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", lambda r: r)
+    return rows.select("doc_id", F.size("tokens").alias("n_tokens"), F.md5(F.array_join("tokens", " ")).alias("digest"))
+
+
+def token_idf(spark, sf_dir):
+    passages = with_tokens(sources(spark, sf_dir), "text", passages_of)
+    return inverse_document_frequency(passages).select("token", "df", F.round("idf", 9).alias("idf"))
+
+
+def lexical_topn(spark, sf_dir):
+    passages = api.prepare_passages(sources(spark, sf_dir))
+    spans = api.prepare_spans(items(spark, sf_dir))
+    best = lexical_top(spans, passages, inverse_document_frequency(passages), 20)
+    return best.select("query_id", "span_no", "candidate_index", "rank", F.round("lexical_score", 9).alias("lexical_score"))
+
+
+def cosine_topk(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select(F.lit("all").alias("corpus_id"), "vec_id", "embedding")
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), "corpus_id", "embedding")
+    return cosine_top(q, v, 10).select("query", "vec_id", "rank", F.round("cosine", 6).alias("cosine"))
+
+
+def embedding_norms(spark, sf_dir):
+    return index_norms(table(spark, sf_dir, "embeddings")).select("vec_id", F.round("norm", 6).alias("norm"))
+
+
+def _aligned_items(spark, sf_dir) -> DataFrame:
+    """Every item, whole, aligned with its 50 best passages."""
+    answers = items(spark, sf_dir).withColumn("span_no", F.lit(0)).withColumnRenamed("answer", "text")
+    spans = with_tokens(answers, "text", lambda r: r)
+    passages = api.prepare_passages(sources(spark, sf_dir))
+    pairs = lexical_top(spans, passages, inverse_document_frequency(passages), 50)
+    pairs = pairs.join(passages.select("corpus_id", "candidate_index", F.col("text").alias("passage_text")), ["corpus_id", "candidate_index"]).join(answers.select("query_id", F.col("text").alias("span_text")), "query_id")
+    return C.aligned(pairs, CitationConfig())
+
+
+ALIGNED = ["query_id", "candidate_index", "score", "token_start", "token_end", "query_start", "query_end", "matches"]
+
+
+def align_pairs(spark, sf_dir):
+    return _aligned_items(spark, sf_dir).select(*ALIGNED)
+
+
+def align_topk(spark, sf_dir, k: int = 5):
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "token_start", F.desc(F.col("token_end") - F.col("token_start")), "query_start", "candidate_index", "token_end", "query_end")
+    return _aligned_items(spark, sf_dir).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select(*ALIGNED, "place")
+
+
+def align_best(spark, sf_dir):
+    return align_topk(spark, sf_dir, 1)
+
+
+def _cited(spark, sf_dir, cfg: CitationConfig | None = None) -> DataFrame:
+    return api.align_citations(items(spark, sf_dir), sources(spark, sf_dir), cfg)
+
+
+FLAT = ["query_id", "span_no", "status", "rank", "score", "source_id", "source_index", "candidate_index", "char_start", "char_end", "evidence"]
+
+
+def citations(spark, sf_dir):
+    return api.citations_of(_cited(spark, sf_dir)).select(*FLAT)
+
+
+def citations_strict(spark, sf_dir):
+    return api.citations_of(_cited(spark, sf_dir, CitationConfig.strict())).select(*FLAT)
+
+
+def citations_multispan(spark, sf_dir):
+    found = api.citations_of(_cited(spark, sf_dir, CitationConfig(multi_span_evidence=True, window_size_sentences=2)))
+    return found.select(*FLAT, F.size("evidence_spans").alias("n_spans"))
+
+
+def status_counts(spark, sf_dir):
+    return _cited(spark, sf_dir).groupBy("status").agg(F.count("*").alias("n"))
+
+
+def groundedness(spark, sf_dir):
+    found = api.check_groundedness(turns(spark, sf_dir), sources(spark, sf_dir))
+    return found.drop("span_confidences", "unsupported_spans", "weakly_supported_spans")
+
+
+def is_grounded(spark, sf_dir):
+    return api.is_grounded(items(spark, sf_dir), sources(spark, sf_dir))
+
+
+def is_hallucinated(spark, sf_dir):
+    return api.is_hallucinated(items(spark, sf_dir), sources(spark, sf_dir))
+
+
+def verify_facts(spark, sf_dir):
+    return api.verify_facts(items(spark, sf_dir), sources(spark, sf_dir)).drop("verified_claims", "unverified_claims", "partial_claims")
+
+
+def annotate_answer(spark, sf_dir):
+    return api.annotate_answer(items(spark, sf_dir), sources(spark, sf_dir))
+
+
+def citation_summary(spark, sf_dir):
+    answers = items(spark, sf_dir)
+    return api.get_citation_summary(api.align_citations(answers, sources(spark, sf_dir)), answers)
+
+
+QUERIES = {f.__name__: f for f in (source_documents, source_chunks, segment_sources, segment_answers, passage_windows, tokenize, token_idf, lexical_topn, cosine_topk, embedding_norms, align_pairs, align_topk, align_best, citations, citations_strict, citations_multispan, status_counts, groundedness, is_grounded, is_hallucinated, verify_facts, annotate_answer, citation_summary)}
+
+_SPACE = r"[\s\x0b\x1c-\x1f]"
+
+
+def _sentences_sql(rows: str, key: str, newlines: bool) -> str:
+    """CTEs that cut t of `rows` (key columns, t, base) into the table `sentences` (key, no, text, a, b)."""
+    marked = rf"regexp_replace(regexp_replace(t, '([.?!])({_SPACE})', '\1' || chr(1) || '\2', 'g'), ';', ';' || chr(1), 'g')"
+    # a mark between two ends of sentences needs a second pass only where ends touch white space, which never overlap
+    if newlines:
+        marked = rf"regexp_replace({marked}, '\n', chr(10) || chr(1), 'g')"
+    return f"""
+cut AS (SELECT {key}, base, string_split({marked}, chr(1)) AS p FROM {rows}),
+each AS (SELECT {key}, base, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM cut),
+placed AS (SELECT {key}, x, i, base + coalesce(sum(length(x)) OVER (PARTITION BY {key} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM each),
+trim1 AS (SELECT {key}, i, s + length(x) - length(regexp_replace(x, '^{_SPACE}+', '')) AS a, regexp_replace(regexp_replace(x, '^{_SPACE}+', ''), '{_SPACE}+$', '') AS text FROM placed),
+sentences AS (SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY i) - 1 AS no, text, a, a + length(text) AS b FROM trim1 WHERE text <> '')"""
+
+
+_DOC_SENTENCES = "docs AS (SELECT doc_id, coalesce(text, '') AS t, 0 AS base FROM documents)," + _sentences_sql("docs", "doc_id", True)
+_TOKEN = "'([0-9]+(?:[.,][0-9]+)*|[%$€£]|[A-Za-z0-9À-ÖØ-Þà-öø-ÿß]+(?:[''’\\-][A-Za-z0-9À-ÖØ-Þà-öø-ÿß]+)*)'"
+
+
+def _tokens_sql(column: str) -> str:
+    x = "replace(replace(lower(x), '’', ''''), 'ß', 'ss')"
+    return f"list_transform(regexp_extract_all({column}, {_TOKEN}, 1), lambda x: CASE {x} WHEN '%' THEN 'percent' WHEN '$' THEN 'dollar' WHEN '€' THEN 'euro' WHEN '£' THEN 'pound' ELSE CASE WHEN regexp_matches(x, '^[0-9]') THEN replace({x}, ',', '') ELSE {x} END END)"
+
+
+_IDF = f"""
+passages AS (SELECT doc_id, no, {_tokens_sql("text")} AS tokens FROM sentences),
+df AS (SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, no, unnest(tokens) AS token FROM passages) GROUP BY token),
+idf AS (SELECT token, df, ln(((SELECT count(*) FROM passages) + 1) / (df + 1)) + 1 AS idf FROM df)"""
+
+_PARAGRAPHS = r"""
+answers AS (SELECT concat(conv_id, '/', turn) AS query_id, coalesce(text, '') AS whole FROM conversations WHERE role = 'assistant'),
+pcut AS (SELECT query_id, string_split(regexp_replace(whole, '(\n[ \t]*\n+)', '\1' || chr(2), 'g'), chr(2)) AS p FROM answers),
+peach AS (SELECT query_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM pcut),
+pplaced AS (SELECT query_id, x, i, coalesce(sum(length(x)) OVER (PARTITION BY query_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM peach),
+ptrim AS (SELECT query_id, i, s + length(x) - length(regexp_replace(x, '^[\s\x0b\x1c-\x1f]+', '')) AS base, regexp_replace(regexp_replace(x, '^[\s\x0b\x1c-\x1f]+', ''), '[\s\x0b\x1c-\x1f]+$', '') AS t FROM pplaced),
+paras AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY i) - 1)::INTEGER AS paragraph_index, base, t FROM ptrim WHERE t <> ''),"""
+
+SQL: dict[str, str] = {
+    "source_documents": "SELECT doc_id AS source_pos, doc_id::VARCHAR AS source_id, doc_id AS source_index, 0 AS base_doc_offset, lang, length(coalesce(text, ''))::INTEGER AS n FROM documents",
+    "source_chunks": "SELECT doc_id AS source_pos, doc_id::VARCHAR AS source_id, 100 AS base_doc_offset, (100 + length(substr(text, 101)))::INTEGER AS chunk_end, length(substr(text, 101))::INTEGER AS n, length(text)::INTEGER AS n_full FROM documents",
+    "segment_sources": f"WITH {_DOC_SENTENCES} SELECT doc_id, no::INTEGER AS sentence_no, text, a::INTEGER AS char_start, b::INTEGER AS char_end FROM sentences",
+    "segment_answers": f"WITH {_PARAGRAPHS} {_sentences_sql('paras', 'query_id, paragraph_index', False)} SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY a) - 1)::INTEGER AS span_no, paragraph_index, text, a::INTEGER AS char_start, b::INTEGER AS char_end FROM sentences",
+    "passage_windows": f"""WITH {_DOC_SENTENCES},
+n AS (SELECT doc_id, count(*) AS n FROM sentences GROUP BY doc_id),
+w AS (SELECT doc_id, n, unnest(generate_series(0, greatest(0, ceil((n - 3) / 2)::BIGINT))) AS k FROM n)
+SELECT w.doc_id AS source_pos, w.k::INTEGER AS passage_no, (2 * w.k)::INTEGER AS segment_start, least(w.n, 2 * w.k + 3)::INTEGER AS segment_end,
+       f.a::INTEGER AS doc_char_start, l.b::INTEGER AS doc_char_end, md5(substr(d.text, f.a::BIGINT + 1, (l.b - f.a)::BIGINT)) AS digest
+FROM w JOIN sentences f ON f.doc_id = w.doc_id AND f.no = 2 * w.k JOIN sentences l ON l.doc_id = w.doc_id AND l.no = least(w.n, 2 * w.k + 3) - 1 JOIN documents d ON d.doc_id = w.doc_id""",
+    "tokenize": f"SELECT doc_id, len(k)::INTEGER AS n_tokens, md5(array_to_string(k, ' ')) AS digest FROM (SELECT doc_id, {_tokens_sql('text')} AS k FROM documents)",
+    "token_idf": f"WITH {_DOC_SENTENCES}, {_IDF} SELECT token, df, round(idf, 9) AS idf FROM idf",
+    "cosine_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+p AS (SELECT q.vec_id AS query, v.vec_id, list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e)) / sqrt(list_dot_product(v.e, v.e)) AS c FROM v q, v WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(c, 12) DESC, vec_id) AS rank FROM p)
+SELECT query, vec_id, rank::INTEGER AS rank, round(c, 6) AS cosine FROM r WHERE rank <= 10""",
+    "embedding_norms": "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm FROM embeddings",
+}
