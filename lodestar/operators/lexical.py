@@ -22,7 +22,7 @@ STEP = 10**12
 
 def document_frequency(passages: DataFrame) -> DataFrame:
     """corpus_id, token, df: in how many passages of a corpus a token stands."""
-    return passages.select("corpus_id", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("corpus_id", "token").agg(F.count("*").alias("df"))
+    return passages.select("corpus_id", F.explode_outer(F.array_distinct("tokens")).alias("token")).where("token is not null").groupBy("corpus_id", "token").agg(F.count("*").alias("df"))
 
 
 def inverse_document_frequency(passages: DataFrame) -> DataFrame:

@@ -14,6 +14,14 @@ from ..functions.tokens import PLAIN, arrow_tokens, plain_tokens
 RANGE = 4096
 
 
+def exploded(rows: DataFrame, array: str, out: str, position: str = "__pos") -> DataFrame:
+    """A row for each element of an array. The outer form and a filter behind it keep the optimizer from computing the
+    array once more, as a filter of its own, below."""
+    names = [c for c in rows.columns if c != array]
+    found = rows.select(*names, F.posexplode_outer(array).alias(position, out)).where(F.col(out).isNotNull())
+    return found.drop("__pos")
+
+
 def segmented(rows: DataFrame, text: str, segmenter) -> DataFrame:
     """rows with `segments`, by a function of a text that returns (start, end) pairs; runs in Arrow batches."""
     import pyarrow as pa
@@ -36,9 +44,9 @@ def spans_of(answers: DataFrame, segmenter=None) -> DataFrame:
     (query_id, corpus_id, answer)."""
     if segmenter is None:
         rows = with_paragraphs(answers.select("query_id", "corpus_id", "answer"), "answer", "paragraphs")
-        rows = rows.select("query_id", "corpus_id", F.posexplode("paragraphs").alias("paragraph_index", "p"))
+        rows = exploded(rows.select("query_id", "corpus_id", "paragraphs"), "paragraphs", "p", "paragraph_index")
         rows = with_sentences(rows.select("query_id", "corpus_id", "paragraph_index", F.col("p.text").alias("t"), F.col("p.start").alias("base")), "t", split_on_newlines=False)
-        rows = rows.select("query_id", "corpus_id", "paragraph_index", "base", F.explode("segments").alias("s"))
+        rows = exploded(rows.select("query_id", "corpus_id", "paragraph_index", "base", "segments"), "segments", "s")
     else:
         rows = segmented(answers.select("query_id", "corpus_id", "answer"), "answer", segmenter)
         rows = rows.select("query_id", "corpus_id", F.lit(None).cast("int").alias("paragraph_index"), F.lit(0).alias("base"), F.explode("segments").alias("s"))
@@ -56,7 +64,7 @@ def passages_of(sources: DataFrame, size: int = 1, stride: int = 1, segmenter=No
         rows = segmented(sources, "text", segmenter)
     rows = rows.withColumn("passages", windows(F.col("segments"), F.col("text"), size, stride))
     keep = [c for c in ("corpus_id", "source_pos", "source_id", "source_index", "base_doc_offset") if c in rows.columns]
-    rows = rows.select(*keep, F.posexplode("passages").alias("passage_no", "p"))
+    rows = exploded(rows.select(*keep, "passages"), "passages", "p", "passage_no")
     return rows.select(*keep, "passage_no", F.col("p.text").alias("text"), F.col("p.start").alias("doc_char_start"), F.col("p.end").alias("doc_char_end"), F.col("p.segment_start").alias("segment_start"), F.col("p.segment_end").alias("segment_end"))
 
 

@@ -14,7 +14,7 @@ from ..config import CitationConfig
 from ..functions.segments import with_sentences
 from ..operators import citations as C
 from ..operators.lexical import inverse_document_frequency, lexical_top
-from ..operators.passages import passages_of, with_tokens
+from ..operators.passages import exploded, passages_of, with_tokens
 from ..operators.vectors import cosine_top, index_norms
 from ..sources import adapters
 
@@ -50,7 +50,7 @@ def source_chunks(spark, sf_dir):
 
 def segment_sources(spark, sf_dir):
     rows = with_sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", F.posexplode("segments").alias("sentence_no", "s")).select("doc_id", "sentence_no", F.col("s.text").alias("text"), F.col("s.start").alias("char_start"), F.col("s.end").alias("char_end"))
+    return exploded(rows.select("doc_id", "segments"), "segments", "s", "sentence_no").select("doc_id", "sentence_no", F.col("s.text").alias("text"), F.col("s.start").alias("char_start"), F.col("s.end").alias("char_end"))
 
 
 def segment_answers(spark, sf_dir):
