@@ -29,7 +29,7 @@ WORDS = 5
 PERCENT = 75
 FLUSH = 4 * CHUNK_BYTES
 #: members of a cluster in a task
-BLOCK = 2000
+BLOCK = 400
 
 
 def sets_of(data: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -365,8 +365,7 @@ def links_within(clusters: DataFrame, percent: int = PERCENT, words: int = WORDS
     def links(now, held) -> pa.RecordBatch:
         key, root, n, mine = (np.array([h[k] for h in held], np.int64) for k in range(4))
         sets = [h[4] for h in held]
-        flat, bounds = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-        table = np.frombuffer(b"".join(sketches(flat, bounds)), np.uint8).reshape(-1, 256)
+        table = np.frombuffer(b"".join([h[5] for h in held]), np.uint8).reshape(-1, 256)
         up = {r: r for r in root.tolist()}
 
         def top(r):
@@ -398,6 +397,7 @@ def links_within(clusters: DataFrame, percent: int = PERCENT, words: int = WORDS
             columns = [batch.column(k).to_pylist() for k in range(7)]
             for lo, _, data, off in chunks(batch.column(7)):
                 sets, bounds = sets_of(data, off, words)
+                sketch = sketches(sets, bounds)
                 for d in range(len(off) - 1):
                     r = lo + d
                     task = (columns[0][r], columns[1][r], columns[2][r])
@@ -405,7 +405,7 @@ def links_within(clusters: DataFrame, percent: int = PERCENT, words: int = WORDS
                         if len(held) > 1:
                             yield links(now, held)
                         now, held = task, []
-                    held.append((columns[3][r], columns[4][r], columns[5][r], columns[6][r], sets[bounds[d] : bounds[d + 1]].copy()))
+                    held.append((columns[3][r], columns[4][r], columns[5][r], columns[6][r], sets[bounds[d] : bounds[d + 1]].copy(), sketch[d]))
         if len(held) > 1:
             yield links(now, held)
 
