@@ -263,12 +263,14 @@ def search(docs: DataFrame, block, text: str) -> DataFrame:
 def merged(runs):
     """Sorted runs that overlap or touch become one."""
 
+    ordered = F.array_sort(runs)
+
     def add(done, x):
-        last = F.element_at(done, -1)
+        last = F.try_element_at(done, F.lit(-1))
         joined = F.struct(last["first"].alias("first"), F.greatest(last["last"], x["last"]).alias("last"), last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
-        return F.when((F.size(done) > 0) & (x["first"] <= F.try_element_at(done, F.lit(-1))["last"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(x)))
+        return F.when((F.size(done) > 0) & (x["first"] <= last["last"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(x)))
 
-    return F.aggregate(F.array_sort(runs), F.slice(runs, 1, 0), add)
+    return F.aggregate(ordered, F.slice(ordered, 1, 0), add)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
@@ -294,8 +296,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         every = every.unionByName(f)
     # rows that are alike give alike results, so a set of these is as small as the number of blocks
     one = every.groupBy(*docs.columns).agg(F.first("n_words").alias("n_words"), F.collect_set("runs").alias("r"), F.collect_set("items").alias("i"), (F.count("*") / len(found)).cast("int").alias("times"))
-    one = one.select(*docs.columns, "n_words", merged(F.flatten("r")).alias("runs"), F.array_sort(F.array_distinct(F.flatten("i"))).alias("items"), F.explode(F.sequence(F.lit(1), "times")).alias("__k"))
-    return one.drop("__k")
+    one = one.select(*docs.columns, "n_words", merged(F.flatten("r")).alias("runs"), F.array_sort(F.array_distinct(F.flatten("i"))).alias("items"), "times")
+    return one.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).drop("times")
 
 
 def report(found: DataFrame) -> DataFrame:
