@@ -1,7 +1,9 @@
 """Lexical retrieval: passages ranked for each span by the share of the span's token weight that they hold.
 
-Few spans are scored against blocks of passages where these lie, and only each block's best leave it; the spans that
-are broadcast are counted first. More spans take an inverted-index join on the token. Both give the same rows.
+Few spans are scored against blocks of passages where these lie, and only each partition's best leave it; the spans that
+are broadcast are counted first. More spans take an inverted-index join on the token, if its rows, which are counted
+first too, are not too many: many answers with small corpora of their own. Else they come in blocks of few, with a pass
+over the passages for each. All ways give the same rows.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ from pyspark.sql.window import Window as W
 
 #: spans that are broadcast at most, and tokens that each may have on average
 SPANS = 20_000
+#: rows of the inverted-index join at most
+JOINED = 1_000_000_000
 #: scores are sums of weights in steps of this, so they don't depend on the order of addition
 STEP = 10**12
 
@@ -55,8 +59,24 @@ def lexical_top(spans: DataFrame, passages: DataFrame, idf: DataFrame, most: int
     """The `most` best rows of lexical_scores() for each span, with rank, by (score, source_index, candidate_index)."""
     if most <= 0:
         return _best(lexical_scores(spans.limit(0), passages, idf), 0)
-    if spans.limit(SPANS + 1).count() > SPANS:
-        return _best(lexical_scores(spans, passages, idf), most)
+    n = spans.count()
+    if n > SPANS:
+        by_token = weighted_spans(spans, idf).groupBy("corpus_id", "token").agg(F.count("*").alias("n"))
+        load = by_token.join(idf, ["corpus_id", "token"]).agg(F.sum(F.col("n") * F.col("df"))).first()[0] or 0
+        if load <= JOINED:
+            return _best(lexical_scores(spans, passages, idf), most)
+        parts = -(-n // SPANS) + 1
+        block_of = F.pmod(F.xxhash64("query_id", "span_no"), F.lit(parts))
+        found = [_scored(spans.where(block_of == k), passages, idf, most) for k in range(parts)]
+        every = found[0]
+        for f in found[1:]:
+            every = every.unionByName(f)
+        return every
+    return _scored(spans, passages, idf, most)
+
+
+def _scored(spans: DataFrame, passages: DataFrame, idf: DataFrame, most: int) -> DataFrame:
+    """lexical_top() of spans that are few enough to be broadcast."""
     rows = weighted_spans(spans, idf).groupBy("query_id", "corpus_id", "span_no").agg(F.collect_list(F.struct("token", "w")).alias("t")).collect()
     by_corpus: dict = {}
     for k, r in enumerate(rows):

@@ -140,6 +140,11 @@ def status_counts(spark, sf_dir):
 
 
 def groundedness(spark, sf_dir):
+    found = api.check_groundedness(items(spark, sf_dir), sources(spark, sf_dir))
+    return found.drop("span_confidences", "unsupported_spans", "weakly_supported_spans")
+
+
+def groundedness_of_turns(spark, sf_dir):
     found = api.check_groundedness(turns(spark, sf_dir), sources(spark, sf_dir))
     return found.drop("span_confidences", "unsupported_spans", "weakly_supported_spans")
 
@@ -165,7 +170,7 @@ def citation_summary(spark, sf_dir):
     return api.get_citation_summary(api.align_citations(answers, sources(spark, sf_dir)), answers)
 
 
-QUERIES = {f.__name__: f for f in (source_documents, source_chunks, segment_sources, segment_answers, passage_windows, tokenize, token_idf, lexical_topn, cosine_topk, embedding_norms, align_pairs, align_topk, align_best, citations, citations_strict, citations_multispan, status_counts, groundedness, is_grounded, is_hallucinated, verify_facts, annotate_answer, citation_summary)}
+QUERIES = {f.__name__: f for f in (source_documents, source_chunks, segment_sources, segment_answers, passage_windows, tokenize, token_idf, lexical_topn, cosine_topk, embedding_norms, align_pairs, align_topk, align_best, citations, citations_strict, citations_multispan, status_counts, groundedness, groundedness_of_turns, is_grounded, is_hallucinated, verify_facts, annotate_answer, citation_summary)}
 
 _SPACE = r"[\s\x0b\x1c-\x1f]"
 

@@ -127,10 +127,11 @@ def test_lexical_paths_agree(spark, monkeypatch):
     spans = api.prepare_spans(answers)
     idf = lexical.inverse_document_frequency(passages_)
     found = []
-    for most in (20_000, 0):
+    for most, joined in ((20_000, 0), (1, 10**9), (1, 0)):
         monkeypatch.setattr(lexical, "SPANS", most)
+        monkeypatch.setattr(lexical, "JOINED", joined)
         found.append(sorted(map(str, lexical.lexical_top(spans, passages_, idf, 3).collect())))
-    assert found[0] == found[1] and len(found[0]) == 7
+    assert found[0] == found[1] == found[2] and len(found[0]) == 7
 
 
 def spans_table(spark, rows):
