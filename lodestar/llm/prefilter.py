@@ -22,19 +22,24 @@ def id_bitmap(ids: DataFrame, column: str, bits: int = BITS):
     n = width(ids.sparkSession)
     piece = -(-bits // (8 * n)) * 8
 
+    def place(source) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            at = (mix(np.asarray(batch.column(0)).astype(np.int64).view(U)) % U(bits)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((at // piece).astype(np.int32)), pa.array(at % piece)], names=["part", "at"])
+
     def run(source) -> Iterator[pa.RecordBatch]:
         maps: dict[int, np.ndarray] = {}
         for batch in source:
-            at = (mix(np.asarray(batch.column(0)).astype(np.int64).view(U)) % U(bits)).astype(np.int64)
-            for p in np.unique(at // piece).tolist():
-                m = maps.setdefault(p, np.zeros(piece, bool))
-                m[at[at // piece == p] % piece] = True
+            part, at = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            for p in np.unique(part).tolist():
+                maps.setdefault(p, np.zeros(piece, bool))[at[part == p]] = True
         if maps:
             yield pa.RecordBatch.from_arrays([pa.array(list(maps), pa.int32()), pa.array([zlib.compress(np.packbits(m).tobytes(), 1) for m in maps.values()], pa.binary())], names=["part", "bits"])
 
-    rows = ids.where(F.col(column).isNotNull()).select(F.col(column).cast("long").alias("id")).distinct().coalesce(n).mapInArrow(tidy(run), "part int, bits binary")
+    rows = ids.where(F.col(column).isNotNull()).select(F.col(column).cast("long").alias("id"))
+    rows = rows.mapInArrow(tidy(place), "part int, at long").repartition(n, "part").mapInArrow(tidy(run), "part int, bits binary")
     whole = np.zeros(piece // 8 * n, np.uint8)
-    for r in rows.toLocalIterator():
+    for r in rows.collect():
         whole[r["part"] * (piece // 8) : (r["part"] + 1) * (piece // 8)] |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
     return ids.sparkSession.sparkContext.broadcast(whole)
 
