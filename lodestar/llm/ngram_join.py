@@ -29,7 +29,7 @@ WORDS = 5
 PERCENT = 75
 FLUSH = 4 * CHUNK_BYTES
 #: members of a cluster in a task
-BLOCK = 400
+BLOCK = 1500
 
 
 def sets_of(data: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
