@@ -1,8 +1,7 @@
 """Line deduplication by pairwise alignment.
 
-The first document (by id) that holds a line owns it. A later document is aligned with an owner if they share a rare
-line, or several lines, or lines that make up half of the later one, so that groups of any size cost one alignment a
-member and owner instead of one a pair. The alignment is a patience diff over line hashes: lines that are unique on both
+The first document (by id) that holds a line owns it, and every later document with the line is aligned with the owner,
+so that groups of any size cost one alignment a member and owner instead of one a pair. The alignment is a patience diff over line hashes: lines that are unique on both
 sides anchor it by a longest increasing sequence, and the gaps between anchors are aligned likewise. Aligned runs of
 enough words are deleted from the later document.
 """
@@ -22,8 +21,6 @@ from .prefilter import id_bitmap, maybe_in
 from .quality import line_bounds
 from .runtime import cut, tidy, width
 
-#: a line in at most so many documents is rare
-RARE = 64
 #: words of the shortest run that is deleted
 MIN_WORDS = 10
 #: characters of the shortest line that names a partner
@@ -89,7 +86,7 @@ def line_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def lines_of(rows: DataFrame, least: int = MIN_CHARS) -> DataFrame:
-    """(line, doc_id, size, whole): each distinct line of enough bytes in a row of doc_id and text."""
+    """(line, doc_id): each distinct line of enough bytes in a row of doc_id and text."""
 
     def run(source) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -102,18 +99,16 @@ def lines_of(rows: DataFrame, least: int = MIN_CHARS) -> DataFrame:
                 d, x = doc[order], h[order]
                 once = np.concatenate([[True], (d[1:] != d[:-1]) | (x[1:] != x[:-1])]) if len(order) else np.zeros(0, bool)
                 order = order[once]
-                yield pa.RecordBatch.from_arrays([pa.array(h[order].view(np.int64)), ids.take(pa.array(lo + doc[order])), pa.array(size[order]), pa.array(np.diff(off)[doc[order]])], names=["line", "doc_id", "size", "whole"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[order].view(np.int64)), ids.take(pa.array(lo + doc[order]))], names=["line", "doc_id"])
 
-    return rows.mapInArrow(tidy(run), "line long, doc_id long, size long, whole long")
+    return rows.mapInArrow(tidy(run), "line long, doc_id long")
 
 
-def partners(rows: DataFrame, rare: int = RARE) -> DataFrame:
+def partners(rows: DataFrame) -> DataFrame:
     """(owner, doc_id): later documents and the owners they are aligned with."""
     lines = cut(lines_of(rows))
-    owners = lines.groupBy("line").agg(F.min("doc_id").alias("owner"), F.count("*").alias("df"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
-    shared = lines.join(owners, "line").where("doc_id > owner")
-    pair = shared.groupBy("owner", "doc_id").agg(F.min("df").alias("df"), F.count("*").alias("n"), F.sum("size").alias("size"), F.min("whole").alias("whole"))
-    return pair.where((F.col("df") <= rare) | (F.col("n") >= 2) | (2 * F.col("size") >= F.col("whole"))).select("owner", "doc_id")
+    owners = lines.groupBy("line").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
+    return lines.join(owners, "line").where("doc_id > owner").select("owner", "doc_id").distinct()
 
 
 def aligned(pairs: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
@@ -160,7 +155,7 @@ def own_key(now, owner: int, salt: int, own: list, lines: list[int]):
     return ((owner, salt), [*own, lines]) if now == (owner, salt) else ((owner, salt), [lines])
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """docs with three columns more: n_lines, n_removed (lines deleted), partner_ids (the owners they align with).
 
     The text loses the lines of aligned runs of at least min_words words; lines split at newlines only, and equal lines
@@ -172,7 +167,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rar
     keyed = F.xxhash64(F.col(text))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "partner_ids")]
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    pairs = cut(partners(rows, rare))
+    pairs = cut(partners(rows))
     ids = pairs.select("doc_id").union(pairs.select("owner")).distinct()
     texts = maybe_in(rows, "doc_id", id_bitmap(ids, "doc_id")).join(ids, "doc_id").distinct().withColumn("text_key", F.xxhash64("text"))
     found = aligned(pairs, texts, min_words).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.collect_set("owner")).alias("partner_ids"))

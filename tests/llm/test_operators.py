@@ -277,3 +277,13 @@ def test_line_dedup(spark):
         assert (got[i].n_lines, got[i].n_removed) == (len(split[i]), len(gone))
     assert got[36].text == "" and got[36].lang == "en"
     assert line_dedup.dedup_lines(docs(spark, [])).collect() == []
+
+
+def test_line_dedup_of_a_frequent_line(spark):
+    passage = " ".join(f"common{k}" for k in range(60))
+    texts = ["\n".join(" ".join(f"d{i}w{j}x{k}" for k in range(60)) for j in range(4)) for i in range(300)]
+    texts = [f"{t[: t.index(chr(10))]}\n{passage}{t[t.index(chr(10)) :]}" for t in texts]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    assert got[0].text == texts[0] and got[0].n_removed == 0
+    for i in range(1, 300):
+        assert got[i].text == texts[i].replace(passage + "\n", "") and (got[i].n_removed, got[i].partner_ids) == (1, [0])
