@@ -1,7 +1,9 @@
 """Line deduplication by pairwise alignment.
 
-The first document (by id) that holds a line owns it, and every later document with the line is aligned with the owner,
-so that groups of any size cost one alignment a member and owner instead of one a pair. The alignment is a patience diff over line hashes: lines that are unique on both
+A key is a run of neighbouring lines just long enough to have the words of the shortest run that is deleted: for each
+line the shortest such run from it on, and the shortest one up to it. Every line of a block that two documents share is in
+a key that both have. The first document (by id) that holds a key owns it, and every later document with the key is
+aligned with the owner, so that groups of any size cost one alignment a member and owner instead of one a pair. The alignment is a patience diff over line hashes: lines that are unique on both
 sides anchor it by a longest increasing sequence, and the gaps between anchors are aligned likewise. Aligned runs of
 enough words are deleted from the later document.
 """
@@ -16,17 +18,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import chunks, mix, space_table, span_hashes, word_spans
+from .kernels import U, chunks, mix, space_table, span_hashes, word_spans
 from .prefilter import id_bitmap, maybe_in
 from .quality import line_bounds
 from .runtime import cut, tidy, width
 
 #: words of the shortest run that is deleted
 MIN_WORDS = 10
-#: characters of the shortest line that names a partner
+#: bytes of the longest line in the shortest run that names a partner
 MIN_CHARS = 16
 #: partners of an owner in one task
 SPREAD = 2000
+#: base of the hashes of runs of lines
+BASE = U(0xD1342543DE82EF95)
 
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
@@ -85,30 +89,60 @@ def line_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return mix(span_hashes(data, starts, ends)), ends - starts, np.searchsorted(words, ends) - np.searchsorted(words, starts), first
 
 
-def lines_of(rows: DataFrame, least: int = MIN_CHARS) -> DataFrame:
-    """(line, doc_id): each distinct line of enough bytes in a row of doc_id and text."""
+def short_runs(words: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and end lines of all keys: runs of at least so many words that begin and end with a word.
+
+    words: those of each line; first: the first line of each document, and the end.
+    """
+    total = np.concatenate([[0], np.cumsum(words)])
+    at = np.flatnonzero(words > 0)
+    doc = np.searchsorted(first, at, side="right") - 1
+    end = np.searchsorted(total, total[at] + least)
+    start = np.searchsorted(total, total[at + 1] - least, side="right") - 1
+    down, up = end <= first[doc + 1], start >= first[doc]
+    both = np.unique(np.stack([np.concatenate([at[down], start[up]]), np.concatenate([end[down], at[up] + 1])]), axis=1)
+    return both[0], both[1]
+
+
+def run_hashes(lines: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of runs of lines from the lines' hashes."""
+    with np.errstate(over="ignore"):
+        power = np.full(len(lines) + 1, BASE)
+        back = np.full(len(lines) + 1, U(pow(int(BASE), -1, 1 << 64)))
+        power[0] = back[0] = U(1)
+        np.multiply.accumulate(power, out=power)
+        np.multiply.accumulate(back, out=back)
+        total = np.concatenate([np.zeros(1, U), np.cumsum(lines * power[:-1])])
+        return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(U))
+
+
+def keys_of(rows: DataFrame, min_words: int = MIN_WORDS, least: int = MIN_CHARS) -> DataFrame:
+    """(key, doc_id): the distinct keys with a line of enough bytes in each row of doc_id and text."""
 
     def run(source) -> Iterator[pa.RecordBatch]:
         for batch in source:
             ids = batch.column(0)
             for lo, _, data, off in chunks(batch.column(1)):
                 h, size, words, first = line_hashes(data, off)
-                doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
-                keep = np.flatnonzero((size >= least) & (words > 0))
-                order = keep[np.lexsort((h[keep], doc[keep]))]
-                d, x = doc[order], h[order]
+                starts, ends = short_runs(words, first, min_words)
+                long = np.concatenate([[0], np.cumsum((size >= least) & (words > 0))])
+                keep = long[ends] > long[starts]
+                starts, ends = starts[keep], ends[keep]
+                key, doc = run_hashes(h, starts, ends), np.searchsorted(first, starts, side="right") - 1
+                order = np.lexsort((key, doc))
+                d, x = doc[order], key[order]
                 once = np.concatenate([[True], (d[1:] != d[:-1]) | (x[1:] != x[:-1])]) if len(order) else np.zeros(0, bool)
                 order = order[once]
-                yield pa.RecordBatch.from_arrays([pa.array(h[order].view(np.int64)), ids.take(pa.array(lo + doc[order]))], names=["line", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[order].view(np.int64)), ids.take(pa.array(lo + doc[order]))], names=["key", "doc_id"])
 
-    return rows.mapInArrow(tidy(run), "line long, doc_id long")
+    return rows.mapInArrow(tidy(run), "key long, doc_id long")
 
 
-def partners(rows: DataFrame) -> DataFrame:
+def partners(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(owner, doc_id): later documents and the owners they are aligned with."""
-    lines = cut(lines_of(rows))
-    owners = lines.groupBy("line").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
-    return lines.join(owners, "line").where("doc_id > owner").select("owner", "doc_id").distinct()
+    keys = cut(keys_of(rows, min_words))
+    owners = keys.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
+    return keys.join(owners, "key").where("doc_id > owner").select("owner", "doc_id").distinct()
 
 
 def aligned(pairs: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
@@ -167,7 +201,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     keyed = F.xxhash64(F.col(text))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "partner_ids")]
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    pairs = cut(partners(rows))
+    pairs = cut(partners(rows, min_words))
     ids = pairs.select("doc_id").union(pairs.select("owner")).distinct()
     texts = maybe_in(rows, "doc_id", id_bitmap(ids, "doc_id")).join(ids, "doc_id").distinct().withColumn("text_key", F.xxhash64("text"))
     found = aligned(pairs, texts, min_words).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.collect_set("owner")).alias("partner_ids"))

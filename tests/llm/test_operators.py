@@ -287,3 +287,32 @@ def test_line_dedup_of_a_frequent_line(spark):
     assert got[0].text == texts[0] and got[0].n_removed == 0
     for i in range(1, 300):
         assert got[i].text == texts[i].replace(passage + "\n", "") and (got[i].n_removed, got[i].partner_ids) == (1, [0])
+
+
+def test_line_dedup_of_a_block_whose_lines_stand_elsewhere_first(spark):
+    own = lambda i: " ".join(f"d{i}x{k}" for k in range(20))
+    block = ["alpha beta gamma delta epsilon", "zeta eta theta iota kappa lambda", "twenty more words"]
+    texts = [f"{own(i)}\n{x}\nown end {i}" for i, x in enumerate(block)]
+    texts += ["\n".join([own(3), *block, own(4)]), "\n".join([own(5), *block[:2], own(6)]), "\n".join([own(7), *block, own(8)])]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    assert [got[i].n_removed for i in range(6)] == [0, 0, 0, 0, 2, 3]
+    assert got[4].text == own(5) + "\n" + own(6) and got[5].text == own(7) + "\n" + own(8)
+    assert got[4].partner_ids == [3] and got[5].partner_ids == [3]
+
+
+def test_line_dedup_keys_cover_shared_blocks():
+    rng = random.Random(9)
+    words = np.array([rng.choice([0, 0, 1, 2, 3, 5, 9, 10, 12]) for _ in range(300)])
+    first = np.array([0, 0, 40, 41, 150, 150, 300])
+    starts, ends = line_dedup.short_runs(words, first, 10)
+    keys = set(zip(starts.tolist(), ends.tolist(), strict=True))
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        for i in range(a, b):
+            for j in range(i + 1, min(b, i + 30) + 1):
+                if words[i:j].sum() >= 10:
+                    seen = {x for s, e in keys if i <= s and e <= j for x in range(s, e)}
+                    assert {x for x in range(i, j) if words[x]} <= seen
+    assert all(words[s:e].sum() >= 10 and words[s] and words[e - 1] and np.searchsorted(first, s, side="right") == np.searchsorted(first, e - 1, side="right") for s, e in keys)
+    lines = np.random.default_rng(9).integers(0, 1 << 63, 12).astype(np.uint64)
+    h = line_dedup.run_hashes(np.concatenate([lines, lines]), np.array([2, 14, 2, 3]), np.array([5, 17, 6, 6]))
+    assert h[0] == h[1] and len(set(h.tolist())) == 3
