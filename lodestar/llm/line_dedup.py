@@ -25,8 +25,6 @@ from .runtime import cut, tidy, width
 
 #: words of the shortest run that is deleted
 MIN_WORDS = 10
-#: bytes of the longest line in the shortest run that names a partner
-MIN_CHARS = 16
 #: partners of an owner in one task
 SPREAD = 2000
 #: base of the hashes of runs of lines
@@ -82,11 +80,11 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     return blocks
 
 
-def line_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, bytes and words of every line, and the first line of each document."""
+def line_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and words of every line, and the first line of each document."""
     starts, ends, first = line_bounds(data, off)
     words, _, _ = word_spans(data, off, space_table())
-    return mix(span_hashes(data, starts, ends)), ends - starts, np.searchsorted(words, ends) - np.searchsorted(words, starts), first
+    return mix(span_hashes(data, starts, ends)), np.searchsorted(words, ends) - np.searchsorted(words, starts), first
 
 
 def short_runs(words: np.ndarray, first: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,18 +114,15 @@ def run_hashes(lines: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(U))
 
 
-def keys_of(rows: DataFrame, min_words: int = MIN_WORDS, least: int = MIN_CHARS) -> DataFrame:
-    """(key, doc_id): the distinct keys with a line of enough bytes in each row of doc_id and text."""
+def keys_of(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(key, doc_id): the distinct keys in each row of doc_id and text."""
 
     def run(source) -> Iterator[pa.RecordBatch]:
         for batch in source:
             ids = batch.column(0)
             for lo, _, data, off in chunks(batch.column(1)):
-                h, size, words, first = line_hashes(data, off)
+                h, words, first = line_hashes(data, off)
                 starts, ends = short_runs(words, first, min_words)
-                long = np.concatenate([[0], np.cumsum((size >= least) & (words > 0))])
-                keep = long[ends] > long[starts]
-                starts, ends = starts[keep], ends[keep]
                 key, doc = run_hashes(h, starts, ends), np.searchsorted(first, starts, side="right") - 1
                 order = np.lexsort((key, doc))
                 d, x = doc[order], key[order]
@@ -161,7 +156,7 @@ def aligned(pairs: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
         for batch in source:
             owner, salt, role, ids, keys = (batch.column(i).to_pylist() for i in range(5))
             for lo, _, data, off in chunks(batch.column(5)):
-                h, _, words, first = line_hashes(data, off)
+                h, words, first = line_hashes(data, off)
                 out = []
                 for d in range(len(off) - 1):
                     r = lo + d
@@ -193,7 +188,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     """docs with three columns more: n_lines, n_removed (lines deleted), partner_ids (the owners they align with).
 
     The text loses the lines of aligned runs of at least min_words words; lines split at newlines only, and equal lines
-    are equal in bytes. Earlier means a smaller doc_id; rows under one id are not compared with each other, and each
+    are equal in bytes, short ones too. Earlier means a smaller doc_id; rows under one id are not compared with each other, and each
     repeated row loses the same lines. A text may end up empty. A null text stays null, with no lines; a row with a null
     id stays as it is. An empty table gives no rows. All other columns pass through; of columns in docs that are named
     like the new ones, the new ones replace them.

@@ -300,6 +300,13 @@ def test_line_dedup_of_a_block_whose_lines_stand_elsewhere_first(spark):
     assert got[4].partner_ids == [3] and got[5].partner_ids == [3]
 
 
+def test_line_dedup_of_short_lines(spark):
+    values = [f"v{k}" for k in range(400)]
+    texts = ["\n".join(values), "\n".join(values), "\n".join(["a", "b", *values[50:350], "c"]), "\n".join(f"o{k}" for k in range(400))]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    assert [(got[i].text, got[i].n_removed) for i in range(4)] == [(texts[0], 0), ("", 400), ("a\nb\nc", 300), (texts[3], 0)]
+
+
 def test_line_dedup_keys_cover_shared_blocks():
     rng = random.Random(9)
     words = np.array([rng.choice([0, 0, 1, 2, 3, 5, 9, 10, 12]) for _ in range(300)])
