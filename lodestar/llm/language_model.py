@@ -2,14 +2,17 @@
 
 The softmax is factored: a class of the token first, then the token within its class. Both read hashed features of the
 one token before, of the one before that (skip), and of both together. The most frequent tokens fill the classes by
-rank; all other tokens are one class more, in which they share by their counts. Weights are trained by stochastic
-gradient steps in every partition of the training documents at once, and the steps are averaged row by row over the
+rank; all other tokens are one class more, in which they are leaves of a binary tree over their hashes. Each node of the
+tree with tokens on both sides decides by their counts and by weights of the same three features, so its depth and its
+table of weights follow the number of tokens counted. Tokens that end in one leaf share it by their counts. Weights are
+trained by stochastic gradient steps in every partition of the training documents at once, and the steps are averaged row by row over the
 partitions that took them. Counts of all tokens are exact: tokens that are not in the broadcast head of the vocabulary
 are looked up where their counts lie, and the answers return to the batch that asked.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,8 +30,11 @@ END = U(0x0E17D0C5)
 CLASSES, IN_CLASS = 32, 32
 #: tokens whose counts are broadcast, 16 bytes each
 HEAD = 1 << 18
-#: hashed rows of the two weight tables, of 33 and of 32 floats
+#: least hashed rows of the two weight tables, of 33 and of 32 floats, and counted tokens a row
 CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 15
+CLASS_SHARE, WORD_SHARE = 32, 16
+#: bits of the tree beyond those that number its tokens, and weights of a tree that travel together
+SPARE_BITS, TREE_BLOCK = 2, 1 << 16
 STEP = 8192
 RATE = 0.5
 EPOCHS = 1
@@ -47,12 +53,62 @@ class Vocabulary:
     rest_v: int
 
 
+def packed(table: np.ndarray) -> tuple[tuple[int, ...], bytes]:
+    """A table of weights as it travels: in half precision, and zeros as good as nothing."""
+    return table.shape, zlib.compress(table.astype(np.float16).tobytes(), 1)
+
+
+def unpacked(shape: tuple[int, ...], data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.float16).reshape(shape).astype(np.float32)
+
+
+@dataclass
+class Tree:
+    """Tokens outside the classes by the leading bits of their hashes: counts under each node (children of i: 2 i and
+    2 i + 1, the root is 1), and hashed weights of the nodes' features."""
+
+    bits: int
+    mass: np.ndarray
+    weights: np.ndarray
+
+    def __getstate__(self):
+        leaves = self.mass[1 << self.bits :]
+        at = np.flatnonzero(leaves)
+        return self.bits, zlib.compress(np.diff(at, prepend=0).astype(np.uint32).tobytes(), 1), zlib.compress(leaves[at].tobytes(), 1), packed(self.weights)
+
+    def __setstate__(self, state):
+        self.bits, at, mass, weights = state
+        leaves = np.zeros(1 << self.bits, np.float32)
+        leaves[np.cumsum(np.frombuffer(zlib.decompress(at), np.uint32).astype(np.int64))] = np.frombuffer(zlib.decompress(mass), np.float32)
+        self.mass, self.weights = summed(leaves), unpacked(*weights)
+
+
+def summed(leaves: np.ndarray) -> np.ndarray:
+    """What lies under each node of a tree with these leaves."""
+    n = len(leaves)
+    mass = np.zeros(2 * n, np.float32)
+    mass[n:] = leaves
+    while n > 1:
+        below = mass[n : 2 * n].astype(np.float64)
+        mass[n // 2 : n] = below[::2] + below[1::2]
+        n //= 2
+    return mass
+
+
 @dataclass
 class Weights:
     class_bias: np.ndarray
     word_bias: np.ndarray
     classes: np.ndarray
     words: np.ndarray
+    tree: Tree | None = None
+
+    def __getstate__(self):
+        return self.class_bias, self.word_bias, packed(self.classes), packed(self.words), self.tree
+
+    def __setstate__(self, state):
+        self.class_bias, self.word_bias, classes, words, self.tree = state
+        self.classes, self.words = unpacked(*classes), unpacked(*words)
 
 
 def sequences(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,8 +212,70 @@ def fresh(v: Vocabulary) -> Weights:
     words = np.full((CLASSES, IN_CLASS), 1e-3)
     known = v.rank >= 0
     words.ravel()[v.rank[known]] = v.counts[known] + 0.5
+    rows, in_words = (max(least, 1 << (v.v // share).bit_length()) for least, share in ((CLASS_ROWS, CLASS_SHARE), (WORD_ROWS, WORD_SHARE)))
     classes = np.append(words.sum(axis=1), v.rest_n + 0.5)
-    return Weights(np.log(classes / classes.sum()).astype(np.float32), np.log(words / words.sum(axis=1, keepdims=True)).astype(np.float32), np.zeros((CLASS_ROWS, CLASSES + 1), np.float32), np.zeros((WORD_ROWS, IN_CLASS), np.float32))
+    return Weights(np.log(classes / classes.sum()).astype(np.float32), np.log(words / words.sum(axis=1, keepdims=True)).astype(np.float32), np.zeros((rows, CLASSES + 1), np.float32), np.zeros((in_words, IN_CLASS), np.float32))
+
+
+def leaf_of(tokens: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(tokens ^ U(0x5851F42D4C957F2D)) >> U(64 - bits)).astype(np.int64)
+
+
+def tree_of(counts: DataFrame, v: Vocabulary) -> Tree | None:
+    """The tree of all counted tokens outside the classes, with zero weights; None if there are none."""
+    if not v.rest_v:
+        return None
+    bits = v.rest_v.bit_length() + SPARE_BITS
+    ranked = np.sort(v.tokens[v.rank >= 0])
+
+    def run(source) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            for b in batch.column(1):
+                x = np.frombuffer(b.as_buffer(), np.int64)
+                t, c = x[: len(x) // 2].view(U), x[len(x) // 2 :]
+                rest = ~find(ranked, t)[1]
+                leaf, at = np.unique(leaf_of(t[rest], bits), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array([leaf.tobytes() + np.bincount(at, weights=c[rest] + 1.0, minlength=len(leaf)).tobytes()], pa.binary())], names=["blob"])
+
+    leaves = np.zeros(1 << bits, np.float32)
+    for r in counts.mapInArrow(tidy(run), "blob binary").toLocalIterator():
+        k = len(r["blob"]) // 16
+        leaves[np.frombuffer(r["blob"], np.int64, k)] += np.frombuffer(r["blob"], np.float64, k, 8 * k)
+    return Tree(bits, summed(leaves), np.zeros(1 << (bits - 1), np.float32))
+
+
+def decisions(tree: Tree, ctx: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The choices on the way to each token: its place in tokens, log odds of its side by counts, +1 or -1 for the side,
+    and the weights' rows of the three features."""
+    child = ((1 << tree.bits) + leaf_of(tokens, tree.bits))[:, None] >> np.arange(tree.bits)
+    own, other = tree.mass[child], tree.mass[child ^ 1]
+    at, level = np.nonzero((own > 0) & (other > 0))
+    child = child[at, level]
+    with np.errstate(over="ignore"):
+        node = (child >> 1).astype(U) * U(0xD1B54A32D192ED03)
+        rows = (((ctx[:, at] ^ node) * U(0x9E3779B97F4A7C15)) >> U(65 - len(tree.weights).bit_length())).astype(np.int64)
+    return at, np.log(own[at, level] / other[at, level]), (2 * (child & 1) - 1).astype(np.float32), rows
+
+
+def tree_gain(tree: Tree, ctx: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Natural log of each token's probability in the tree over its share by counts."""
+    out = np.zeros(len(tokens))
+    for lo in range(0, len(tokens), STEP):
+        at, bias, side, rows = decisions(tree, ctx[:, lo : lo + STEP], tokens[lo : lo + STEP])
+        x = bias + side * tree.weights[rows].sum(axis=0)
+        gain = np.logaddexp(0, -bias) - np.logaddexp(0, -x)
+        out[lo : lo + STEP] = np.bincount(at, weights=gain, minlength=len(out[lo : lo + STEP]))
+    return out
+
+
+def tree_step(tree: Tree, speed: np.ndarray, ctx: np.ndarray, tokens: np.ndarray, rate: float) -> None:
+    """One adaptive gradient step of the weights on the way to the tokens."""
+    _, bias, side, rows = decisions(tree, ctx, tokens)
+    x = bias + side * tree.weights[rows].sum(axis=0)
+    g = (-side / (1 + np.exp(np.minimum(x, 60)))).astype(np.float32)
+    for r in rows:
+        np.add.at(speed, r, g * g)
+        np.subtract.at(tree.weights, r, (g * (rate / np.sqrt(speed[r] + 1))).astype(np.float32))
 
 
 def contexts(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -172,13 +290,13 @@ def contexts(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
         return np.stack([mix(one ^ U(0x1F123BB5)), mix(two ^ U(0x7A5E3C91D1)), mix(one * U(0x9E3779B97F4A7C15) + two)])
 
 
-def class_rows(ctx: np.ndarray) -> np.ndarray:
-    return (ctx & U(CLASS_ROWS - 1)).astype(np.int64)
+def class_rows(ctx: np.ndarray, n: int) -> np.ndarray:
+    return (ctx & U(n - 1)).astype(np.int64)
 
 
-def word_rows(ctx: np.ndarray, c: np.ndarray) -> np.ndarray:
+def word_rows(ctx: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return (((ctx ^ (c.astype(U) * U(0xD1B54A32D192ED03))) * U(0x9E3779B97F4A7C15)) >> U(49)).astype(np.int64)
+        return (((ctx ^ (c.astype(U) * U(0xD1B54A32D192ED03))) * U(0x9E3779B97F4A7C15)) >> U(65 - n.bit_length())).astype(np.int64)
 
 
 def softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,14 +322,14 @@ def log_probability(w: Weights, ctx: np.ndarray, rank: np.ndarray) -> np.ndarray
     for lo in range(0, len(rank), STEP):
         c, r = ctx[:, lo : lo + STEP], rank[lo : lo + STEP]
         k = np.where(r >= 0, r // IN_CLASS, CLASSES)
-        x = logits(w.class_bias, w.classes, class_rows(c))
+        x = logits(w.class_bias, w.classes, class_rows(c, len(w.classes)))
         y = x[np.arange(len(k)), k]
         top = x.max(axis=1)
         x -= top[:, None]
         y = y - top - np.log(np.exp(x, out=x).sum(axis=1))
         m = np.flatnonzero(r >= 0)
         if len(m):
-            x = logits(w.word_bias[k[m]], w.words, word_rows(c[:, m], k[m]))
+            x = logits(w.word_bias[k[m]], w.words, word_rows(c[:, m], k[m], len(w.words)))
             z = x[np.arange(len(m)), r[m] % IN_CLASS]
             top = x.max(axis=1)
             x -= top[:, None]
@@ -233,14 +351,14 @@ def descend(table: np.ndarray, speed: np.ndarray, rows: np.ndarray, grad: np.nda
 
 def train_step(w: Weights, speeds: tuple[np.ndarray, np.ndarray], ctx: np.ndarray, rank: np.ndarray, rate: float) -> None:
     k = np.where(rank >= 0, rank // IN_CLASS, CLASSES)
-    rows = class_rows(ctx)
+    rows = class_rows(ctx, len(w.classes))
     g, _ = softmax(logits(w.class_bias, w.classes, rows))
     g[np.arange(len(k)), k] -= 1
     for r in rows:
         descend(w.classes, speeds[0], r, g, rate)
     m = np.flatnonzero(rank >= 0)
     if len(m):
-        rows = word_rows(ctx[:, m], k[m])
+        rows = word_rows(ctx[:, m], k[m], len(w.words))
         g, _ = softmax(logits(w.word_bias[k[m]], w.words, rows))
         g[np.arange(len(m)), rank[m] % IN_CLASS] -= 1
         for r in rows:
@@ -261,12 +379,13 @@ def train(texts: DataFrame, vocab, w: Weights, rate: float = RATE) -> Weights:
     over the tasks that changed the row. Only changed rows travel."""
     spark = texts.sparkSession
     start = spark.sparkContext.broadcast(w)
-    rows_in_blob = 512
+    rows_in_blob, kinds = 512, 1 << 28
 
     def run(source) -> Iterator[pa.RecordBatch]:
         v, s = vocab.value, start.value
-        mine = Weights(s.class_bias, s.word_bias, s.classes.copy(), s.words.copy())
-        speeds = np.zeros(CLASS_ROWS), np.zeros(WORD_ROWS)
+        mine = Weights(s.class_bias, s.word_bias, s.classes.copy(), s.words.copy(), s.tree and Tree(s.tree.bits, s.tree.mass, s.tree.weights.copy()))
+        speeds = np.zeros(len(mine.classes)), np.zeros(len(mine.words))
+        tree_speed = np.zeros(len(mine.tree.weights) if mine.tree else 0, np.float32)
         for batch in source:
             for _, _, data, off in chunks(batch.column(0)):
                 tokens, first = sequences(data, off)
@@ -275,16 +394,34 @@ def train(texts: DataFrame, vocab, w: Weights, rate: float = RATE) -> Weights:
                 ctx = contexts(tokens, first)
                 for lo in range(0, len(rank), STEP):
                     train_step(mine, speeds, ctx[:, lo : lo + STEP], rank[lo : lo + STEP], rate)
+                    rest = lo + np.flatnonzero(rank[lo : lo + STEP] < 0)
+                    if mine.tree and len(rest):
+                        tree_step(mine.tree, tree_speed, ctx[:, rest], tokens[rest], rate)
         for kind, new, old, speed in ((0, mine.classes, s.classes, speeds[0]), (1, mine.words, s.words, speeds[1])):
             for lo in range(0, len(new), rows_in_blob):
                 r = lo + np.flatnonzero(speed[lo : lo + rows_in_blob] > 0)
                 if len(r):
-                    yield pa.RecordBatch.from_arrays([pa.array([kind * 1000 + lo // rows_in_blob], pa.int32()), pa.array([np.array([len(r)], np.int64).tobytes() + r.tobytes() + (new[r] - old[r]).astype(np.float16).tobytes()], pa.binary())], names=["part", "blob"])
+                    yield pa.RecordBatch.from_arrays([pa.array([kind * kinds + lo // rows_in_blob], pa.int32()), pa.array([np.array([len(r)], np.int64).tobytes() + r.tobytes() + (new[r] - old[r]).astype(np.float16).tobytes()], pa.binary())], names=["part", "blob"])
+
+        for lo in range(0, len(tree_speed), TREE_BLOCK):
+            took = tree_speed[lo : lo + TREE_BLOCK] > 0
+            if took.any():
+                change = (mine.tree.weights[lo : lo + TREE_BLOCK] - s.tree.weights[lo : lo + TREE_BLOCK])[took]
+                yield pa.RecordBatch.from_arrays([pa.array([2 * kinds + lo // TREE_BLOCK], pa.int32()), pa.array([np.array([len(took)], np.int64).tobytes() + np.packbits(took).tobytes() + change.astype(np.float16).tobytes()], pa.binary())], names=["part", "blob"])
 
     def mean(source) -> Iterator[pa.RecordBatch]:
         for part, blobs in by_part(source):
-            wide = CLASSES + 1 if part < 1000 else IN_CLASS
-            lo = part % 1000 * rows_in_blob
+            if part >= 2 * kinds:
+                size = int(np.frombuffer(blobs[0], np.int64, 1)[0])
+                total, n = np.zeros(size, np.float32), np.zeros(size, np.float32)
+                for b in blobs:
+                    took = np.unpackbits(np.frombuffer(b, np.uint8, -(-size // 8), 8), count=size).astype(bool)
+                    total[took] += np.frombuffer(b, np.float16, -1, 8 + -(-size // 8))
+                    n += took
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([(total / np.maximum(n, 1)).tobytes()], pa.binary())], names=["part", "blob"])
+                continue
+            wide = CLASSES + 1 if part < kinds else IN_CLASS
+            lo = part % kinds * rows_in_blob
             total, n = np.zeros((rows_in_blob, wide)), np.zeros(rows_in_blob)
             for b in blobs:
                 k = int(np.frombuffer(b, np.int64, 1)[0])
@@ -296,11 +433,17 @@ def train(texts: DataFrame, vocab, w: Weights, rate: float = RATE) -> Weights:
 
     found = texts.mapInArrow(tidy(run), "part int, blob binary").repartition(width(spark), "part").sortWithinPartitions("part").mapInArrow(tidy(mean), "part int, blob binary").collect()
     classes, words = w.classes.copy(), w.words.copy()
+    tree = w.tree and Tree(w.tree.bits, w.tree.mass, w.tree.weights.copy())
     for r in found:
-        table = classes if r["part"] < 1000 else words
-        lo = r["part"] % 1000 * rows_in_blob
+        if r["part"] >= 2 * kinds:
+            lo = (r["part"] - 2 * kinds) * TREE_BLOCK
+            tree.weights[lo : lo + TREE_BLOCK] += np.frombuffer(r["blob"], np.float32)
+            continue
+        table = classes if r["part"] < kinds else words
+        lo = r["part"] % kinds * rows_in_blob
         table[lo : lo + rows_in_blob] += np.frombuffer(r["blob"], np.float32).reshape(-1, table.shape[1])
-    return Weights(w.class_bias, w.word_bias, classes, words)
+    start.unpersist()
+    return Weights(w.class_bias, w.word_bias, classes, words, tree)
 
 
 HOME = np.dtype([("n", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8"), ("ask", "<i8")])
@@ -310,8 +453,9 @@ def score_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     Tokens are words `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z, then one END; a null text is empty and has END only.
-    base_score sums log10((c + 1) / (N + V + 1)); score is the model's log10 probability of the text, in which the tokens
-    outside its classes share their class by (c + 1) / (N' + V' + 1), with the counts N' and kinds V' of those tokens.
+    base_score sums log10((c + 1) / (N + V + 1)); score is the model's log10 probability of the text, in which the counted
+    tokens outside its classes have (N' + V') / (N' + V' + 1) of their class, with the counts N' and kinds V' of those
+    tokens, and divide it by the tree (without weights: by c + 1); the rest is for all tokens that were not counted.
     Rows of a null id are not held out. Repeated rows count again. Without training rows all counts are 0 and the model
     is its prior. An empty table gives no rows. Tokens are told apart by 64-bit hashes.
     """
@@ -323,6 +467,7 @@ def score_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     v = vocabulary(counts, head)
     vocab = spark.sparkContext.broadcast(v)
     w = fresh(v)
+    w.tree = tree_of(counts, v)
     for e in range(epochs):
         w = train(learn, vocab, w, RATE / (1 + e))
     weights = spark.sparkContext.broadcast(w)
@@ -341,7 +486,7 @@ def score_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 batch_no += 1
                 n_docs = hi - lo
                 home = np.zeros(n_docs, HOME)
-                asked, asked_doc = [], []
+                asked, asked_doc, asked_gain = [], [], []
                 for a, b, part_data, part_off in slices(data, off):
                     tokens, first = sequences(part_data, part_off)
                     pos, there = find(v.tokens, tokens)
@@ -354,15 +499,19 @@ def score_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     home["n"][here] = np.diff(first)
                     home["known"][here] = add(there)
                     home["base"][here] = add(logs - log_all)
-                    home["score"][here] = add(log_probability(w, contexts(tokens, first), rank) / np.log(10) + np.where(rank < 0, logs - log_rest, 0.0))
+                    ctx, gain, out = contexts(tokens, first), np.zeros(len(tokens)), np.flatnonzero(rank < 0)
+                    if w.tree and len(out):
+                        gain[out] = tree_gain(w.tree, ctx[:, out], tokens[out]) / np.log(10)
+                    home["score"][here] = add(log_probability(w, ctx, rank) / np.log(10) + np.where(rank < 0, logs - log_rest, 0.0) + np.where(there, gain, 0.0))
                     rest = np.flatnonzero(~there)
                     home["ask"][here] = add(~there)
                     asked.append(tokens[rest])
                     asked_doc.append(doc[rest])
-                asked, asked_doc = np.concatenate(asked), np.concatenate(asked_doc).astype(np.uint32)
+                    asked_gain.append(gain[rest])
+                asked, asked_doc, asked_gain = np.concatenate(asked), np.concatenate(asked_doc).astype(np.uint32), np.concatenate(asked_gain).astype(np.float32)
                 order, at = runs(part_of(asked, parts), parts)
                 use = [p for p in range(parts) if at[p] < at[p + 1]]
-                blobs = [asked[order[at[p] : at[p + 1]]].tobytes() + asked_doc[order[at[p] : at[p + 1]]].tobytes() for p in use]
+                blobs = [asked[order[at[p] : at[p + 1]]].tobytes() + asked_doc[order[at[p] : at[p + 1]]].tobytes() + asked_gain[order[at[p] : at[p + 1]]].tobytes() for p in use]
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, pa.schema([("doc_id", batch.schema.field(0).type), ("held_out", pa.bool_())])) as writer:
                     writer.write_batch(pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n_docs), batch.column(1).slice(lo, n_docs)], names=["doc_id", "held_out"]))
@@ -371,7 +520,7 @@ def score_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array([*use, -1], pa.int32()), pa.array([batch_no] * len(blobs), pa.int64()), pa.array(blobs, pa.binary()), pa.array(ids, pa.binary())], names=["part", "batch", "blob", "ids"])
 
     def answer(source) -> Iterator[pa.RecordBatch]:
-        """A part's counts come first; each request gets its documents' sums of log10(c + 1) and of c > 0."""
+        """A part's counts come first; each request gets its documents' sums of log10(c + 1), of the tree's gains, and of c > 0."""
         now, tokens, count = None, np.zeros(0, U), np.zeros(0, np.int64)
         for batch in source:
             for p, b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -380,18 +529,19 @@ def score_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     x = np.frombuffer(blob, np.int64)
                     now, tokens, count = p, x[: len(x) // 2].view(U), x[len(x) // 2 :]
                     continue
-                k = len(blob) // 12
-                t, doc = np.frombuffer(blob, U, k), np.frombuffer(blob, np.uint32, k, 8 * k)
+                k = len(blob) // 16
+                t, doc, gain = np.frombuffer(blob, U, k), np.frombuffer(blob, np.uint32, k, 8 * k), np.frombuffer(blob, np.float32, k, 12 * k)
                 c = np.zeros(k, np.int64)
                 if now == p:
                     pos, there = find(tokens, t)
                     c = np.where(there, count[pos], 0)
                 docs_in, inverse = np.unique(doc, return_inverse=True)
                 sums = np.bincount(inverse, weights=np.log10(c + 1)).astype(np.float64)
+                gains = np.bincount(inverse, weights=np.where(c > 0, gain, 0)).astype(np.float64)
                 known = np.bincount(inverse, weights=c > 0).astype(np.uint32)
                 some = known > 0
                 if some.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([b], pa.int64()), pa.array([sums[some].tobytes() + docs_in[some].tobytes() + known[some].tobytes()], pa.binary()), pa.array([None], pa.binary())], names=["part", "batch", "blob", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([b], pa.int64()), pa.array([sums[some].tobytes() + gains[some].tobytes() + docs_in[some].tobytes() + known[some].tobytes()], pa.binary()), pa.array([None], pa.binary())], names=["part", "batch", "blob", "ids"])
 
     def gather(source) -> Iterator[pa.RecordBatch]:
         """A batch's documents come first (part -1), then its answers."""
@@ -416,10 +566,11 @@ def score_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     ids = pa.ipc.open_stream(who.as_buffer()).read_next_batch()
                     continue
                 blob = blob.as_buffer()
-                k = len(blob) // 16
-                sums, doc, known = np.frombuffer(blob, np.float64, k), np.frombuffer(blob, np.uint32, k, 8 * k), np.frombuffer(blob, np.uint32, k, 12 * k)
+                k = len(blob) // 24
+                sums, gains = np.frombuffer(blob, np.float64, 2 * k).reshape(2, k)
+                doc, known = np.frombuffer(blob, np.uint32, k, 16 * k), np.frombuffer(blob, np.uint32, k, 20 * k)
                 home["base"][doc] += sums
-                home["score"][doc] += sums
+                home["score"][doc] += sums + gains
                 home["known"][doc] += known
         if now is not None:
             yield done()

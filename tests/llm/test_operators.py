@@ -218,6 +218,37 @@ def test_training_lowers_the_loss_of_what_it_saw():
     assert language_model.log_probability(w, ctx, rank).sum() > before + 100
 
 
+def test_tokens_outside_the_classes_follow_their_context(spark):
+    texts = [f"p{k} q{k}" for k in range(1500) for _ in range(8)]
+    random.Random(4).shuffle(texts)
+    pairs = [(k, k + off) for k in range(0, 1400, 7) for off in (0, 5)]
+    docs_in = docs(spark, [*texts, *(f"p{a} q{b}" for a, b in pairs)])
+    got = {r.doc_id: r.score for r in language_model.score_language(docs_in).collect()}
+    right, wrong = ([got[len(texts) + i] for i in range(e, len(pairs), 2)] for e in (0, 1))
+    assert np.mean(right) > np.mean(wrong) + 1
+
+
+def test_weight_tables_follow_the_vocabulary():
+    size = lambda v: [len(t) for w in [language_model.fresh(language_model.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 9 * v, v, 9 * v, v))] for t in (w.classes, w.words)]
+    assert size(1000) == [1 << 13, 1 << 15] and size(4_000_000) == [1 << 17, 1 << 18]
+    ctx = np.random.default_rng(5).integers(0, 1 << 63, (3, 1000), dtype=np.uint64)
+    rows = language_model.word_rows(ctx, np.arange(1000) % 32, 1 << 17)
+    assert 1 << 16 < rows.max() < 1 << 17 and language_model.class_rows(ctx, 1 << 15).max() >= 1 << 14
+
+
+def test_tree_probabilities_sum_to_one_and_no_token_counts_twice(spark):
+    names = [f"t{k}" for k in range(3000)]
+    v = language_model.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 6001, 3001, 6001, 3001)
+    counts = language_model.token_counts(docs(spark, [" ".join(names * 2)]).select("text"), 4)
+    tree = language_model.tree_of(counts, v)
+    tree.weights[:] = np.random.default_rng(3).normal(size=len(tree.weights))
+    x = [np.frombuffer(r.blob, np.int64) for r in counts.collect()]
+    tokens, c = (np.concatenate(t) for t in zip(*((b[: len(b) // 2].view(np.uint64), b[len(b) // 2 :]) for b in x), strict=True))
+    assert tree.mass[1] == c.sum() + len(c) == 9002
+    ctx = np.tile(np.array([[5], [6], [7]], np.uint64), (1, len(tokens)))
+    assert np.sum((c + 1) / 9002 * np.exp(language_model.tree_gain(tree, ctx, tokens))) == pytest.approx(1, abs=1e-3)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(60, 24))
