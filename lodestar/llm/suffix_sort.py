@@ -1,11 +1,12 @@
-"""Suffix order and common-prefix values by external induced sorting.
+"""Suffix order and common-prefix values by induced sorting, in memory.
 
 A text of integers is split into runs of falling and rising suffixes. The substrings between left-most rising positions
 are named, the text of names is sorted by recursion, and the order of those positions induces that of all falling
 suffixes, which induces that of all rising ones. Induction does not walk the text: every suffix is a tuple of the symbols
-up to the suffix that induces it and the rank of that suffix, and the tuples pass through a queue that gives them back
-in order, in bulk. The queue keeps sorted runs on disk once it holds more than its share of memory, and so do the
-columns of a long text. Common-prefix values are carried along: what the tuples share, and, where they share all, the
+up to the suffix that induces it and the rank of that suffix. The first keys of the tuples pass through a queue, which
+keeps sorted runs on disk once it holds more than its share of memory but is read back whole; later keys, orders and
+prefix values are sorted in memory, though long columns of text, codes and ranks are mapped from disk. Common-prefix
+values are what neighbouring tuples share, and, where they share all, that and the
 least value between the ranks they end in.
 """
 
