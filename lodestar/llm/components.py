@@ -22,11 +22,11 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # large star: each larger neighbour points to the smallest of the neighbourhood
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = both.where("v > u").join(_keyed(low), F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         # small star: the smaller neighbours and the node point to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
-        e = cut(small.where("u != v").distinct())
+        small = large.join(_keyed(low), F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
+        e = cut(small.where("u != v").distinct(), e)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -34,3 +34,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     stars = e.groupBy("u").agg(F.min("v").alias("root"))
     roots = e.select(F.col("v").alias("u")).distinct().join(stars.select("u"), "u", "left_anti")
     return stars.unionByName(roots.select("u", F.col("u").alias("root"))).withColumnRenamed("u", "node")
+
+
+def _keyed(low: DataFrame) -> DataFrame:
+    """low with its key as a computed column k: both sides of the join are dealt anew then, and a hub's part can be split."""
+    return low.select(F.col("u").bitwiseXOR(F.lit(0)).alias("k"), "m")

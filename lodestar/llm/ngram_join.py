@@ -5,19 +5,26 @@ neighbouring ones. For a band, the feature domain is hashed into groups, and eac
 differ in at most k features, some group holds at most one of the differing features, and so two of its three parts
 agree: the features in two parts make a signature, three signatures a group. There are more groups than k needs, so
 that a signature without features, which says nothing, is not sent. The few sets where too many groups could be empty
-send the features of their prefix (by hash order) as signatures as well, which finds their pairs exactly.
+send the features of their prefix (rare ones first, by hash) as signatures as well, which finds their pairs exactly.
 
-Candidates are verified on the whole sets; equal sets are one vertex throughout.
+Features that a large share of all sets hold say little and would fill buckets with texts that have a passage in common
+but little else. All shingles are counted in a table of cells; those of crowded cells stay out of the groups. What two
+sets differ in without them is never more than with them, so the same signatures still meet.
+
+Sets that share a signature are joined to clusters. A cluster's sets are compared exactly, many at a time: a feature of
+few sets adds to their pairs, features of many are multiplied as a matrix. Equal sets are one vertex throughout.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .blobs import SCHEMA, batches, by_part, runs
 from .components import connected_components
@@ -28,8 +35,12 @@ from .runtime import cut, tidy, width
 WORDS = 5
 PERCENT = 75
 FLUSH = 4 * CHUNK_BYTES
-#: members of a cluster in a task
-BLOCK = 1500
+#: shingles are counted in 2 ** CELL_BITS cells; those of a cell are common beyond LEAST and LOAD times the mean cell
+CELL_BITS, LEAST, LOAD = 22, 16, 4
+#: members and shingles of a block of a cluster; a task compares two blocks at most
+BLOCK, BLOCK_SHINGLES = 2000, 3_000_000
+#: cells of a chunk of a matrix product
+DENSE = 4_000_000
 
 
 def sets_of(data: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,8 +77,8 @@ def plan(ends: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return groups, k_same // 2, k_cross // 2
 
 
-def signatures(sets: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, index of its set) of all sets."""
+def signatures(sets: np.ndarray, bounds: np.ndarray, percent: int, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, index of its set) of all sets. common: bitmap of the cells of common shingles, which make no groups."""
     sizes = np.diff(bounds)
     if len(sets) == 0:
         return np.zeros(0, U), np.zeros(0, np.int64)
@@ -75,11 +86,14 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.n
     groups, same, cross = plan(ends, percent)
     band = np.searchsorted(ends, sizes, side="left")
     of_set = np.repeat(np.arange(len(sizes)), sizes)
-    h = mix(sets ^ U(0xA0761D6478BD642F))
+    frequent = np.zeros(len(sets), bool) if common is None else in_cells(sets, common)
+    rare = sets[~frequent]
+    of_set = of_set[~frequent]
+    h = mix(rare ^ U(0xA0761D6478BD642F))
     out_sig, out_set = [], []
     risky = np.zeros(len(sizes), bool)
     low, high = (h & U(0xFFFFFFFF)).astype(np.float64), (h >> U(32)).astype(np.float64)
-    spread = mix(sets ^ U(0xE7037ED1A0B428DB))
+    spread = mix(rare ^ U(0xE7037ED1A0B428DB))
     third = (spread % U(3)).astype(np.int64)
     spread = (spread >> U(2)) & U(0xFFFFFFFF)
     for step in (0, 1):
@@ -110,36 +124,108 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.n
     for d in np.flatnonzero(risky):
         n = int(sizes[d])
         prefix = n - (percent * n + 99) // 100 + 1
-        s = sets[bounds[d] : bounds[d] + prefix]
+        s, late = sets[bounds[d] : bounds[d + 1]], frequent[bounds[d] : bounds[d + 1]]
+        s = np.concatenate([s[~late], s[late]])[:prefix]
         out_sig.append(mix(s ^ U(0x589965CC75374CC3)))
         out_set.append(np.full(len(s), d))
     return np.concatenate(out_sig), np.concatenate(out_set)
 
 
 def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, set_key, n_shingles, sketch) of each row; set_key and sketch are null for a set without elements."""
+    """(doc_id, set_key, n_shingles, part, cells): a row for each row of docs, in which part is null and set_key is null
+    for a set without elements; and what each task counted in each range of cells, in rows of which part is the range."""
+    n_parts = width(docs.sparkSession)
+    piece = cell_range(n_parts)
+
+    def rows(ids, keys, sizes, part, cells) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, keys, sizes, part, cells], names=["doc_id", "set_key", "n_shingles", "part", "cells"])
 
     def run(source) -> Iterator[pa.RecordBatch]:
+        total, waiting, held = np.zeros(piece * n_parts, np.uint32), [], 0
         for batch in source:
-            keys, sizes, sketch = [], [], []
+            keys, sizes = [], []
             for _, _, data, off in chunks(batch.column(1)):
                 sets, bounds = sets_of(data, off, words)
                 keys.append(set_keys(sets, bounds))
                 sizes.append(np.diff(bounds))
-                sketch += sketches(sets, bounds)
+                waiting.append(cells_of(sets).astype(np.uint32))
+                held += len(sets)
+                if held >= 1 << CELL_BITS:
+                    total += np.bincount(np.concatenate(waiting), minlength=len(total)).astype(np.uint32)
+                    waiting, held = [], 0
             if keys:
                 n = np.concatenate(sizes)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed(np.concatenate(keys)), mask=n == 0), pa.array(n), pa.array(sketch, pa.binary(), mask=n == 0)], names=["doc_id", "set_key", "n_shingles", "sketch"])
+                none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
+                yield rows(batch.column(0), pa.array(signed(np.concatenate(keys)), mask=n == 0), pa.array(n), *none)
+        if held:
+            total += np.bincount(np.concatenate(waiting), minlength=len(total)).astype(np.uint32)
+        for p in range(n_parts):
+            c = total[p * piece : (p + 1) * piece]
+            if c.any():
+                none = [pa.nulls(1, pa.int64())] * 3
+                yield rows(*none, pa.array([p], pa.int32()), pa.array([packed_counts(c)], pa.binary()))
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), "doc_id long, set_key long, n_shingles long, part int, cells binary")
+
+
+def cell_range(n_parts: int) -> int:
+    """Cells of each of n_parts ranges, a multiple of 8."""
+    return -(-(1 << CELL_BITS) // (8 * n_parts)) * 8
+
+
+def cells_of(sets: np.ndarray) -> np.ndarray:
+    return (mix(sets ^ U(0x27D4EB2F165667C5)) >> U(64 - CELL_BITS)).astype(np.int64)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), "doc_id long, set_key long, n_shingles long, sketch binary")
 
+def in_cells(sets: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which shingles fall into the cells of a bitmap."""
+    at = cells_of(sets)
+    return ((common[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
 
-def buckets(docs: DataFrame, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(bucket, member): the distinct groups of two or more set keys that share a signature."""
-    parts = min(65535, 4 * width(docs.sparkSession))
+
+def packed_counts(c: np.ndarray) -> bytes:
+    """Counts, most of them small: a compressed byte each, and a list of those that need more."""
+    big = np.flatnonzero(c >= 255)
+    return np.array([len(big)], np.int64).tobytes() + big.tobytes() + c[big].astype(np.int64).tobytes() + zlib.compress(np.minimum(c, 255).astype(np.uint8).tobytes(), 1)
+
+
+def unpacked_counts(b) -> np.ndarray:
+    k = int(np.frombuffer(b, np.int64, 1)[0])
+    c = np.frombuffer(zlib.decompress(memoryview(b)[8 + 16 * k :]), np.uint8).astype(np.int64)
+    c[np.frombuffer(b, np.int64, k, 8)] = np.frombuffer(b, np.int64, k, 8 + 8 * k)
+    return c
+
+
+def common_cells(counted: DataFrame, shingles: int):
+    """A broadcast bitmap of the crowded cells, from digest()'s rows of cells and the number of all shingles. Each task
+    sums a range, so what reaches the driver is the map itself, of half a megabyte."""
+    n_parts = width(counted.sparkSession)
+    piece, most = cell_range(n_parts), max(LEAST, LOAD * shingles / (1 << CELL_BITS))
+
+    def run(source) -> Iterator[pa.RecordBatch]:
+        for part, blobs in by_part(source):
+            total = np.zeros(piece, np.int64)
+            for b in blobs:
+                total += unpacked_counts(b)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(np.packbits(total > most).tobytes(), 1)], pa.binary())], names=["part", "blob"])
+
+    found = counted.select("part", F.col("cells").alias("blob")).repartition(n_parts, "part").sortWithinPartitions("part").mapInArrow(tidy(run), SCHEMA)
+    whole = np.zeros(piece // 8 * n_parts, np.uint8)
+    for r in found.collect():
+        whole[r["part"] * (piece // 8) : (r["part"] + 1) * (piece // 8)] = np.frombuffer(zlib.decompress(r["blob"]), np.uint8)
+    return counted.sparkSession.sparkContext.broadcast(whole)
+
+
+def candidates(texts: DataFrame, common=None, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(a, b): set keys; whatever sets share a signature are connected by these rows. texts has the column text.
+
+    A task meets the signatures of some parts and sends a forest of what they connect, not their groups.
+    """
+    parts = min(65535, 4 * width(texts.sparkSession))
 
     def send(source) -> Iterator[pa.RecordBatch]:
         sigs, idx, keys, held, base = [], [], [], 0, 0
+        cells = common.value if common is not None else None
 
         def flush() -> pa.RecordBatch:
             s, i, table = np.concatenate(sigs), np.concatenate(idx), np.concatenate(keys)
@@ -159,7 +245,7 @@ def buckets(docs: DataFrame, text: str = "text", words: int = WORDS, percent: in
         for batch in source:
             for _, _, data, off in chunks(batch.column(0)):
                 sets, bounds = sets_of(data, off, words)
-                s, i = signatures(sets, bounds, percent)
+                s, i = signatures(sets, bounds, percent, cells)
                 sigs.append(s)
                 idx.append(i + base)
                 keys.append(set_keys(sets, bounds))
@@ -172,7 +258,7 @@ def buckets(docs: DataFrame, text: str = "text", words: int = WORDS, percent: in
             yield flush()
 
     def meet(source) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        low, high = np.zeros(0, U), np.zeros(0, U)
         for _, blobs in by_part(source):
             rest, keys = [], []
             for b in blobs:
@@ -184,105 +270,14 @@ def buckets(docs: DataFrame, text: str = "text", words: int = WORDS, percent: in
             order = np.argsort(r, kind="stable")
             r, key = r[order], np.concatenate(keys)[order]
             first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-            size = np.diff(np.append(first, len(r)))
-            group = np.repeat(np.arange(len(first)), size)
-            differs = np.maximum.reduceat(key, first) != np.minimum.reduceat(key, first)
-            chosen = differs[group]
-            group, key = group[chosen], key[chosen]
-            if not len(key):
-                continue
-            order = np.lexsort((key, group))
-            group, key = group[order], key[order]
-            fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (key[1:] != key[:-1])])
-            group, key = group[fresh], key[fresh]
-            first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-            size = np.diff(np.append(first, len(group)))
-            with np.errstate(over="ignore"):
-                name = mix(np.add.reduceat(mix(key ^ U(0x1B873593)), first) + size.astype(U))
-            _, one = np.unique(name, return_index=True)
-            fresh_names = np.array([int(name[i]) not in seen for i in one], bool)
-            one = one[fresh_names]
-            if len(seen) < 2_000_000:
-                seen.update(name[one].tolist())
-            if len(one):
-                take = np.zeros(len(first), bool)
-                take[one] = True
-                rows = np.repeat(take, size)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.repeat(name, size)[rows])), pa.array(signed(key[rows]))], names=["bucket", "member"])
-
-    sent = docs.select(F.col(text).alias("text")).mapInArrow(tidy(send), SCHEMA)
-    met = sent.repartition(width(docs.sparkSession), "part").sortWithinPartitions("part").mapInArrow(tidy(meet), "bucket long, member long")
-    return met.distinct()
-
-
-def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of set keys whose sets are similar. texts: (set_key, text), one text a key.
-
-    Texts meet at the partner a; the sets of all its b stream past its own, so a task holds two sets at a time.
-    """
-    roles = pairs.select(F.col("a").alias("at"), F.col("b").alias("set_key"), F.lit(1).alias("role")).unionByName(pairs.select(F.col("a").alias("at"), F.col("a").alias("set_key"), F.lit(0).alias("role")).distinct())
-    rows = roles.join(texts, "set_key").select("at", "role", "set_key", "text")
+            least = np.repeat(np.minimum.reduceat(key, first), np.diff(np.append(first, len(r))))
+            apart = key != least
+            low, high = forest(np.concatenate([low, least[apart]]), np.concatenate([high, key[apart]]))
+        if len(low):
+            yield pa.RecordBatch.from_arrays([pa.array(signed(low)), pa.array(signed(high))], names=["a", "b"])
 
-    def run(source) -> Iterator[pa.RecordBatch]:
-        now, own = None, np.zeros(0, U)
-        for batch in source:
-            at, role, key = (batch.column(i).to_pylist() for i in range(3))
-            for lo, hi, data, off in chunks(batch.column(3)):
-                sets, bounds = sets_of(data, off, words)
-                a, b = [], []
-                for r in range(lo, hi):
-                    s = sets[bounds[r - lo] : bounds[r - lo + 1]]
-                    if role[r] == 0:
-                        now, own = at[r], s.copy()
-                        continue
-                    if now != at[r] or not len(own):
-                        raise RuntimeError("a pair came without its partner's text")
-                    pos = np.minimum(np.searchsorted(own, s), len(own) - 1)
-                    common = int(np.count_nonzero(own[pos] == s))
-                    if 100 * common >= percent * (len(own) + len(s) - common):
-                        a.append(now)
-                        b.append(key[r])
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return rows.repartition(width(pairs.sparkSession), "at").sortWithinPartitions("at", "role").mapInArrow(tidy(run), "a long, b long")
-
-
-def sketches(sets: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """For each set, how many features hash to each of 256 cells, up to 255. The sum of absolute differences of two
-    sketches is never more than the number of features in which their sets differ."""
-    n = len(bounds) - 1
-    cell = (mix(sets ^ U(0x3C6EF372FE94F82B)) >> U(56)).astype(np.int64) + 256 * np.repeat(np.arange(n), np.diff(bounds))
-    counts = np.minimum(np.bincount(cell, minlength=256 * n), 255).astype(np.uint8)
-    return [counts[256 * i : 256 * i + 256].tobytes() for i in range(n)]
-
-
-def apart(one: np.ndarray, two: np.ndarray) -> np.ndarray:
-    """Sums of absolute differences of rows of sketches, a bounded number at a time."""
-    out = np.empty(len(one), np.int64)
-    for lo in range(0, len(one), 16_384):
-        x, y = one[lo : lo + 16_384], two[lo : lo + 16_384]
-        out[lo : lo + 16_384] = (np.maximum(x, y) - np.minimum(x, y)).sum(axis=1, dtype=np.int64)
-    return out
-
-
-def may_link(n: np.ndarray, root: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs of rows are of two components and not ruled out by sizes and sketches."""
-    some = np.flatnonzero((root[i] != root[j]) & (np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j])))
-    ok = np.zeros(len(i), bool)
-    for lo in range(0, len(some), 16_384):
-        x = some[lo : lo + 16_384]
-        a, b = i[x], j[x]
-        ok[x] = apart(table[a], table[b]) * (100 + percent) <= (100 - percent) * (n[a] + n[b])
-    return ok
-
-
-def pair_rows(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of all pairs within each run of rows."""
-    later = np.repeat(first + size, size) - (np.arange(int(size.sum())) + np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size)) - 1
-    row = np.arange(int(size.sum())) + np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
-    i = np.repeat(row, later)
-    return i, i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later) - later, later)
+    sent = texts.select(F.col(text).alias("text")).mapInArrow(tidy(send), SCHEMA)
+    return sent.repartition(width(texts.sparkSession), "part").sortWithinPartitions("part").mapInArrow(tidy(meet), "a long, b long")
 
 
 def joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -298,189 +293,138 @@ def joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return label
 
 
-def meetings(members: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): for each bucket, a forest over those members of different components that may be similar.
-
-    members: (bucket, member, root, n, sketch). Buckets of one component have none. Pairs are weighed inside the task,
-    a bounded number at a time, and only the forest leaves it, so what moves is in proportion to the members.
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few links as connect the same keys."""
+    keys, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    label = joined(len(keys), at[: len(a)], at[len(a) :])
+    away = np.flatnonzero(label != np.arange(len(keys)))
+    return keys[label[away]], keys[away]
+
+
+def similar(sets: np.ndarray, bounds: np.ndarray, percent: int, border: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i < j: numbers of all similar sets; with a border, of those with i below it and j not."""
+    size = np.diff(bounds)
+    m = len(size)
+    owner = np.repeat(np.arange(m), size)
+    order = np.argsort(sets, kind="stable")
+    x, owner = sets[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+    held_by = np.diff(np.append(first, len(x)))
+    many = held_by > max(2, 0.08 * m)
+    common = np.zeros((m, m), np.float32)
+    # features of few sets, by how many: each adds one to its pairs
+    for d in np.unique(held_by[~many & (held_by > 1)]).tolist():
+        at = first[~many & (held_by == d)]
+        i, j = np.triu_indices(d, 1)
+        step = max(1, DENSE // len(i))
+        for lo in range(0, len(at), step):
+            of = owner[at[lo : lo + step, None] + np.arange(d)]
+            pair = np.minimum(of[:, i], of[:, j]) * m + np.maximum(of[:, i], of[:, j])
+            pair, n = np.unique(pair.ravel(), return_counts=True)
+            common.ravel()[pair] += n
+    at, n = first[many], held_by[many]
+    step = max(1, DENSE // max(1, m))
+    for lo in range(0, len(at), step):
+        column = np.repeat(np.arange(len(at[lo : lo + step])), n[lo : lo + step])
+        place = np.repeat(at[lo : lo + step] - np.concatenate([[0], np.cumsum(n[lo : lo + step])[:-1]]), n[lo : lo + step]) + np.arange(len(column))
+        holds = np.zeros((m, len(at[lo : lo + step])), np.float32)
+        holds[owner[place], column] = 1
+        common += holds @ holds.T
+    i, j = np.nonzero((100 + percent) * common >= percent * (size[:, None] + size[None, :]).astype(np.float32))
+    keep = (i < j) & ((i < border) & (j >= border) if border else True)
+    i, j = i[keep], j[keep]
+    exact = (100 + percent) * common[i, j].astype(np.int64) >= percent * (size[i] + size[j])
+    return i[exact], j[exact]
+
+
+def links_within(clusters: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(a, b): a forest of the links between members of each cluster. clusters: (cluster, member, n, text).
+
+    A cluster too large for one task is dealt into blocks, and each pair of blocks is a task.
     """
-    mixed = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
-    rows = members.join(mixed, "bucket").select("bucket", "n", "member", "root", "sketch")
-
-    def weigh(bucket, n, key, root, table) -> pa.RecordBatch:
-        first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        size = np.diff(np.append(first, len(bucket)))
-        found_i, found_j = [], []
-        lo = 0
-        while lo < len(first):  # buckets up to about 300,000 pairs, or one larger
-            hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo:] ** 2), 600_000, side="right")))
-            if hi == lo + 1 and size[lo] > 1400:
-                for x in range(int(size[lo])):
-                    j = first[lo] + np.arange(x + 1, size[lo])
-                    i = np.full(len(j), first[lo] + x)
-                    ok = may_link(n, root, table, i, j, percent)
-                    found_i.append(i[ok])
-                    found_j.append(j[ok])
-            else:
-                i, j = pair_rows(first[lo:hi], size[lo:hi])
-                ok = may_link(n, root, table, i, j, percent)
-                found_i.append(i[ok])
-                found_j.append(j[ok])
-            lo = hi
-        label = joined(len(bucket), np.concatenate(found_i), np.concatenate(found_j))
-        at = np.flatnonzero(label != np.arange(len(label)))
-        pairs = np.unique(np.sort(np.stack([key[at], key[label[at]]], axis=1), axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+    many = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / shingles)).cast("int")
+    sizes = clusters.groupBy("cluster").agg(many.alias("g")).where("g > 1")
+    rows = clusters.join(sizes, "cluster", "left").withColumn("g", F.coalesce("g", F.lit(1)))
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("member"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    rows = rows.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "member", "text")
+
+    def links(now, key, sets) -> pa.RecordBatch:
+        mine = np.array([k[0] for k in key])
+        member = np.array([k[1] for k in key], np.int64)
+        border = int(np.count_nonzero(mine == now[1])) if now[1] != now[2] else 0  # rows come in order of blocks
+        i, j = similar(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]), percent, border)
+        low, high = forest(member[i], member[j])
+        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
 
     def run(source) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        now, key, held = None, [], []
         for batch in source:
-            if not batch.num_rows:
-                continue
-            now = tuple(np.asarray(batch.column(k)) for k in range(4)) + (np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint8).reshape(-1, 256),)
-            held.append(now)
-            last = now[0][-1]
-            if held[0][0][0] == last and sum(len(h[0]) for h in held) < 1 << 30:
-                continue  # one bucket so far
-            whole = [np.concatenate(c) for c in zip(*held, strict=True)]
-            end = int(np.flatnonzero(whole[0] != last)[-1]) + 1
-            yield weigh(*(c[:end] for c in whole))
-            held = [tuple(c[end:].copy() for c in whole)]
-        if held:
-            yield weigh(*(np.concatenate(c) for c in zip(*held, strict=True)))
-
-    return rows.repartition(width(members.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), "a long, b long").distinct()
-
-
-def links_within(clusters: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int = BLOCK) -> DataFrame:
-    """(a, b): a forest of links between members of different components of each cluster.
-
-    clusters: (cluster, member, root, n, text). A cluster too large for one task is dealt into blocks, and each pair of
-    blocks is a task; a text goes once to each task of its block.
-    """
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("g"))
-    rows = clusters.join(sizes, "cluster").withColumn("mine", F.pmod(F.xxhash64("member"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    rows = rows.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "member", "root", "n", "mine", "text")
-
-    def links(now, held) -> pa.RecordBatch:
-        key, root, n, mine = (np.array([h[k] for h in held], np.int64) for k in range(4))
-        sets = [h[4] for h in held]
-        table = np.frombuffer(b"".join([h[5] for h in held]), np.uint8).reshape(-1, 256)
-        up = {r: r for r in root.tolist()}
-
-        def top(r):
-            while up[r] != r:
-                up[r] = r = up[up[r]]
-            return r
-
-        a, b = [], []
-        for i in range(len(held)):
-            j = np.arange(i + 1, len(held))
-            if now[1] != now[2]:
-                j = j[mine[j] != mine[i]]
-            j = j[may_link(n, root, table, np.full(len(j), i), j, percent)]
-            for x in j.tolist():
-                p, q = top(int(root[i])), top(int(root[x]))
-                if p == q:
-                    continue
-                pos = np.minimum(np.searchsorted(sets[i], sets[x]), len(sets[i]) - 1)
-                common = int(np.count_nonzero(sets[i][pos] == sets[x]))
-                if 100 * common >= percent * (len(sets[i]) + len(sets[x]) - common):
-                    up[max(p, q)] = min(p, q)
-                    a.append(int(key[i]))
-                    b.append(int(key[x]))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    def run(source) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in source:
-            columns = [batch.column(k).to_pylist() for k in range(7)]
-            for lo, _, data, off in chunks(batch.column(7)):
+            columns = [batch.column(k).to_pylist() for k in range(5)]
+            for lo, _, data, off in chunks(batch.column(5)):
                 sets, bounds = sets_of(data, off, words)
-                sketch = sketches(sets, bounds)
                 for d in range(len(off) - 1):
-                    r = lo + d
-                    task = (columns[0][r], columns[1][r], columns[2][r])
+                    task = tuple(columns[k][lo + d] for k in range(3))
                     if task != now:
                         if len(held) > 1:
-                            yield links(now, held)
-                        now, held = task, []
-                    held.append((columns[3][r], columns[4][r], columns[5][r], columns[6][r], sets[bounds[d] : bounds[d + 1]].copy(), sketch[d]))
+                            yield links(now, key, held)
+                        now, key, held = task, [], []
+                    key.append((columns[3][lo + d], columns[4][lo + d]))
+                    held.append(sets[bounds[d] : bounds[d + 1]].copy())
         if len(held) > 1:
-            yield links(now, held)
-
-    return rows.repartition(width(clusters.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(tidy(run), "a long, b long")
-
-
-def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
-
-    Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a text of fewer than `words` words has one shingle; a null
-    or wordless text has none and links with nothing, nor does a null doc_id pass on as an id: its row keeps a null or
-    its group's smallest. Repeated rows stay repeated. Other columns of docs are not read. Sets are compared by
-    64-bit hashes of their shingles.
-    """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    all_keys = cut(digest(docs, doc_id, text, words))
-    vertex = cut(all_keys.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")))
-    met = cut(buckets(docs, text, words, percent))
-    low = met.groupBy("bucket").agg(F.min("member").alias("a"))
-    star = met.join(low, "bucket").where("member != a").groupBy("member").agg(F.min("a").alias("a")).select("a", F.col("member").alias("b"))
-    star = cut(star)
-    links = cut(confirmed(cut(possible(star, vertex, percent)), vertex, rows, words, percent))
-    roots = connected_components(links)
-    named = met.join(roots, met["member"] == roots["node"], "left").select("bucket", "member", F.coalesce("root", "member").alias("root"))
-    named = named.join(vertex.select(F.col("set_key").alias("member"), "n", "sketch"), "member")
-    clusters = connected_components(meetings(named, percent)).toDF("set_key", "cluster")
-    clusters = cut(clusters.join(roots.toDF("set_key", "root"), "set_key", "left").select("set_key", "cluster", F.coalesce("root", "set_key").alias("root")))
-    texts = texts_of(clusters.select("set_key"), vertex, rows, words)
-    clusters = clusters.join(vertex.select("set_key", "n"), "set_key").join(texts, "set_key").withColumnRenamed("set_key", "member")
-    links = cut(links.unionByName(links_within(clusters, percent, words)))
-    roots = connected_components(links)
-    group = vertex.join(roots, vertex["set_key"] == roots["node"], "left").select("set_key", "rep", F.coalesce("root", "set_key").alias("root"))
-    lowest = group.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_key = group.join(lowest, "root").select("set_key", "component_id")
-    return all_keys.join(of_key, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+            yield links(now, key, held)
 
+    return rows.repartition(width(clusters.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "mine").mapInArrow(tidy(run), "a long, b long")
 
-def confirmed(pairs: DataFrame, vertex: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    keys = pairs.select(F.col("a").alias("set_key")).union(pairs.select("b"))
-    return verified(pairs, texts_of(keys, vertex, rows, words), words, percent)
 
-
-def with_key(rows: DataFrame, words: int) -> DataFrame:
-    """(set_key, text) of rows of doc_id and text."""
+def with_key(rows: DataFrame, words: int = WORDS, text: str = "text", key: str = "set_key") -> DataFrame:
+    """rows with the key of their sets, null for a set without elements."""
+    at, names = rows.columns.index(text), rows.columns
 
     def run(source) -> Iterator[pa.RecordBatch]:
         for batch in source:
-            keys = [set_keys(*sets_of(data, off, words)) for _, _, data, off in chunks(batch.column(1))]
+            keys = [set_keys(*sets_of(data, off, words)) for _, _, data, off in chunks(batch.column(at))]
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(keys))), batch.column(1)], names=["set_key", "text"])
+                k = np.concatenate(keys)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(signed(k), mask=k == 0)], names=[*names, key])
 
-    return rows.select("doc_id", "text").mapInArrow(tidy(run), "set_key long, text string")
+    return rows.mapInArrow(tidy(run), StructType([*rows.schema.fields, StructField(key, LongType())]))
 
 
-def texts_of(keys: DataFrame, vertex: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """(set_key, text): one text for each of the keys, from rows of doc_id and text."""
-    reps = cut(keys.distinct().join(vertex.select("set_key", "rep"), "set_key"))
-    ids = reps.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct()
-    found = maybe_in(rows, "doc_id", id_bitmap(ids, "doc_id")).join(ids, "doc_id")
+def ngram_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """ngram_components() with set_key, which tells rows of one id and different sets apart."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    digested = cut(digest(docs, doc_id, text, words))
+    keys = digested.where("part is null").select("doc_id", "set_key", "n_shingles")
+    vertex = cut(keys.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.sum("n_shingles").alias("all")))
+    shingles = vertex.agg(F.sum("all")).first()[0] or 0
+    common = common_cells(digested.where("part is not null"), shingles)
+    # one row of each set sends signatures; a few others whose id hashes alike, or repeats, do no harm
+    sender = maybe_in(rows, "doc_id", id_bitmap(vertex, "rep"), nulls=True)
+    near = cut(candidates(sender, common, "text", words, percent))
+    clusters = cut(connected_components(near).toDF("set_key", "cluster"), near)
+    reps = cut(clusters.join(vertex.select("set_key", "rep", "n"), "set_key"))
+    texts = maybe_in(rows, "doc_id", id_bitmap(reps, "rep"), nulls=True)
+    # an id that repeats with other texts is told apart by the keys
+    texts = with_key(texts, words).join(reps.where("rep is not null").withColumnRenamed("rep", "doc_id"), ["doc_id", "set_key"]).select("set_key", "cluster", "n", "text")
     if reps.where("rep is null").limit(1).count():
-        found = found.unionByName(rows.where("doc_id is null"))
-    # a doc_id that repeats with other texts is told apart by their keys
-    return cut(with_key(found, words).join(reps.select("set_key"), "set_key").groupBy("set_key").agg(F.max("text").alias("text")))
-
+        nameless = with_key(rows.where("doc_id is null"), words).join(reps.where("rep is null").drop("rep"), "set_key")
+        texts = texts.unionByName(nameless.select("set_key", "cluster", "n", "text"))
+    texts = texts.withColumnRenamed("set_key", "member").groupBy("cluster", "member", "n").agg(F.max("text").alias("text"))
+    links = cut(links_within(texts, percent, words), reps)
+    roots = cut(connected_components(links), links)
+    group = vertex.join(roots, vertex["set_key"] == roots["node"], "left").select("set_key", "rep", F.coalesce("root", "set_key").alias("root"))
+    lowest = group.where("root != set_key").select("root").distinct()
+    lowest = group.join(lowest, "root").groupBy("root").agg(F.min("rep").alias("low"))
+    of_key = group.join(lowest, "root", "left").select("set_key", F.coalesce("low", "rep").alias("component_id"))
+    return keys.join(of_key, "set_key", "left").select("doc_id", "set_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
-def possible(pairs: DataFrame, vertex: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of keys that sizes and sketches don't rule out."""
-    v = vertex.select("set_key", "n", "sketch")
-    both = pairs.join(v.toDF("a", "n_a", "s_a"), "a").join(v.toDF("b", "n_b", "s_b"), "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
 
-    def run(source) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            if batch.num_rows:
-                table = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, 256) for i in (4, 5)]
-                n = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
-                yield batch.select([0, 1]).filter(pa.array(apart(*table) * (100 + percent) <= (100 - percent) * n))
+def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
 
-    return both.mapInArrow(tidy(run), "a long, b long")
+    Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a text of fewer than `words` words has one shingle; a null
+    or wordless text has none and links with nothing, nor does a null doc_id pass on as an id: its row keeps a null or
+    its group's smallest. Repeated rows stay repeated. Other columns of docs are not read. Sets are compared by
+    64-bit hashes of their shingles.
+    """
+    return ngram_groups(docs, doc_id, text, words, percent).drop("set_key")

@@ -44,8 +44,9 @@ def id_bitmap(ids: DataFrame, column: str, bits: int = BITS):
     return ids.sparkSession.sparkContext.broadcast(whole)
 
 
-def maybe_in(rows: DataFrame, column: str, bitmap, bits: int = BITS, inside: bool = True) -> DataFrame:
-    """The rows whose id is in the map, and a few more whose hash coincides; or, not inside, all others. column holds longs."""
+def maybe_in(rows: DataFrame, column: str, bitmap, bits: int = BITS, inside: bool = True, nulls: bool = False) -> DataFrame:
+    """The rows whose id is in the map, and a few more whose hash coincides; or, not inside, all others. column holds longs.
+    With nulls, rows of a null id count as in the map."""
     at = rows.columns.index(column)
 
     def run(source) -> Iterator[pa.RecordBatch]:
@@ -54,6 +55,8 @@ def maybe_in(rows: DataFrame, column: str, bitmap, bits: int = BITS, inside: boo
             c = batch.column(at)
             p = (mix(np.asarray(c.fill_null(0)).astype(np.int64).view(U)) % U(bits)).astype(np.int64)
             hit = ((whole[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).astype(bool)
+            if nulls and c.null_count:
+                hit |= np.asarray(c.is_null())
             yield batch.filter(pa.array(hit == inside))
 
     return rows.mapInArrow(tidy(run), rows.schema)

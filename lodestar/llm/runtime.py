@@ -23,10 +23,26 @@ def shared_dir(spark: SparkSession) -> str:
     return at.get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Run df once and cut its lineage by a reliable checkpoint in the shared folder."""
+def cut(df: DataFrame, *past: DataFrame) -> DataFrame:
+    """Run df once and cut its lineage by a reliable checkpoint in the shared folder. past: earlier cuts that nothing
+    needs any more; their files go. Shuffle files of what is cut off go as soon as the driver's garbage is collected."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    for p in past:
+        forget(p)
+    df.sparkSession._jvm.System.gc()
+    return done
+
+
+def forget(past: DataFrame) -> None:
+    """Delete the files of a cut that nothing needs any more."""
+    jvm = past.sparkSession._jvm
+    plan = past._jdf.queryExecution().logical()
+    if plan.nodeName() == "LogicalRDD" or plan.getClass().getSimpleName() == "LogicalRDD":
+        at = plan.rdd().getCheckpointFile()
+        if at.isDefined():
+            path = jvm.org.apache.hadoop.fs.Path(at.get())
+            path.getFileSystem(past.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def width(spark: SparkSession) -> int:
