@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .blobs import SCHEMA, batches, by_part, runs
+from .blobs import SCHEMA, batches, by_part
 from .components import connected_components
 from .kernels import CHUNK_BYTES, U, chunks, lower_table, mix, shingle_sets, signed, space_table, span_hashes, word_spans
 from .prefilter import id_bitmap, maybe_in
@@ -221,7 +221,7 @@ def candidates(texts: DataFrame, common=None, text: str = "text", words: int = W
 
     A task meets the signatures of some parts and sends a forest of what they connect, not their groups.
     """
-    parts = min(65535, 4 * width(texts.sparkSession))
+    parts = min(65535, width(texts.sparkSession))
 
     def send(source) -> Iterator[pa.RecordBatch]:
         sigs, idx, keys, held, base = [], [], [], 0, 0
@@ -229,17 +229,17 @@ def candidates(texts: DataFrame, common=None, text: str = "text", words: int = W
 
         def flush() -> pa.RecordBatch:
             s, i, table = np.concatenate(sigs), np.concatenate(idx), np.concatenate(keys)
-            part = ((s >> U(32)) % U(parts)).astype(np.int64)
-            order, cut_at = runs(part, parts)
-            rest, i = (s & U(0xFFFFFFFF)).astype(np.uint32)[order], i[order]
+            part = ((s >> U(40)) % U(parts)).astype(np.int64)
+            order = np.lexsort((i, part))
+            rest = s[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]  # 40 bits, beside those of the part
+            i, cut_at = i[order], np.searchsorted(part[order], np.arange(parts + 1))
             names, blobs = [], []
             for p in range(parts):
                 lo, hi = cut_at[p], cut_at[p + 1]
                 if lo < hi:
-                    used, local = np.unique(i[lo:hi], return_inverse=True)
-                    local = local.astype(np.uint16 if len(used) <= 65536 else np.uint32)
+                    used, n = np.unique(i[lo:hi], return_counts=True)
                     names.append(p)
-                    blobs.append(b"".join((np.array([hi - lo, len(used)], np.int64).tobytes(), table[used].tobytes(), rest[lo:hi].tobytes(), local.tobytes())))
+                    blobs.append(b"".join((np.array([hi - lo, len(used)], np.int64).tobytes(), table[used].tobytes(), n.astype(np.uint32).tobytes(), rest[lo:hi].tobytes())))
             return batches(names, blobs)
 
         for batch in source:
@@ -263,11 +263,12 @@ def candidates(texts: DataFrame, common=None, text: str = "text", words: int = W
             rest, keys = [], []
             for b in blobs:
                 n, m = (int(x) for x in np.frombuffer(b, np.int64, 2))
-                table = np.frombuffer(b, U, m, 16)
-                rest.append(np.frombuffer(b, np.uint32, n, 16 + 8 * m))
-                keys.append(table[np.frombuffer(b, np.uint16 if m <= 65536 else np.uint32, n, 16 + 8 * m + 4 * n)])
+                wide = np.zeros((n, 8), np.uint8)
+                wide[:, :5] = np.frombuffer(b, np.uint8, 5 * n, 16 + 12 * m).reshape(n, 5)
+                rest.append(wide.view("<u8")[:, 0])
+                keys.append(np.repeat(np.frombuffer(b, U, m, 16), np.frombuffer(b, np.uint32, m, 16 + 8 * m)))
             r = np.concatenate(rest)
-            order = np.argsort(r, kind="stable")
+            order = np.argsort(r)
             r, key = r[order], np.concatenate(keys)[order]
             first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
             least = np.repeat(np.minimum.reduceat(key, first), np.diff(np.append(first, len(r))))
@@ -337,15 +338,18 @@ def similar(sets: np.ndarray, bounds: np.ndarray, percent: int, border: int = 0)
     return i[exact], j[exact]
 
 
-def links_within(clusters: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """(a, b): a forest of the links between members of each cluster. clusters: (cluster, member, n, text).
+def blocks_of(clusters: DataFrame, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """clusters (cluster, n, ...) with the number g of blocks that a cluster is dealt into."""
+    many = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / shingles)).cast("int")
+    return clusters.join(clusters.groupBy("cluster").agg(many.alias("g")), "cluster")
+
 
-    A cluster too large for one task is dealt into blocks, and each pair of blocks is a task.
+def links_within(clusters: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """(a, b): a forest of the links between members of each cluster. clusters: (cluster, g, member, text).
+
+    A cluster too large for one task is dealt into g blocks, and each pair of blocks is a task.
     """
-    many = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / shingles)).cast("int")
-    sizes = clusters.groupBy("cluster").agg(many.alias("g")).where("g > 1")
-    rows = clusters.join(sizes, "cluster", "left").withColumn("g", F.coalesce("g", F.lit(1)))
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("member"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    rows = clusters.withColumn("mine", F.pmod(F.xxhash64("member"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     rows = rows.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "member", "text")
 
     def links(now, key, sets) -> pa.RecordBatch:
@@ -357,7 +361,7 @@ def links_within(clusters: DataFrame, percent: int = PERCENT, words: int = WORDS
         return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
 
     def run(source) -> Iterator[pa.RecordBatch]:
-        now, key, held = None, [], []
+        now, key, held, seen = None, [], [], set()
         for batch in source:
             columns = [batch.column(k).to_pylist() for k in range(5)]
             for lo, _, data, off in chunks(batch.column(5)):
@@ -367,7 +371,10 @@ def links_within(clusters: DataFrame, percent: int = PERCENT, words: int = WORDS
                     if task != now:
                         if len(held) > 1:
                             yield links(now, key, held)
-                        now, key, held = task, [], []
+                        now, key, held, seen = task, [], [], set()
+                    if (columns[3][lo + d], columns[4][lo + d]) in seen:
+                        continue  # a repeated row
+                    seen.add((columns[3][lo + d], columns[4][lo + d]))
                     key.append((columns[3][lo + d], columns[4][lo + d]))
                     held.append(sets[bounds[d] : bounds[d + 1]].copy())
         if len(held) > 1:
@@ -402,15 +409,14 @@ def ngram_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     sender = maybe_in(rows, "doc_id", id_bitmap(vertex, "rep"), nulls=True)
     near = cut(candidates(sender, common, "text", words, percent))
     clusters = cut(connected_components(near).toDF("set_key", "cluster"), near)
-    reps = cut(clusters.join(vertex.select("set_key", "rep", "n"), "set_key"))
+    reps = cut(blocks_of(clusters.join(vertex.select("set_key", "rep", "n"), "set_key")).drop("n"), clusters)
     texts = maybe_in(rows, "doc_id", id_bitmap(reps, "rep"), nulls=True)
     # an id that repeats with other texts is told apart by the keys
-    texts = with_key(texts, words).join(reps.where("rep is not null").withColumnRenamed("rep", "doc_id"), ["doc_id", "set_key"]).select("set_key", "cluster", "n", "text")
+    texts = with_key(texts, words).join(reps.where("rep is not null").withColumnRenamed("rep", "doc_id"), ["doc_id", "set_key"]).drop("doc_id")
     if reps.where("rep is null").limit(1).count():
-        nameless = with_key(rows.where("doc_id is null"), words).join(reps.where("rep is null").drop("rep"), "set_key")
-        texts = texts.unionByName(nameless.select("set_key", "cluster", "n", "text"))
-    texts = texts.withColumnRenamed("set_key", "member").groupBy("cluster", "member", "n").agg(F.max("text").alias("text"))
-    links = cut(links_within(texts, percent, words), reps)
+        nameless = with_key(rows.where("doc_id is null"), words).drop("doc_id").join(reps.where("rep is null").drop("rep"), "set_key")
+        texts = texts.unionByName(nameless)
+    links = cut(links_within(texts.withColumnRenamed("set_key", "member"), percent, words), reps)
     roots = cut(connected_components(links), links)
     group = vertex.join(roots, vertex["set_key"] == roots["node"], "left").select("set_key", "rep", F.coalesce("root", "set_key").alias("root"))
     lowest = group.where("root != set_key").select("root").distinct()

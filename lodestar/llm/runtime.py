@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one where it is unset and the session is local."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if known:
@@ -18,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
         return known
     at = sc._jsc.sc().getCheckpointDir()
     if not at.isDefined():
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lodestar-checkpoint-"))
         at = sc._jsc.sc().getCheckpointDir()
     return at.get()
@@ -25,12 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, *past: DataFrame) -> DataFrame:
     """Run df once and cut its lineage by a reliable checkpoint in the shared folder. past: earlier cuts that nothing
-    needs any more; their files go. Shuffle files of what is cut off go as soon as the driver's garbage is collected."""
+    needs any more; their files go. Shuffle files of earlier steps go when the driver's garbage is collected, so that is
+    asked for before more are written."""
     shared_dir(df.sparkSession)
+    gc.collect()
+    df.sparkSession._jvm.System.gc()
     done = df.checkpoint(eager=True)
     for p in past:
         forget(p)
-    df.sparkSession._jvm.System.gc()
     return done
 
 
