@@ -36,7 +36,7 @@ WORDS = 5
 PERCENT = 75
 FLUSH = 4 * CHUNK_BYTES
 #: shingles are counted in 2 ** CELL_BITS cells; those of a cell are common beyond LEAST and LOAD times the mean cell
-CELL_BITS, LEAST, LOAD = 22, 16, 4
+CELL_BITS, LEAST, LOAD = 24, 16, 4
 #: members and shingles of a block of a cluster; a task compares two blocks at most
 BLOCK, BLOCK_SHINGLES = 2000, 3_000_000
 #: cells of a chunk of a matrix product
@@ -141,25 +141,20 @@ def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: i
         return pa.RecordBatch.from_arrays([ids, keys, sizes, part, cells], names=["doc_id", "set_key", "n_shingles", "part", "cells"])
 
     def run(source) -> Iterator[pa.RecordBatch]:
-        total, waiting, held = np.zeros(piece * n_parts, np.uint32), [], 0
+        total, some = np.zeros(piece * n_parts, np.uint32), False
         for batch in source:
             keys, sizes = [], []
             for _, _, data, off in chunks(batch.column(1)):
                 sets, bounds = sets_of(data, off, words)
                 keys.append(set_keys(sets, bounds))
                 sizes.append(np.diff(bounds))
-                waiting.append(cells_of(sets).astype(np.uint32))
-                held += len(sets)
-                if held >= 1 << CELL_BITS:
-                    total += np.bincount(np.concatenate(waiting), minlength=len(total)).astype(np.uint32)
-                    waiting, held = [], 0
+                np.add.at(total, cells_of(sets), np.uint32(1))
+                some = True
             if keys:
                 n = np.concatenate(sizes)
                 none = pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())
                 yield rows(batch.column(0), pa.array(signed(np.concatenate(keys)), mask=n == 0), pa.array(n), *none)
-        if held:
-            total += np.bincount(np.concatenate(waiting), minlength=len(total)).astype(np.uint32)
-        for p in range(n_parts):
+        for p in range(n_parts if some else 0):
             c = total[p * piece : (p + 1) * piece]
             if c.any():
                 none = [pa.nulls(1, pa.int64())] * 3
@@ -198,7 +193,7 @@ def unpacked_counts(b) -> np.ndarray:
 
 def common_cells(counted: DataFrame, shingles: int):
     """A broadcast bitmap of the crowded cells, from digest()'s rows of cells and the number of all shingles. Each task
-    sums a range, so what reaches the driver is the map itself, of half a megabyte."""
+    sums a range, so what reaches the driver is the map itself, of two megabytes."""
     n_parts = width(counted.sparkSession)
     piece, most = cell_range(n_parts), max(LEAST, LOAD * shingles / (1 << CELL_BITS))
 
@@ -338,24 +333,28 @@ def similar(sets: np.ndarray, bounds: np.ndarray, percent: int, border: int = 0)
     return i[exact], j[exact]
 
 
-def blocks_of(clusters: DataFrame, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """clusters (cluster, n, ...) with the number g of blocks that a cluster is dealt into."""
+def blocks_of(clusters: DataFrame, percent: int = PERCENT, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """clusters (cluster, n, ...) with level and g. A cluster that one task can hold has one level. A larger one is dealt
+    into levels, each of two neighbouring bands of sizes, as links join no others; and a level into g blocks if need be."""
     many = F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / shingles)).cast("int")
-    return clusters.join(clusters.groupBy("cluster").agg(many.alias("g")), "cluster")
+    band = F.floor(F.log("n") / (float(np.log(100 / percent)) * 1.0001 if percent < 100 else 1e-9)).cast("int")
+    rows = clusters.join(clusters.groupBy("cluster").agg((many > 1).alias("large")), "cluster")
+    rows = rows.withColumn("level", F.explode(F.when(F.col("large"), F.array(band, band - 1)).otherwise(F.array(F.lit(-2))))).drop("large")
+    return rows.join(rows.groupBy("cluster", "level").agg(many.alias("g")), ["cluster", "level"])
 
 
 def links_within(clusters: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """(a, b): a forest of the links between members of each cluster. clusters: (cluster, g, member, text).
+    """(a, b): a forest of the links between members of each cluster. clusters: (cluster, level, g, member, text).
 
-    A cluster too large for one task is dealt into g blocks, and each pair of blocks is a task.
+    A level of g blocks has a task for each pair of them.
     """
     rows = clusters.withColumn("mine", F.pmod(F.xxhash64("member"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    rows = rows.select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "member", "text")
+    rows = rows.select("cluster", "level", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "member", "text")
 
     def links(now, key, sets) -> pa.RecordBatch:
         mine = np.array([k[0] for k in key])
         member = np.array([k[1] for k in key], np.int64)
-        border = int(np.count_nonzero(mine == now[1])) if now[1] != now[2] else 0  # rows come in order of blocks
+        border = int(np.count_nonzero(mine == now[2])) if now[2] != now[3] else 0  # rows come in order of blocks
         i, j = similar(np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])]), percent, border)
         low, high = forest(member[i], member[j])
         return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
@@ -363,24 +362,24 @@ def links_within(clusters: DataFrame, percent: int = PERCENT, words: int = WORDS
     def run(source) -> Iterator[pa.RecordBatch]:
         now, key, held, seen = None, [], [], set()
         for batch in source:
-            columns = [batch.column(k).to_pylist() for k in range(5)]
-            for lo, _, data, off in chunks(batch.column(5)):
+            columns = [batch.column(k).to_pylist() for k in range(6)]
+            for lo, _, data, off in chunks(batch.column(6)):
                 sets, bounds = sets_of(data, off, words)
                 for d in range(len(off) - 1):
-                    task = tuple(columns[k][lo + d] for k in range(3))
+                    task = tuple(columns[k][lo + d] for k in range(4))
                     if task != now:
                         if len(held) > 1:
                             yield links(now, key, held)
                         now, key, held, seen = task, [], [], set()
-                    if (columns[3][lo + d], columns[4][lo + d]) in seen:
+                    if (columns[4][lo + d], columns[5][lo + d]) in seen:
                         continue  # a repeated row
-                    seen.add((columns[3][lo + d], columns[4][lo + d]))
-                    key.append((columns[3][lo + d], columns[4][lo + d]))
+                    seen.add((columns[4][lo + d], columns[5][lo + d]))
+                    key.append((columns[4][lo + d], columns[5][lo + d]))
                     held.append(sets[bounds[d] : bounds[d + 1]].copy())
         if len(held) > 1:
             yield links(now, key, held)
 
-    return rows.repartition(width(clusters.sparkSession), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "mine").mapInArrow(tidy(run), "a long, b long")
+    return rows.repartition(width(clusters.sparkSession), "cluster", "level", "i", "j").sortWithinPartitions("cluster", "level", "i", "j", "mine").mapInArrow(tidy(run), "a long, b long")
 
 
 def with_key(rows: DataFrame, words: int = WORDS, text: str = "text", key: str = "set_key") -> DataFrame:
@@ -409,7 +408,7 @@ def ngram_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     sender = maybe_in(rows, "doc_id", id_bitmap(vertex, "rep"), nulls=True)
     near = cut(candidates(sender, common, "text", words, percent))
     clusters = cut(connected_components(near).toDF("set_key", "cluster"), near)
-    reps = cut(blocks_of(clusters.join(vertex.select("set_key", "rep", "n"), "set_key")).drop("n"), clusters)
+    reps = cut(blocks_of(clusters.join(vertex.select("set_key", "rep", "n"), "set_key"), percent).drop("n"), clusters)
     texts = maybe_in(rows, "doc_id", id_bitmap(reps, "rep"), nulls=True)
     # an id that repeats with other texts is told apart by the keys
     texts = with_key(texts, words).join(reps.where("rep is not null").withColumnRenamed("rep", "doc_id"), ["doc_id", "set_key"]).drop("doc_id")

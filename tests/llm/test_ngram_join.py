@@ -72,6 +72,45 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     assert ngram_components(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_large_clusters_are_dealt_into_levels_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join.blocks_of, "__defaults__", (75, 9, 400))
+    rng = random.Random(5)
+    texts = []
+    for n in (8, 12, 40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        texts += [" ".join(edited(rng, base, rng.choice([0.01, 0.05, 0.1]))) for _ in range(40)]
+    for n in range(6, 40):
+        texts.append(" ".join(f"c{k}" for k in range(n)))
+    rows = list(enumerate(texts))
+    got = sorted(tuple(r) for r in ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
+
+
+def test_similar_against_plain_sets():
+    rng = np.random.default_rng(4)
+    for m in (2, 5, 40):
+        base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(30, 60)], rng.integers(0, 2**63, rng.integers(0, 9), dtype=np.uint64)])) for _ in range(m)]
+        bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        for border in (0, m // 2):
+            i, j = ngram_join.similar(np.concatenate(sets), bounds, 75, border)
+            plain = [set(s.tolist()) for s in sets]
+            want = [(a, b) for a in range(m) for b in range(a + 1, m) if 100 * len(plain[a] & plain[b]) >= 75 * len(plain[a] | plain[b]) and (not border or a < border <= b)]
+            assert sorted(zip(i.tolist(), j.tolist())) == want
+
+
+def test_common_shingles_change_no_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LEAST", 3)
+    monkeypatch.setattr(ngram_join, "LOAD", 0)
+    rng = random.Random(7)
+    passage = [f"p{k}" for k in range(30)]
+    texts = [" ".join([*passage, *(f"o{rng.randrange(9999)}" for _ in range(n))]) for n in (0, 1, 2, 3, 5, 9, 10, 11, 30) for _ in range(6)]
+    texts += [" ".join(edited(rng, passage, 0.02)) for _ in range(20)]
+    rows = list(enumerate(texts))
+    got = sorted(tuple(r) for r in ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
+
+
 def test_similar_sets_always_share_a_signature():
     rng = np.random.default_rng(3)
     for n in [1, 2, 3, 4, 5, 7, 10, 13, 20, 50, 120, 400]:
