@@ -10,7 +10,7 @@ any occurrence covers are merged into removal spans.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +28,9 @@ BLOCK_WINDOWS = 200_000
 SAMPLE = 8
 
 
-@dataclass
-class Patterns:
-    """vocab: sorted word hashes (word id: position + 1). pattern: rows of ids, 0 beyond length. items: those of each pattern."""
+class Patterns(NamedTuple):
+    """vocab: sorted word hashes (word id: position + 1). pattern: rows of ids, 0 beyond length. items: those of each
+    pattern. It is broadcast as a plain tuple, which workers can read without this module."""
 
     vocab: np.ndarray
     pattern: np.ndarray
@@ -244,7 +244,7 @@ def search(docs: DataFrame, block, text: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([*columns, pa.array(sizes), pa.array(runs, RUN), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=[*names, *NEW])
 
     def run(source) -> Iterator[pa.RecordBatch]:
-        p = block.value
+        p = Patterns(*block.value)
         for batch in source:
             words, begin, held = [], 0, 0
             for lo, hi, h, first, s, e in words_of(batch.column(text_at)):
@@ -283,10 +283,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     bounded size, one pass over the documents for each.
     """
     spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in pattern_blocks(benchmark, item_id, item_text, window, block_windows)]
+    blocks = [spark.sparkContext.broadcast(tuple(b)) for b in pattern_blocks(benchmark, item_id, item_text, window, block_windows)]
     if not blocks:
         nothing = Patterns(np.zeros(0, U), np.zeros((0, window), np.int32), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, object))
-        blocks = [spark.sparkContext.broadcast(nothing)]
+        blocks = [spark.sparkContext.broadcast(tuple(nothing))]
     docs = docs.select(*[c for c in docs.columns if c not in NEW])
     found = [search(docs, b, text) for b in blocks]
     if len(found) == 1:

@@ -1,20 +1,21 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-The softmax is factored: a class of the token first, then the token within its class. Both read hashed features of the
-one token before, of the one before that (skip), and of both together. The most frequent tokens fill the classes by
-rank; all other tokens are one class more, in which they are leaves of a binary tree over their hashes. Each node of the
-tree with tokens on both sides decides by their counts and by weights of the same three features, so its depth and its
-table of weights follow the number of tokens counted. Tokens that end in one leaf share it by their counts. Weights are
-trained by stochastic gradient steps in every partition of the training documents at once, and the steps are averaged row by row over the
-partitions that took them. Counts of all tokens are exact: tokens that are not in the broadcast head of the vocabulary
-are looked up where their counts lie, and the answers return to the batch that asked.
+The softmax is factored over classes within classes: a token is reached by choices among four, each a softmax of its own,
+so that the whole vocabulary is in the model and a text costs as many steps as its tokens are unlikely. The most frequent
+tokens are dealt into classes of like mass, by which frequent ones come first; all others lie behind one class more, dealt
+by the digits of their hashes, and those of one last class share it by their counts. Every choice has the log shares of
+its classes as a bias and adds hashed weights of three features: the token before, the one before that (skip), and both.
+
+Weights are trained by synchronised gradient updates: in each round a part of the training documents gives, for every
+weight, how often its feature and class were seen and how often the model expects them, summed over all tasks; the update
+is a damped step along the log of their ratio, the scaled gradient of generalised iterative scaling. Sums don't depend on
+how documents are dealt to tasks. Counts of all tokens are exact: tokens that are not in the broadcast head of the
+vocabulary are looked up where their counts lie, and the answers return to the batch that asked.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,88 +28,18 @@ from .labelled import fold
 from .runtime import cut, tidy, width
 
 END = U(0x0E17D0C5)
-CLASSES, IN_CLASS = 32, 32
-#: tokens whose counts are broadcast, 16 bytes each
+#: tokens whose counts and codes are broadcast, 60 bytes each at most
 HEAD = 1 << 18
-#: least hashed rows of the two weight tables, of 33 and of 32 floats, and counted tokens a row
-CLASS_ROWS, WORD_ROWS = 1 << 13, 1 << 15
-CLASS_SHARE, WORD_SHARE = 32, 16
-#: bits of the tree beyond those that number its tokens, and weights of a tree that travel together
-SPARE_BITS, TREE_BLOCK = 2, 1 << 16
-STEP = 8192
-RATE = 0.5
-EPOCHS = 1
-
-
-@dataclass
-class Vocabulary:
-    """Head of the token counts: hashes in order, counts, and rank in the model (-1: none). N, V and those of the rest."""
-
-    tokens: np.ndarray
-    counts: np.ndarray
-    rank: np.ndarray
-    n: int
-    v: int
-    rest_n: int
-    rest_v: int
-
-
-def packed(table: np.ndarray) -> tuple[tuple[int, ...], bytes]:
-    """A table of weights as it travels: in half precision, and zeros as good as nothing."""
-    return table.shape, zlib.compress(table.astype(np.float16).tobytes(), 1)
-
-
-def unpacked(shape: tuple[int, ...], data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), np.float16).reshape(shape).astype(np.float32)
-
-
-@dataclass
-class Tree:
-    """Tokens outside the classes by the leading bits of their hashes: counts under each node (children of i: 2 i and
-    2 i + 1, the root is 1), and hashed weights of the nodes' features."""
-
-    bits: int
-    mass: np.ndarray
-    weights: np.ndarray
-
-    def __getstate__(self):
-        leaves = self.mass[1 << self.bits :]
-        at = np.flatnonzero(leaves)
-        return self.bits, zlib.compress(np.diff(at, prepend=0).astype(np.uint32).tobytes(), 1), zlib.compress(leaves[at].tobytes(), 1), packed(self.weights)
-
-    def __setstate__(self, state):
-        self.bits, at, mass, weights = state
-        leaves = np.zeros(1 << self.bits, np.float32)
-        leaves[np.cumsum(np.frombuffer(zlib.decompress(at), np.uint32).astype(np.int64))] = np.frombuffer(zlib.decompress(mass), np.float32)
-        self.mass, self.weights = summed(leaves), unpacked(*weights)
-
-
-def summed(leaves: np.ndarray) -> np.ndarray:
-    """What lies under each node of a tree with these leaves."""
-    n = len(leaves)
-    mass = np.zeros(2 * n, np.float32)
-    mass[n:] = leaves
-    while n > 1:
-        below = mass[n : 2 * n].astype(np.float64)
-        mass[n // 2 : n] = below[::2] + below[1::2]
-        n //= 2
-    return mass
-
-
-@dataclass
-class Weights:
-    class_bias: np.ndarray
-    word_bias: np.ndarray
-    classes: np.ndarray
-    words: np.ndarray
-    tree: Tree | None = None
-
-    def __getstate__(self):
-        return self.class_bias, self.word_bias, packed(self.classes), packed(self.words), self.tree
-
-    def __setstate__(self, state):
-        self.class_bias, self.word_bias, classes, words, self.tree = state
-        self.classes, self.words = unpacked(*classes), unpacked(*words)
+#: classes of a choice, two bits; features of a position; bound of a weight
+WAYS, BITS, FEATURES, BOUND = 4, 2, 3, 12
+#: hashed rows of weights: a power of two near one for SHARE counted tokens, within bounds (8 bytes a row are broadcast)
+LEAST_ROWS, MOST_ROWS, SHARE = 1 << 14, 1 << 20, 8
+#: counted tokens of a last class behind the head, and most choices to it (which bounds what is broadcast of them)
+LEAF, MOST_STEPS = 8, 10
+#: tokens that are worked on at once
+STEP = 1 << 16
+#: rounds of updates, each over its share of the training documents; damping and smoothing of the updates
+ROUNDS, DAMP, SMOOTH = 3, 0.5, 0.5
 
 
 def sequences(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,8 +98,9 @@ def size_bin(count: np.ndarray) -> np.ndarray:
     return np.where(count < 64, count, 64 + np.floor(np.log2(np.maximum(count, 1) / 64) * 16)).astype(np.int64)
 
 
-def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
-    """The totals and at most `head` most frequent tokens, whole bins of like counts at a time."""
+def vocabulary(counts: DataFrame, head: int = HEAD) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """At most `head` most frequent tokens, whole bins of like counts at a time and END, in order; their counts; the number
+    of all tokens and of all distinct ones."""
 
     def bins(source) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -197,85 +129,103 @@ def vocabulary(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     found = [np.frombuffer(r["blob"], np.int64) for r in counts.mapInArrow(tidy(top), "blob binary").collect()]
     tokens = np.concatenate([x[: len(x) // 2] for x in found] or [np.zeros(0, np.int64)]).view(U)
     count = np.concatenate([x[len(x) // 2 :] for x in found] or [np.zeros(0, np.int64)])
-    order = np.lexsort((tokens, -count, tokens != END))  # END leads, so it is always in the model
-    rank = np.full(len(tokens), -1, np.int64)
-    first = order[: CLASSES * IN_CLASS]
-    by_count = first[np.lexsort((tokens[first], -count[first]))]
-    rank[by_count] = np.arange(len(by_count))
-    in_model = int(count[first].sum())
     order = np.argsort(tokens)
-    return Vocabulary(tokens[order], count[order], rank[order], n, v, n - in_model, v - len(first))
-
-
-def fresh(v: Vocabulary) -> Weights:
-    """Zero feature weights, and biases that give each token its share of all."""
-    words = np.full((CLASSES, IN_CLASS), 1e-3)
-    known = v.rank >= 0
-    words.ravel()[v.rank[known]] = v.counts[known] + 0.5
-    rows, in_words = (max(least, 1 << (v.v // share).bit_length()) for least, share in ((CLASS_ROWS, CLASS_SHARE), (WORD_ROWS, WORD_SHARE)))
-    classes = np.append(words.sum(axis=1), v.rest_n + 0.5)
-    return Weights(np.log(classes / classes.sum()).astype(np.float32), np.log(words / words.sum(axis=1, keepdims=True)).astype(np.float32), np.zeros((rows, CLASSES + 1), np.float32), np.zeros((in_words, IN_CLASS), np.float32))
+    return tokens[order], count[order], int(n), int(v)
 
 
-def leaf_of(tokens: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(tokens ^ U(0x5851F42D4C957F2D)) >> U(64 - bits)).astype(np.int64)
+def digits_of(tokens: np.ndarray, steps: int) -> np.ndarray:
+    """The last class of each token behind the head: the leading digits of its hash."""
+    return (mix(tokens ^ U(0x5851F42D4C957F2D)) >> U(64 - BITS * steps)).astype(np.int64)
 
 
-def tree_of(counts: DataFrame, v: Vocabulary) -> Tree | None:
-    """The tree of all counted tokens outside the classes, with zero weights; None if there are none."""
-    if not v.rest_v:
-        return None
-    bits = v.rest_v.bit_length() + SPARE_BITS
-    ranked = np.sort(v.tokens[v.rank >= 0])
+def tail_mass(counts: DataFrame, head: np.ndarray, steps: int) -> np.ndarray:
+    """Sums of count + 1 of the tokens behind the head by last class. Each task sums a range of the classes, so what
+    reaches the driver is the table, whose size is bounded."""
+    spark = counts.sparkSession
+    known = spark.sparkContext.broadcast(head)
+    ranges = min(width(spark), WAYS**steps)
+    piece = -(-(WAYS**steps) // ranges)
 
     def run(source) -> Iterator[pa.RecordBatch]:
         for batch in source:
             for b in batch.column(1):
                 x = np.frombuffer(b.as_buffer(), np.int64)
                 t, c = x[: len(x) // 2].view(U), x[len(x) // 2 :]
-                rest = ~find(ranked, t)[1]
-                leaf, at = np.unique(leaf_of(t[rest], bits), return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array([leaf.tobytes() + np.bincount(at, weights=c[rest] + 1.0, minlength=len(leaf)).tobytes()], pa.binary())], names=["blob"])
-
-    leaves = np.zeros(1 << bits, np.float32)
-    for r in counts.mapInArrow(tidy(run), "blob binary").toLocalIterator():
-        k = len(r["blob"]) // 16
-        leaves[np.frombuffer(r["blob"], np.int64, k)] += np.frombuffer(r["blob"], np.float64, k, 8 * k)
-    return Tree(bits, summed(leaves), np.zeros(1 << (bits - 1), np.float32))
-
-
-def decisions(tree: Tree, ctx: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The choices on the way to each token: its place in tokens, log odds of its side by counts, +1 or -1 for the side,
-    and the weights' rows of the three features."""
-    child = ((1 << tree.bits) + leaf_of(tokens, tree.bits))[:, None] >> np.arange(tree.bits)
-    own, other = tree.mass[child], tree.mass[child ^ 1]
-    at, level = np.nonzero((own > 0) & (other > 0))
-    child = child[at, level]
-    with np.errstate(over="ignore"):
-        node = (child >> 1).astype(U) * U(0xD1B54A32D192ED03)
-        rows = (((ctx[:, at] ^ node) * U(0x9E3779B97F4A7C15)) >> U(65 - len(tree.weights).bit_length())).astype(np.int64)
-    return at, np.log(own[at, level] / other[at, level]), (2 * (child & 1) - 1).astype(np.float32), rows
-
-
-def tree_gain(tree: Tree, ctx: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Natural log of each token's probability in the tree over its share by counts."""
-    out = np.zeros(len(tokens))
-    for lo in range(0, len(tokens), STEP):
-        at, bias, side, rows = decisions(tree, ctx[:, lo : lo + STEP], tokens[lo : lo + STEP])
-        x = bias + side * tree.weights[rows].sum(axis=0)
-        gain = np.logaddexp(0, -bias) - np.logaddexp(0, -x)
-        out[lo : lo + STEP] = np.bincount(at, weights=gain, minlength=len(out[lo : lo + STEP]))
-    return out
+                rest = ~find(known.value, t)[1]
+                leaf, at = np.unique(digits_of(t[rest], steps), return_inverse=True)
+                mass = np.bincount(at, weights=c[rest] + 1.0, minlength=len(leaf))
+                cut_at = np.searchsorted(leaf, np.arange(ranges + 1) * piece)
+                use = [p for p in range(ranges) if cut_at[p] < cut_at[p + 1]]
+                if use:
+                    yield pa.RecordBatch.from_arrays([pa.array(use, pa.int32()), pa.array([leaf[cut_at[p] : cut_at[p + 1]].tobytes() + mass[cut_at[p] : cut_at[p + 1]].tobytes() for p in use], pa.binary())], names=["part", "blob"])
 
+    def add(source) -> Iterator[pa.RecordBatch]:
+        for part, blobs in by_part(source):
+            total = np.zeros(piece)
+            for b in blobs:
+                k = len(b) // 16
+                total[np.frombuffer(b, np.int64, k) - part * piece] += np.frombuffer(b, np.float64, k, 8 * k)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["part", "blob"])
 
-def tree_step(tree: Tree, speed: np.ndarray, ctx: np.ndarray, tokens: np.ndarray, rate: float) -> None:
-    """One adaptive gradient step of the weights on the way to the tokens."""
-    _, bias, side, rows = decisions(tree, ctx, tokens)
-    x = bias + side * tree.weights[rows].sum(axis=0)
-    g = (-side / (1 + np.exp(np.minimum(x, 60)))).astype(np.float32)
-    for r in rows:
-        np.add.at(speed, r, g * g)
-        np.subtract.at(tree.weights, r, (g * (rate / np.sqrt(speed[r] + 1))).astype(np.float32))
+    out = np.zeros(piece * ranges, np.float32)
+    for r in counts.mapInArrow(tidy(run), "part int, blob binary").repartition(width(spark), "part").sortWithinPartitions("part").mapInArrow(tidy(add), "part int, blob binary").collect():
+        out[r["part"] * piece : (r["part"] + 1) * piece] = np.frombuffer(r["blob"], np.float32)
+    return out[: WAYS**steps]
+
+
+def coded(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Classes within classes over items of these masses. Of each item the bounds of its choices in the next two arrays,
+    the node and the class of every choice, and the log shares of each node's classes."""
+    order = np.argsort(-mass, kind="stable")
+    total = np.concatenate([[0.0], np.cumsum(mass[order])])
+    middle = (total[1:] + total[:-1]) / 2
+    lo, hi = np.zeros(1, np.int64), np.full(1, len(mass))  # nodes of a step, as ranges of the order
+    steps, tables, n_nodes = [], [], 0
+    while len(lo):
+        size = hi - lo
+        item = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
+        node = np.repeat(np.arange(len(lo)), size)
+        whole = total[hi] - total[lo]
+        side = np.minimum((WAYS * (middle[item] - total[lo][node]) / whole[node]).astype(np.int64), WAYS - 1)
+        # a first item that fills more than a class pushes the rest on; items that would stay together are dealt by number
+        rank = item - lo[node]
+        stuck = (np.bincount(node * WAYS + side, minlength=len(lo) * WAYS).reshape(-1, WAYS) == size[:, None]).any(axis=1)
+        side = np.where(stuck[node], np.minimum(rank * WAYS // size[node], WAYS - 1), side)
+        steps.append((item, node + n_nodes, side))
+        share = np.bincount(node * WAYS + side, weights=mass[order[item]], minlength=len(lo) * WAYS).reshape(-1, WAYS)
+        with np.errstate(divide="ignore"):
+            tables.append(np.where(share > 0, np.log(share / whole[:, None]), -60.0))
+        n_nodes += len(lo)
+        begin = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (side[1:] != side[:-1])]))
+        count = np.diff(np.append(begin, len(item)))
+        lo, hi = item[begin][count > 1], (item[begin] + count)[count > 1]
+    item = np.concatenate([s[0] for s in steps])
+    by_item = np.lexsort((np.concatenate([np.full(len(s[0]), k) for k, s in enumerate(steps)]), order[item]))
+    first = np.searchsorted(order[item][by_item], np.arange(len(mass) + 1))
+    return first, np.concatenate([s[1] for s in steps])[by_item].astype(np.int32), np.concatenate([s[2] for s in steps])[by_item].astype(np.int8), np.concatenate(tables).astype(np.float32)
+
+
+def model_of(tokens: np.ndarray, counts: np.ndarray, tail: np.ndarray, steps: int) -> tuple:
+    """The frame of the model as plain values, so that workers need no class to read them: head tokens and counts; bounds,
+    nodes and classes of their choices, the last for all tokens behind the head; log shares; choices and mass behind the
+    head; the first node there."""
+    mass = np.append(counts + 1.0, tail.sum() + len(tail))
+    if len(mass) == 1:
+        first, node, side, bias = np.zeros(2, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int8), np.zeros((0, WAYS), np.float32)
+    else:
+        first, node, side, bias = coded(mass)
+    behind, level = [], tail.astype(np.float64) + 1
+    for _ in range(steps):
+        four = level.reshape(-1, WAYS)
+        behind.append(np.log(four / four.sum(axis=1, keepdims=True)).astype(np.float32))
+        level = four.sum(axis=1)
+    return tokens, counts, first, node, side, np.concatenate([bias, *behind[::-1]]), steps, tail, len(bias)
+
+
+def fresh(v: int) -> np.ndarray:
+    """Zero weights for so many distinct tokens."""
+    rows = min(MOST_ROWS, max(LEAST_ROWS, 1 << max(0, v // SHARE).bit_length()))
+    return np.zeros((rows, WAYS), np.float32)
 
 
 def contexts(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -290,228 +240,211 @@ def contexts(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
         return np.stack([mix(one ^ U(0x1F123BB5)), mix(two ^ U(0x7A5E3C91D1)), mix(one * U(0x9E3779B97F4A7C15) + two)])
 
 
-def class_rows(ctx: np.ndarray, n: int) -> np.ndarray:
-    return (ctx & U(n - 1)).astype(np.int64)
+def find(sorted_tokens: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each token in a sorted table, and whether it is there."""
+    if not len(sorted_tokens):
+        return np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
+    u, inverse = np.unique(tokens, return_inverse=True)
+    pos = np.minimum(np.searchsorted(sorted_tokens, u), len(sorted_tokens) - 1)
+    return pos[inverse], (sorted_tokens[pos] == u)[inverse]
 
 
-def word_rows(ctx: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+def choices(model: tuple, tokens: np.ndarray) -> tuple[np.ndarray, ...]:
+    """For each token its place in the head and whether it is there; for each choice on the way to the tokens: its token's
+    number, node and class."""
+    head, _, first, node, side, _, steps, _, base = model
+    pos, there = find(head, tokens)
+    code = np.where(there, pos, len(first) - 2)
+    size = first[code + 1] - first[code]
+    at = np.repeat(np.arange(len(tokens), dtype=np.int32), size)
+    place = np.arange(len(at)) + np.repeat(first[code] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
+    nodes, sides = node[place], side[place]
+    out = np.flatnonzero(~there)
+    if len(out) and steps:
+        leaf = digits_of(tokens[out], steps)
+        down = np.arange(steps)
+        far = leaf[:, None] >> (BITS * (steps - down))
+        nodes = np.concatenate([nodes, (base + (WAYS**down - 1) // (WAYS - 1) + far).ravel().astype(np.int32)])
+        sides = np.concatenate([sides, ((leaf[:, None] >> (BITS * (steps - 1 - down))) & (WAYS - 1)).ravel().astype(np.int8)])
+        at = np.concatenate([at, np.repeat(out.astype(np.int32), steps)])
+    return pos, there, at, nodes, sides
+
+
+def weight_rows(ctx: np.ndarray, at: np.ndarray, node: np.ndarray, n: int) -> list[np.ndarray]:
+    """Rows of the three features' weights of each choice."""
+    out = []
     with np.errstate(over="ignore"):
-        return (((ctx ^ (c.astype(U) * U(0xD1B54A32D192ED03))) * U(0x9E3779B97F4A7C15)) >> U(65 - n.bit_length())).astype(np.int64)
-
-
-def softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities of each row and the log of its partition function."""
-    top = x.max(axis=1, keepdims=True)
-    x = np.exp(x - top)
-    total = x.sum(axis=1, keepdims=True)
-    x /= total
-    return x, (top + np.log(total))[:, 0]
-
-
-def logits(bias: np.ndarray, table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    x = table[rows[0]]
-    x += bias
-    for r in rows[1:]:
-        x += table[r]
-    return x
-
-
-def log_probability(w: Weights, ctx: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Natural log of the model's probability of each position's class and, within a class of the model, token."""
-    out = np.empty(len(rank))
-    for lo in range(0, len(rank), STEP):
-        c, r = ctx[:, lo : lo + STEP], rank[lo : lo + STEP]
-        k = np.where(r >= 0, r // IN_CLASS, CLASSES)
-        x = logits(w.class_bias, w.classes, class_rows(c, len(w.classes)))
-        y = x[np.arange(len(k)), k]
-        top = x.max(axis=1)
-        x -= top[:, None]
-        y = y - top - np.log(np.exp(x, out=x).sum(axis=1))
-        m = np.flatnonzero(r >= 0)
-        if len(m):
-            x = logits(w.word_bias[k[m]], w.words, word_rows(c[:, m], k[m], len(w.words)))
-            z = x[np.arange(len(m)), r[m] % IN_CLASS]
-            top = x.max(axis=1)
-            x -= top[:, None]
-            y[m] += z - top - np.log(np.exp(x, out=x).sum(axis=1))
-        out[lo : lo + STEP] = y
+        own = node.astype(U)
+        own *= U(0xD1B54A32D192ED03)
+        for c in ctx:
+            r = np.take(c, at)
+            r ^= own
+            r *= U(0x9E3779B97F4A7C15)
+            r >>= U(65 - n.bit_length())
+            out.append(r.view(np.int64))
     return out
 
 
-def descend(table: np.ndarray, speed: np.ndarray, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
-    """One adaptive gradient step of the rows of a table; a row that stands several times takes its summed gradient."""
-    order = np.argsort(rows, kind="stable")
-    r = rows[order]
-    at = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-    g = np.add.reduceat(grad[order], at, axis=0)
-    r = r[at]
-    speed[r] += np.einsum("ij,ij->i", g, g) / g.shape[1]
-    table[r] -= g * (rate / np.sqrt(speed[r] + 1.0))[:, None].astype(np.float32)
+def of_rows(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Rows of a table of four floats, which move as one value each."""
+    return np.take(table.view(np.complex128)[:, 0], rows).view(np.float32).reshape(-1, WAYS)
 
 
-def train_step(w: Weights, speeds: tuple[np.ndarray, np.ndarray], ctx: np.ndarray, rank: np.ndarray, rate: float) -> None:
-    k = np.where(rank >= 0, rank // IN_CLASS, CLASSES)
-    rows = class_rows(ctx, len(w.classes))
-    g, _ = softmax(logits(w.class_bias, w.classes, rows))
-    g[np.arange(len(k)), k] -= 1
+def odds(bias: np.ndarray, weights: np.ndarray, node: np.ndarray, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Unnormalised probabilities of the classes of each choice, and their sums. Weights are bounded, so nothing overflows."""
+    x = of_rows(bias, node)
     for r in rows:
-        descend(w.classes, speeds[0], r, g, rate)
-    m = np.flatnonzero(rank >= 0)
-    if len(m):
-        rows = word_rows(ctx[:, m], k[m], len(w.words))
-        g, _ = softmax(logits(w.word_bias[k[m]], w.words, rows))
-        g[np.arange(len(m)), rank[m] % IN_CLASS] -= 1
-        for r in rows:
-            descend(w.words, speeds[1], r, g, rate)
+        x += of_rows(weights, r)
+    np.exp(x, out=x)
+    total = x[:, 0] + x[:, 1]
+    total += x[:, 2]
+    total += x[:, 3]
+    return x, total
+
+
+def log_probability(model: tuple, weights: np.ndarray, ctx: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Natural log of the model's probability of each token, or of its last class behind the head; place in the head and
+    whether it is there."""
+    out, pos, there = np.empty(len(tokens)), np.empty(len(tokens), np.int64), np.empty(len(tokens), bool)
+    for lo in range(0, len(tokens), STEP):
+        s = slice(lo, min(len(tokens), lo + STEP))
+        pos[s], there[s], at, node, side = choices(model, tokens[s])
+        x, total = odds(model[5], weights, node, weight_rows(ctx[:, s], at, node, len(weights)))
+        y = np.take(x.ravel(), np.arange(0, x.size, WAYS) + side)
+        y /= total
+        np.log(y, out=y)
+        out[s] = np.bincount(at, weights=y, minlength=s.stop - lo)
+    return out, pos, there
+
+
+def seen_and_expected(model: tuple, weights: np.ndarray, ctx: np.ndarray, tokens: np.ndarray, seen: np.ndarray, expected: np.ndarray) -> None:
+    """Add what these tokens show (a row of classes after the other) and what the model expects of their contexts (a class
+    after the other; the last is what the others leave of what was seen)."""
+    for lo in range(0, len(tokens), STEP):
+        s = slice(lo, min(len(tokens), lo + STEP))
+        _, _, at, node, side = choices(model, tokens[s])
+        rows = weight_rows(ctx[:, s], at, node, len(weights))
+        x, total = odds(model[5], weights, node, rows)
+        seen += np.bincount(np.concatenate(rows) * WAYS + np.tile(side, FEATURES), minlength=len(seen))
+        for k in range(WAYS - 1):
+            share = (x[:, k] / total).astype(np.float64)
+            for r in rows:
+                expected[k] += np.bincount(r, weights=share, minlength=len(weights))
 
 
-def find(sorted_tokens: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place of each token in a sorted table, and whether it is there."""
-    if not len(sorted_tokens):
-        return np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
-    u, inverse = np.unique(tokens, return_inverse=True)
-    pos = np.minimum(np.searchsorted(sorted_tokens, u), len(sorted_tokens) - 1)
-    return pos[inverse], (sorted_tokens[pos] == u)[inverse]
+def shortened(x: np.ndarray) -> bytes:
+    """Floats by their upper 16 bits."""
+    return ((np.ascontiguousarray(x, np.float32).view(np.uint32) + np.uint32(0x8000)) >> np.uint32(16)).astype(np.uint16).tobytes()
+
+
+def lengthened(b, n: int, at: int) -> np.ndarray:
+    return (np.frombuffer(b, np.uint16, n, at).astype(np.uint32) << np.uint32(16)).view(np.float32)
 
 
-def train(texts: DataFrame, vocab, w: Weights, rate: float = RATE) -> Weights:
-    """One pass of all training texts: a task starts from w, and the mean of the tasks' changes is added, row by row,
-    over the tasks that changed the row. Only changed rows travel."""
+def updated(texts: DataFrame, model, w: np.ndarray, damp: float = DAMP, smooth: float = SMOOTH) -> np.ndarray:
+    """The weights after one update over all texts. model: broadcast. Tasks send their sums by ranges of weights."""
     spark = texts.sparkSession
-    start = spark.sparkContext.broadcast(w)
-    rows_in_blob, kinds = 512, 1 << 28
+    start = spark.sparkContext.broadcast(w.astype(np.float16))
+    ranges = min(width(spark), 1024)
+    piece = -(-len(w) // ranges)
 
     def run(source) -> Iterator[pa.RecordBatch]:
-        v, s = vocab.value, start.value
-        mine = Weights(s.class_bias, s.word_bias, s.classes.copy(), s.words.copy(), s.tree and Tree(s.tree.bits, s.tree.mass, s.tree.weights.copy()))
-        speeds = np.zeros(len(mine.classes)), np.zeros(len(mine.words))
-        tree_speed = np.zeros(len(mine.tree.weights) if mine.tree else 0, np.float32)
+        m, weights = model.value, start.value.astype(np.float32)
+        seen, expected = np.zeros(weights.size), np.zeros((WAYS - 1, len(weights)))
+        some = False
         for batch in source:
             for _, _, data, off in chunks(batch.column(0)):
                 tokens, first = sequences(data, off)
-                pos, there = find(v.tokens, tokens)
-                rank = np.where(there, v.rank[pos] if len(v.rank) else -1, -1)
-                ctx = contexts(tokens, first)
-                for lo in range(0, len(rank), STEP):
-                    train_step(mine, speeds, ctx[:, lo : lo + STEP], rank[lo : lo + STEP], rate)
-                    rest = lo + np.flatnonzero(rank[lo : lo + STEP] < 0)
-                    if mine.tree and len(rest):
-                        tree_step(mine.tree, tree_speed, ctx[:, rest], tokens[rest], rate)
-        for kind, new, old, speed in ((0, mine.classes, s.classes, speeds[0]), (1, mine.words, s.words, speeds[1])):
-            for lo in range(0, len(new), rows_in_blob):
-                r = lo + np.flatnonzero(speed[lo : lo + rows_in_blob] > 0)
-                if len(r):
-                    yield pa.RecordBatch.from_arrays([pa.array([kind * kinds + lo // rows_in_blob], pa.int32()), pa.array([np.array([len(r)], np.int64).tobytes() + r.tobytes() + (new[r] - old[r]).astype(np.float16).tobytes()], pa.binary())], names=["part", "blob"])
-
-        for lo in range(0, len(tree_speed), TREE_BLOCK):
-            took = tree_speed[lo : lo + TREE_BLOCK] > 0
-            if took.any():
-                change = (mine.tree.weights[lo : lo + TREE_BLOCK] - s.tree.weights[lo : lo + TREE_BLOCK])[took]
-                yield pa.RecordBatch.from_arrays([pa.array([2 * kinds + lo // TREE_BLOCK], pa.int32()), pa.array([np.array([len(took)], np.int64).tobytes() + np.packbits(took).tobytes() + change.astype(np.float16).tobytes()], pa.binary())], names=["part", "blob"])
-
-    def mean(source) -> Iterator[pa.RecordBatch]:
+                seen_and_expected(m, weights, contexts(tokens, first), tokens, seen, expected)
+                some = True
+        for p in range(ranges if some else 0):
+            lo, hi = p * piece, min(len(weights), (p + 1) * piece)
+            if lo < hi:
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([shortened(seen[lo * WAYS : hi * WAYS]) + shortened(expected[:, lo:hi])], pa.binary())], names=["part", "blob"])
+
+    def step(source) -> Iterator[pa.RecordBatch]:
         for part, blobs in by_part(source):
-            if part >= 2 * kinds:
-                size = int(np.frombuffer(blobs[0], np.int64, 1)[0])
-                total, n = np.zeros(size, np.float32), np.zeros(size, np.float32)
-                for b in blobs:
-                    took = np.unpackbits(np.frombuffer(b, np.uint8, -(-size // 8), 8), count=size).astype(bool)
-                    total[took] += np.frombuffer(b, np.float16, -1, 8 + -(-size // 8))
-                    n += took
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([(total / np.maximum(n, 1)).tobytes()], pa.binary())], names=["part", "blob"])
-                continue
-            wide = CLASSES + 1 if part < kinds else IN_CLASS
-            lo = part % kinds * rows_in_blob
-            total, n = np.zeros((rows_in_blob, wide)), np.zeros(rows_in_blob)
+            n = len(blobs[0]) // (2 * (2 * WAYS - 1))
+            seen, expected = np.zeros((n, WAYS)), np.zeros((n, WAYS))
             for b in blobs:
-                k = int(np.frombuffer(b, np.int64, 1)[0])
-                r = np.frombuffer(b, np.int64, k, 8) - lo
-                total[r] += np.frombuffer(b, np.float16, k * wide, 8 + 8 * k).reshape(k, wide)
-                n[r] += 1
-            total /= np.maximum(n, 1)[:, None]
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["part", "blob"])
+                seen += lengthened(b, n * WAYS, 0).reshape(n, WAYS)
+                expected[:, :-1] += lengthened(b, n * (WAYS - 1), 2 * n * WAYS).reshape(WAYS - 1, n).T
+            expected[:, -1] = np.maximum(seen.sum(axis=1) - expected.sum(axis=1), 0)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([(damp * np.log((seen + smooth) / (expected + smooth))).astype(np.float16).tobytes()], pa.binary())], names=["part", "blob"])
 
-    found = texts.mapInArrow(tidy(run), "part int, blob binary").repartition(width(spark), "part").sortWithinPartitions("part").mapInArrow(tidy(mean), "part int, blob binary").collect()
-    classes, words = w.classes.copy(), w.words.copy()
-    tree = w.tree and Tree(w.tree.bits, w.tree.mass, w.tree.weights.copy())
+    found = texts.mapInArrow(tidy(run), "part int, blob binary").repartition(width(spark), "part").sortWithinPartitions("part").mapInArrow(tidy(step), "part int, blob binary").collect()
+    out = w.copy().ravel()
     for r in found:
-        if r["part"] >= 2 * kinds:
-            lo = (r["part"] - 2 * kinds) * TREE_BLOCK
-            tree.weights[lo : lo + TREE_BLOCK] += np.frombuffer(r["blob"], np.float32)
-            continue
-        table = classes if r["part"] < kinds else words
-        lo = r["part"] % kinds * rows_in_blob
-        table[lo : lo + rows_in_blob] += np.frombuffer(r["blob"], np.float32).reshape(-1, table.shape[1])
+        change = np.frombuffer(r["blob"], np.float16)
+        out[r["part"] * piece * WAYS : r["part"] * piece * WAYS + len(change)] += change
     start.unpersist()
-    return Weights(w.class_bias, w.word_bias, classes, words, tree)
+    return np.clip(out.reshape(w.shape), -BOUND, BOUND)
 
 
-HOME = np.dtype([("n", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8"), ("ask", "<i8")])
+HOME = np.dtype([("n", "<i8"), ("known", "<i8"), ("base", "<f8"), ("score", "<f8")])
 
 
-def score_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, head: int = HEAD, epochs: int = EPOCHS) -> DataFrame:
+def score_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held: int = 2, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
     Tokens are words `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z, then one END; a null text is empty and has END only.
-    base_score sums log10((c + 1) / (N + V + 1)); score is the model's log10 probability of the text, in which the counted
-    tokens outside its classes have (N' + V') / (N' + V' + 1) of their class, with the counts N' and kinds V' of those
-    tokens, and divide it by the tree (without weights: by c + 1); the rest is for all tokens that were not counted.
+    base_score is the sum of log10((c + 1) / (N + V + 1)); score is the model's log10 probability of the text. Of a last class
+    behind the head, whose counted tokens have the counts c, a token has the share (c + 1) / (sum of c + 1 over them, + 1);
+    the rest of it is for all tokens that were not counted.
     Rows of a null id are not held out. Repeated rows count again. Without training rows all counts are 0 and the model
     is its prior. An empty table gives no rows. Tokens are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
     parts = min(60_000, 2 * width(spark))
     out = F.coalesce(fold(doc_id, folds) == held, F.lit(False))
-    learn = docs.where(~out).select(F.col(text).alias("text"))
-    counts = cut(token_counts(learn, parts))
-    v = vocabulary(counts, head)
-    vocab = spark.sparkContext.broadcast(v)
+    learn = docs.where(~out).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    counts = cut(token_counts(learn.select("text"), parts))
+    tokens, c, n, v = vocabulary(counts, head)
+    rest = v - len(tokens)
+    steps = min(MOST_STEPS, max(1, (max(1, rest // LEAF).bit_length() + 1) // BITS))
+    model = spark.sparkContext.broadcast(model_of(tokens, c, tail_mass(counts, tokens, steps), steps))
     w = fresh(v)
-    w.tree = tree_of(counts, v)
-    for e in range(epochs):
-        w = train(learn, vocab, w, RATE / (1 + e))
-    weights = spark.sparkContext.broadcast(w)
+    for k in range(rounds):
+        share = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k) if rounds > 1 else learn
+        w = updated(share.select("text"), model, w)
+    weights = spark.sparkContext.broadcast(w.astype(np.float16))
     rows = docs.select(F.col(doc_id).alias("doc_id"), out.alias("held_out"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    log_all, log_rest = float(np.log10(v.n + v.v + 1)), float(np.log10(v.rest_n + v.rest_v + 1))
+    log_all = float(np.log10(n + v + 1))
 
     def score(source) -> Iterator[pa.RecordBatch]:
         """Rows of two kinds: a batch's documents with what is known of them, and what it asks of each part."""
         from pyspark import TaskContext
 
-        v, w = vocab.value, weights.value
+        m, w = model.value, weights.value.astype(np.float32)
+        log_tail, head_counts = np.log10(m[7].astype(np.float64) + 1), np.append(m[1], 0)
         batch_no = (TaskContext.get().partitionId() << 24) - 1
         for batch in source:
             for lo, hi, data, off in chunks(batch.column(2), 4 * CHUNK_BYTES):
                 batch_no += 1
                 n_docs = hi - lo
                 home = np.zeros(n_docs, HOME)
-                asked, asked_doc, asked_gain = [], [], []
+                asked, asked_doc = [], []
                 for a, b, part_data, part_off in slices(data, off):
                     tokens, first = sequences(part_data, part_off)
-                    pos, there = find(v.tokens, tokens)
-                    c = np.where(there, v.counts[pos] if len(v.counts) else 0, 0)
-                    rank = np.where(there, v.rank[pos] if len(v.rank) else -1, -1)
+                    y, pos, there = log_probability(m, w, contexts(tokens, first), tokens)
+                    c = np.where(there, head_counts[pos], 0)
                     doc = np.repeat(np.arange(a, b), np.diff(first))
                     here = slice(a, b)
                     add = lambda x, doc=doc: np.bincount(doc - a, weights=x, minlength=b - a)  # noqa: B023, E731
-                    logs = np.where(there, np.log10(c + 1), 0.0)
                     home["n"][here] = np.diff(first)
                     home["known"][here] = add(there)
-                    home["base"][here] = add(logs - log_all)
-                    ctx, gain, out = contexts(tokens, first), np.zeros(len(tokens)), np.flatnonzero(rank < 0)
-                    if w.tree and len(out):
-                        gain[out] = tree_gain(w.tree, ctx[:, out], tokens[out]) / np.log(10)
-                    home["score"][here] = add(log_probability(w, ctx, rank) / np.log(10) + np.where(rank < 0, logs - log_rest, 0.0) + np.where(there, gain, 0.0))
+                    home["base"][here] = add(np.log10(c + 1) - log_all)
                     rest = np.flatnonzero(~there)
-                    home["ask"][here] = add(~there)
+                    y /= np.log(10)
+                    y[rest] -= log_tail[digits_of(tokens[rest], m[6])]
+                    home["score"][here] = add(y)
                     asked.append(tokens[rest])
                     asked_doc.append(doc[rest])
-                    asked_gain.append(gain[rest])
-                asked, asked_doc, asked_gain = np.concatenate(asked), np.concatenate(asked_doc).astype(np.uint32), np.concatenate(asked_gain).astype(np.float32)
+                asked, asked_doc = np.concatenate(asked), np.concatenate(asked_doc).astype(np.uint32)
                 order, at = runs(part_of(asked, parts), parts)
                 use = [p for p in range(parts) if at[p] < at[p + 1]]
-                blobs = [asked[order[at[p] : at[p + 1]]].tobytes() + asked_doc[order[at[p] : at[p + 1]]].tobytes() + asked_gain[order[at[p] : at[p + 1]]].tobytes() for p in use]
+                blobs = [asked[order[at[p] : at[p + 1]]].tobytes() + asked_doc[order[at[p] : at[p + 1]]].tobytes() for p in use]
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, pa.schema([("doc_id", batch.schema.field(0).type), ("held_out", pa.bool_())])) as writer:
                     writer.write_batch(pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n_docs), batch.column(1).slice(lo, n_docs)], names=["doc_id", "held_out"]))
@@ -520,7 +453,7 @@ def score_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 yield pa.RecordBatch.from_arrays([pa.array([*use, -1], pa.int32()), pa.array([batch_no] * len(blobs), pa.int64()), pa.array(blobs, pa.binary()), pa.array(ids, pa.binary())], names=["part", "batch", "blob", "ids"])
 
     def answer(source) -> Iterator[pa.RecordBatch]:
-        """A part's counts come first; each request gets its documents' sums of log10(c + 1), of the tree's gains, and of c > 0."""
+        """A part's counts come first; each request gets its documents' sums of log10(c + 1) and of c > 0."""
         now, tokens, count = None, np.zeros(0, U), np.zeros(0, np.int64)
         for batch in source:
             for p, b, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
@@ -529,28 +462,25 @@ def score_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     x = np.frombuffer(blob, np.int64)
                     now, tokens, count = p, x[: len(x) // 2].view(U), x[len(x) // 2 :]
                     continue
-                k = len(blob) // 16
-                t, doc, gain = np.frombuffer(blob, U, k), np.frombuffer(blob, np.uint32, k, 8 * k), np.frombuffer(blob, np.float32, k, 12 * k)
+                k = len(blob) // 12
+                t, doc = np.frombuffer(blob, U, k), np.frombuffer(blob, np.uint32, k, 8 * k)
                 c = np.zeros(k, np.int64)
                 if now == p:
                     pos, there = find(tokens, t)
                     c = np.where(there, count[pos], 0)
                 docs_in, inverse = np.unique(doc, return_inverse=True)
                 sums = np.bincount(inverse, weights=np.log10(c + 1)).astype(np.float64)
-                gains = np.bincount(inverse, weights=np.where(c > 0, gain, 0)).astype(np.float64)
                 known = np.bincount(inverse, weights=c > 0).astype(np.uint32)
                 some = known > 0
                 if some.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([b], pa.int64()), pa.array([sums[some].tobytes() + gains[some].tobytes() + docs_in[some].tobytes() + known[some].tobytes()], pa.binary()), pa.array([None], pa.binary())], names=["part", "batch", "blob", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([b], pa.int64()), pa.array([sums[some].tobytes() + docs_in[some].tobytes() + known[some].tobytes()], pa.binary()), pa.array([None], pa.binary())], names=["part", "batch", "blob", "ids"])
 
     def gather(source) -> Iterator[pa.RecordBatch]:
         """A batch's documents come first (part -1), then its answers."""
         now, home, ids = None, None, None
 
         def done() -> pa.RecordBatch:
-            base = home["base"] - home["ask"] * log_all
-            total = home["score"] - home["ask"] * log_rest
-            return pa.RecordBatch.from_arrays([ids.column(0), ids.column(1), pa.array(home["n"]), pa.array(home["known"]), pa.array(np.full(len(home), v_n), pa.int64()), pa.array(base), pa.array(total)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            return pa.RecordBatch.from_arrays([ids.column(0), ids.column(1), pa.array(home["n"]), pa.array(home["known"]), pa.array(np.full(len(home), v_n), pa.int64()), pa.array(home["base"]), pa.array(home["score"])], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
         for batch in source:
             for p, b, blob, who in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
@@ -560,22 +490,18 @@ def score_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     if p != -1:
                         raise RuntimeError("answers came without their batch")
                     now, home = b, np.frombuffer(blob.as_buffer(), HOME).copy()
-                    # what was not in the head was counted against the totals already
-                    home["base"] += home["ask"] * log_all
-                    home["score"] += home["ask"] * log_rest
                     ids = pa.ipc.open_stream(who.as_buffer()).read_next_batch()
                     continue
                 blob = blob.as_buffer()
-                k = len(blob) // 24
-                sums, gains = np.frombuffer(blob, np.float64, 2 * k).reshape(2, k)
-                doc, known = np.frombuffer(blob, np.uint32, k, 16 * k), np.frombuffer(blob, np.uint32, k, 20 * k)
+                k = len(blob) // 16
+                sums, doc, known = np.frombuffer(blob, np.float64, k), np.frombuffer(blob, np.uint32, k, 8 * k), np.frombuffer(blob, np.uint32, k, 12 * k)
                 home["base"][doc] += sums
-                home["score"][doc] += sums + gains
+                home["score"][doc] += sums
                 home["known"][doc] += known
         if now is not None:
             yield done()
 
-    v_n = int(v.n)
+    v_n = n
     form = "part int, batch long, blob binary, ids binary"
     sent = cut(rows.mapInArrow(tidy(score), form))
     asked = sent.where("part >= 0").unionByName(counts.select("part", F.lit(-1).cast("long").alias("batch"), "blob", F.lit(None).cast("binary").alias("ids")))

@@ -21,7 +21,6 @@ from .kernels import U, alnum_table, chunks, lower_table, signed, span_hashes, w
 from .labelled import SAMPLE_ROWS, fold, labelled_sample
 from .runtime import tidy
 
-MOST_TOKENS = 20_000
 PRIOR = 200.0
 LEAST_Z = 3.0
 SIGNIFICANT = 0.05
@@ -121,7 +120,7 @@ def fit_toxicity(sample: DataFrame) -> ToxicityModel:
     pos, neg = F.col("y") + prior + 0.01, F.col("d") - F.col("y") + prior + 0.01
     odds = F.log(pos / (n_pos + PRIOR - pos + 1)) - F.log(neg / (n_neg + PRIOR - neg + 1))
     sd = F.sqrt(1 / pos + 1 / neg)
-    kept = t.where("y >= 3").select("token", (odds - sd).alias("s"), (odds / sd).alias("z"), F.col("d").alias("d"), "y").where(f"z >= {LEAST_Z} and s > 0").orderBy(F.desc("z"), "token").limit(MOST_TOKENS).collect()
+    kept = t.where("y >= 3").select("token", (odds - sd).alias("s"), (odds / sd).alias("z"), F.col("d").alias("d"), "y").where(f"z >= {LEAST_Z} and s > 0").orderBy("token").collect()
     if not kept:
         return empty
     tokens = np.array([r["token"] for r in kept], np.int64).view(U)

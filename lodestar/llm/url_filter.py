@@ -28,10 +28,11 @@ def lower_ascii(c):
 def parts(pages: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, host, path; both empty for a null url or one without `://`."""
     u = F.col(url)
-    whole = r"(?s)^(?:(?!://).)*://([^/?#]*)([^?#]*)"
-    host = F.coalesce(F.regexp_extract(u, whole, 1), F.lit(""))
-    path = F.coalesce(F.regexp_extract(u, whole, 2), F.lit(""))
-    return pages.select(F.col(page_id).alias("page_id"), lower_ascii(host).alias("host"), path.alias("path"))
+    at = F.instr(u, "://")
+    rest = F.when(at > 0, F.substring(u, at + 3, F.length(u))).otherwise(F.lit(""))
+    before = F.substring_index(F.substring_index(F.coalesce(rest, F.lit("")), "#", 1), "?", 1)  # up to the first ? or #
+    host = F.substring_index(before, "/", 1)
+    return pages.select(F.col(page_id).alias("page_id"), lower_ascii(host).alias("host"), F.substring(before, F.length(host) + 1, F.length(before)).alias("path"))
 
 
 def ruled(rows: DataFrame, rules=RULES) -> DataFrame:

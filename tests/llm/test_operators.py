@@ -1,7 +1,10 @@
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -109,7 +112,10 @@ def test_maximal_segments_against_their_definition():
             return [*split(lo, a), (a, b - 1, round(best[0], 6)), *split(b, hi)]
 
         got = [(a, b, round(s, 6)) for s, a, b in toxicity.maximal_segments(np.array(at), np.array(scores), 0.75)]
-        assert sum(s for *_, s in got) == pytest.approx(sum(s for *_, s in split(0, n))) and max(s for *_, s in got) == max(s for *_, s in split(0, n))
+        want = split(0, n)
+        assert sum(s for *_, s in got) == pytest.approx(sum(s for *_, s in want)) and max(s for *_, s in got) == max(s for *_, s in want)
+        assert all(line[a] > 0 and line[b] > 0 and sum(line[a : b + 1]) == pytest.approx(s) for a, b, s in got)
+        assert all(x[1] < y[0] for x, y in zip(got, got[1:]))
 
 
 def test_mixing(spark):
@@ -149,6 +155,9 @@ def test_urls(spark):
     found = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(bad, "page_id long, url string, host string")).collect()}
     assert found[99] == "block"
     assert url_filter.filter_urls(rows.limit(0)).collect() == []
+    long = spark.createDataFrame([(1, "x" * 1_000_000 + "://A.com/" + "y" * 1_000_000), (2, "://" * 300_000), (3, "a" * 1_000_000)], "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.filter_urls(long).collect()}
+    assert (got[1].host, len(got[1].path), got[2].host, got[2].path[:5], got[3].host) == ("a.com", 1_000_001, ":", "//://", "")
 
 
 @pytest.mark.parametrize("most", [10**6, 5])
@@ -197,25 +206,53 @@ def test_language_model(spark):
     assert language_model.score_language(docs(spark, [])).collect() == []
 
 
-def test_model_probabilities_sum_to_one():
+@pytest.mark.parametrize("n_head,steps", [(50, 2), (1, 3), (0, 2)])
+def test_model_probabilities_sum_to_one(n_head, steps):
     rng = np.random.default_rng(2)
-    n = language_model.CLASSES * language_model.IN_CLASS
-    w = language_model.Weights(*(rng.normal(size=s).astype(np.float32) for s in (language_model.CLASSES + 1, (language_model.CLASSES, language_model.IN_CLASS), (language_model.CLASS_ROWS, language_model.CLASSES + 1), (language_model.WORD_ROWS, language_model.IN_CLASS))))
-    ctx = np.tile(rng.integers(0, 2**63, (3, 1), dtype=np.uint64), (1, n + 1))
-    p = np.exp(language_model.log_probability(w, ctx, np.arange(-1, n)))
-    assert p.sum() == pytest.approx(1, abs=1e-4)
-
-
-def test_training_lowers_the_loss_of_what_it_saw():
-    v = language_model.Vocabulary(np.arange(1, 9, dtype=np.uint64), np.full(8, 50), np.arange(8), 400, 8, 0, 0)
-    w = language_model.fresh(v)
-    tokens = np.tile(np.arange(1, 9, dtype=np.uint64), 50)
-    ctx, rank = language_model.contexts(tokens, np.array([0, 400])), (tokens - 1).astype(np.int64)
-    before = language_model.log_probability(w, ctx, rank).sum()
-    speeds = np.zeros(language_model.CLASS_ROWS), np.zeros(language_model.WORD_ROWS)
-    for _ in range(5):
-        language_model.train_step(w, speeds, ctx, rank, 0.5)
-    assert language_model.log_probability(w, ctx, rank).sum() > before + 100
+    tokens, counts = np.sort(rng.integers(0, 2**63, n_head, dtype=np.uint64)), rng.integers(1, 1000, n_head)
+    tail = rng.integers(0, 9, 4**steps).astype(np.float32)
+    model = language_model.model_of(tokens, counts, tail, steps)
+    probe = np.concatenate([tokens, rng.integers(0, 2**63, 6000, dtype=np.uint64)])
+    ctx = np.tile(rng.integers(0, 2**63, (3, 1), dtype=np.uint64), (1, len(probe)))
+    w = np.zeros((1 << 10, 4), np.float32)
+    for w[:] in (0, rng.normal(size=w.shape)):
+        p, _, there = language_model.log_probability(model, w, ctx, probe)
+        leaf = language_model.digits_of(probe[~there], steps)
+        each, at = np.unique(leaf, return_index=True)
+        assert len(each) == 4**steps and there.sum() == n_head
+        assert np.exp(p[there]).sum() + np.exp(p[~there][at]).sum() == pytest.approx(1, abs=1e-4)
+    w[:] = 0
+    p, _, there = language_model.log_probability(model, w, ctx, probe)
+    assert np.allclose(np.exp(p[:n_head]), (counts + 1) / (counts.sum() + n_head + tail.sum() + len(tail)), rtol=1e-3)
+
+
+def test_updates_lower_the_loss_and_expectations_match_counts():
+    rng = np.random.default_rng(3)
+    names = np.sort(rng.integers(0, 2**63, 8, dtype=np.uint64))
+    tokens = np.tile(rng.permutation(names), 50)
+    model = language_model.model_of(names, np.full(8, 50), np.zeros(4, np.float32), 1)
+    ctx = language_model.contexts(tokens, np.array([0, 400]))
+    w = np.zeros((1 << 10, 4), np.float32)
+    loss = []
+    for _ in range(6):
+        loss.append(-language_model.log_probability(model, w, ctx, tokens)[0].sum())
+        seen, expected = np.zeros(w.size), np.zeros((3, len(w)))
+        language_model.seen_and_expected(model, w, ctx, tokens, seen, expected)
+        seen = seen.reshape(w.shape)
+        last = seen.sum(axis=1) - expected.sum(axis=0)
+        assert (last > -1e-6).all() and seen.sum() == 3 * sum(len(language_model.choices(model, tokens)[k]) for k in (2,))
+        expected = np.vstack([expected, last]).T
+        w += (0.5 * np.log((seen + 0.5) / (expected + 0.5))).astype(np.float32)
+    assert all(b < a for a, b in zip(loss, loss[1:])) and loss[-1] < 0.3 * loss[0]
+
+
+def test_updates_do_not_depend_on_the_partitions(spark):
+    texts = [(f"a b c d{k % 7} e{k % 5}",) for k in range(200)]
+    counts = language_model.token_counts(spark.createDataFrame(texts, "text string"), 2)
+    tokens, c, n, v = language_model.vocabulary(counts)
+    model = spark.sparkContext.broadcast(language_model.model_of(tokens, c, language_model.tail_mass(counts, tokens, 1), 1))
+    w = [language_model.updated(spark.createDataFrame(texts, "text string").repartition(k), model, language_model.fresh(v)) for k in (1, 5)]
+    assert (n, v) == (1200, 16) and np.allclose(*w, atol=0.02) and np.abs(w[0]).max() > 0.5
 
 
 def test_tokens_outside_the_classes_follow_their_context(spark):
@@ -228,25 +265,32 @@ def test_tokens_outside_the_classes_follow_their_context(spark):
     assert np.mean(right) > np.mean(wrong) + 1
 
 
-def test_weight_tables_follow_the_vocabulary():
-    size = lambda v: [len(t) for w in [language_model.fresh(language_model.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 9 * v, v, 9 * v, v))] for t in (w.classes, w.words)]
-    assert size(1000) == [1 << 13, 1 << 15] and size(4_000_000) == [1 << 17, 1 << 18]
-    ctx = np.random.default_rng(5).integers(0, 1 << 63, (3, 1000), dtype=np.uint64)
-    rows = language_model.word_rows(ctx, np.arange(1000) % 32, 1 << 17)
-    assert 1 << 16 < rows.max() < 1 << 17 and language_model.class_rows(ctx, 1 << 15).max() >= 1 << 14
-
-
-def test_tree_probabilities_sum_to_one_and_no_token_counts_twice(spark):
+def test_model_follows_the_vocabulary(spark):
+    assert [len(language_model.fresh(v)) for v in (1000, 4_000_000)] == [1 << 14, 1 << 19]
     names = [f"t{k}" for k in range(3000)]
-    v = language_model.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), 6001, 3001, 6001, 3001)
     counts = language_model.token_counts(docs(spark, [" ".join(names * 2)]).select("text"), 4)
-    tree = language_model.tree_of(counts, v)
-    tree.weights[:] = np.random.default_rng(3).normal(size=len(tree.weights))
-    x = [np.frombuffer(r.blob, np.int64) for r in counts.collect()]
-    tokens, c = (np.concatenate(t) for t in zip(*((b[: len(b) // 2].view(np.uint64), b[len(b) // 2 :]) for b in x), strict=True))
-    assert tree.mass[1] == c.sum() + len(c) == 9002
-    ctx = np.tile(np.array([[5], [6], [7]], np.uint64), (1, len(tokens)))
-    assert np.sum((c + 1) / 9002 * np.exp(language_model.tree_gain(tree, ctx, tokens))) == pytest.approx(1, abs=1e-3)
+    tokens, c, n, v = language_model.vocabulary(counts, 100)
+    assert (len(tokens), c.tolist(), n, v) == (1, [1], 6001, 3001)
+    tail = language_model.tail_mass(counts, tokens, 3)
+    assert tail.sum() == 9000 and len(tail) == 64 and tail.min() > 0
+    first, node, side, bias = language_model.coded(np.array([1e9, 1, 1, 5, 5, 5, 5, 5, 1e6, 1e3]))
+    codes = [tuple(zip(node[a:b].tolist(), side[a:b].tolist())) for a, b in zip(first, first[1:])]
+    assert len(set(codes)) == 10 and len(codes[0]) == 1 and np.allclose(np.exp(bias).sum(axis=1), 1, atol=1e-3)
+
+
+def test_operators_need_no_package_on_the_workers(tmp_path):
+    code = f"""
+import sys; sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))!r})
+from pyspark.sql import SparkSession
+from lodestar.llm import decontaminate, language_model
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1").getOrCreate()
+d = spark.createDataFrame([(i, "one two three " * 9) for i in range(6)], "doc_id long, text string")
+b = spark.createDataFrame([(1, "two three one")], "item_id long, text string")
+print("ROWS", language_model.score_language(d).count() + decontaminate.report(decontaminate.contamination(d, b)).where("contaminated").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert "ROWS 12" in done.stdout, done.stderr[-2000:]
 
 
 def test_embeddings(spark):
