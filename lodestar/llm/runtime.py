@@ -41,13 +41,17 @@ def cut(df: DataFrame, *past: DataFrame) -> DataFrame:
 
 def forget(past: DataFrame) -> None:
     """Delete the files of a cut that nothing needs any more."""
-    jvm = past.sparkSession._jvm
     plan = past._jdf.queryExecution().logical()
     if plan.nodeName() == "LogicalRDD" or plan.getClass().getSimpleName() == "LogicalRDD":
         at = plan.rdd().getCheckpointFile()
         if at.isDefined():
-            path = jvm.org.apache.hadoop.fs.Path(at.get())
-            path.getFileSystem(past.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            remove(past.sparkSession, at.get())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def width(spark: SparkSession) -> int:
