@@ -37,12 +37,19 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group stays, once; rows of a null id stay."""
-    groups = runtime.cut(ngram_join.ngram_components(docs))
-    kept = prefilter.without_ids(docs, "doc_id", groups.where("doc_id != component_id").select("doc_id").distinct(), "doc_id")
-    again = groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = prefilter.without_ids(kept, "doc_id", again, "doc_id")
-    return once.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    """The document of the smallest id of each group stays, once. Rows of a null id stay, as do rows without words; rows
+    that repeat an id with another text are told apart by their sets."""
+    groups = runtime.cut(ngram_join.ngram_groups(docs))
+    again = runtime.cut(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    gone = groups.where("doc_id != component_id").select("doc_id")
+    if not again.limit(1).count():
+        return prefilter.without_ids(docs, "doc_id", gone, "doc_id")
+    kept = prefilter.without_ids(docs, "doc_id", gone.union(again).distinct(), "doc_id")
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id"), F.col("set_key").alias("__set")).distinct()
+    keyed = ngram_join.with_key(docs.join(again, "doc_id", "left_semi"), key="__key")
+    keyed = keyed.join(first, (F.col("doc_id") == F.col("__id")) & F.col("__key").eqNullSafe(F.col("__set")), "left_semi")
+    once = keyed.where("__key is not null").dropDuplicates(["doc_id"])
+    return kept.unionByName(once.unionByName(keyed.where("__key is null")).select(docs.columns))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,9 +76,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage wrote goes when the next has read it."""
     docs = _table(spark, sf_dir, "documents")
     at = f"{runtime.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")
+        if k:
+            runtime.remove(spark, f"{at}/{k - 1}")
     return docs
