@@ -1,4 +1,7 @@
-"""Settings of the attribution engine. Defaults are part of the semantics; ranges are not checked."""
+"""Settings of the attribution engine. Ranges are not checked.
+
+Fixed values: the names and defaults of the fields, and those of the presets, are part of the semantics.
+"""
 
 from __future__ import annotations
 

@@ -6,6 +6,7 @@ Each loads its model once in a worker, at the first text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 from importlib import import_module
 
@@ -131,6 +132,28 @@ def _clause_cuts(sentence) -> Iterable[tuple[int, int]]:
                 yield start, end
 
 
+def by_paragraph(segmenter: Callable[[str], Spans], kind: str = "sentence") -> Callable[[str], list[tuple[int, int, str, int]]]:
+    """A segmenter of answers out of one of texts: each paragraph is cut on its own, and a segment carries its kind and
+    the number of its paragraph. Paragraphs part at a newline, blanks, and newlines; blank ones don't count."""
+
+    def segment(text: str) -> list[tuple[int, int, str, int]]:
+        found, at, number = [], 0, 0
+        for end, after in [*(m.span() for m in re.finditer(r"\n[ \t]*\n+", text)), (len(text), len(text))]:
+            span = _strip(text, at, end)
+            if span:
+                found += [(span[0] + s[0], span[0] + s[1], kind, number) for s in segmenter(text[span[0] : span[1]])]
+                number += 1
+            at = after
+        return found
+
+    return segment
+
+
+def spacy_answer_segmenter(model: str = "en_core_web_sm", split_clauses: bool = False) -> Callable[[str], list[tuple[int, int, str, int]]]:
+    """Sentences, or clauses, of each paragraph of an answer by a spaCy pipeline, with kind and paragraph."""
+    return by_paragraph(spacy_segmenter(model, split_clauses), "clause" if split_clauses else "sentence")
+
+
 def spacy_segmenter(model: str = "en_core_web_sm", split_clauses: bool = True) -> Callable[[str], Spans]:
     """Sentences of a spaCy pipeline, cut again at the words that join clauses."""
     get = _pipeline(model)

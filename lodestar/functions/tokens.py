@@ -19,7 +19,8 @@ from ..config import TokenizerConfig
 
 #: a text of these alone needs no Unicode tables: ASCII, Latin-1 letters but for the sharp s, and common punctuation
 PLAIN = r"^[\x00-\x7f¡£§«»¿-ÖØ-Þà-öø-ÿ–—‘-„…€]*$"
-TOKEN = r"[0-9]+(?:[.,][0-9]+)*|[%$€£]|[A-Za-z0-9À-ÖØ-Þà-öø-ÿ]+(?:['’\-][A-Za-z0-9À-ÖØ-Þà-öø-ÿ]+)*"
+#: groups repeat possessively: nothing follows that a step back could help, and a long chain needs no stack
+TOKEN = r"[0-9]+(?:[.,][0-9]+)*+|[%$€£]|[A-Za-z0-9À-ÖØ-Þà-öø-ÿ]+(?:['’\-][A-Za-z0-9À-ÖØ-Þà-öø-ÿ]+)*+"
 SIGNS = {"%": "percent", "$": "dollar", "€": "euro", "£": "pound"}
 
 

@@ -23,19 +23,20 @@ def exploded(rows: DataFrame, array: str, out: str, position: str = "__pos") ->
 
 
 def segmented(rows: DataFrame, text: str, segmenter) -> DataFrame:
-    """rows with `segments`, by a function of a text that returns (start, end) pairs; runs in Arrow batches."""
+    """rows with `segments`, by a function of a text that returns (start, end), or (start, end, kind) or (start, end,
+    kind, paragraph); without these a segment is a sentence of no known paragraph. Runs in Arrow batches."""
     import pyarrow as pa
     from pyspark.sql.types import StructType
 
     at, names = rows.columns.index(text), rows.columns
-    kind = pa.list_(pa.struct([("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    kind = pa.list_(pa.struct([("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("paragraph", pa.int32())]))
 
     def run(source):
         for batch in source:
-            found = [[{"text": t[a:b], "start": a, "end": b} for a, b in segmenter(t)] if t else [] for t in batch.column(at).to_pylist()]
+            found = [[{"text": t[s[0] : s[1]], "start": s[0], "end": s[1], "kind": s[2] if len(s) > 2 else "sentence", "paragraph": s[3] if len(s) > 3 else None} for s in segmenter(t)] if t else [] for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], names=[*names, "segments"])
 
-    added = StructType.fromDDL("segments array<struct<text:string,start:int,end:int>>")
+    added = StructType.fromDDL("segments array<struct<text:string,start:int,end:int,kind:string,paragraph:int>>")
     return rows.mapInArrow(run, StructType([*rows.schema.fields, *added.fields]))
 
 
@@ -49,11 +50,13 @@ def spans_of(answers: DataFrame, segmenter=None) -> DataFrame:
         rows = exploded(rows.select("query_id", "corpus_id", "paragraph_index", "base", "segments"), "segments", "s")
     else:
         rows = segmented(answers.select("query_id", "corpus_id", "answer"), "answer", segmenter)
-        rows = rows.select("query_id", "corpus_id", F.lit(None).cast("int").alias("paragraph_index"), F.lit(0).alias("base"), F.explode("segments").alias("s"))
+        rows = rows.select("query_id", "corpus_id", F.lit(0).alias("base"), F.explode("segments").alias("s"))
+        rows = rows.select("query_id", "corpus_id", F.col("s.paragraph").alias("paragraph_index"), "base", "s")
     start = F.col("base") + F.col("s.start")
     no = (F.row_number().over(W.partitionBy("query_id", "corpus_id").orderBy("start")) - 1).cast("int")
-    rows = rows.select("query_id", "corpus_id", "paragraph_index", F.col("s.text").alias("text"), start.alias("start"), (start + F.length(F.col("s.text"))).alias("stop")).withColumn("span_no", no)
-    return rows.select("query_id", "corpus_id", "span_no", "text", F.col("start").alias("char_start"), F.col("stop").alias("char_end"), F.lit("sentence").alias("kind"), "paragraph_index", F.col("span_no").alias("sentence_index"))
+    kind = F.lit("sentence") if segmenter is None else F.col("s.kind")
+    rows = rows.select("query_id", "corpus_id", "paragraph_index", kind.alias("kind"), F.col("s.text").alias("text"), start.alias("start"), (start + F.length(F.col("s.text"))).alias("stop")).withColumn("span_no", no)
+    return rows.select("query_id", "corpus_id", "span_no", "text", F.col("start").alias("char_start"), F.col("stop").alias("char_end"), "kind", "paragraph_index", F.col("span_no").alias("sentence_index"))
 
 
 def passages_of(sources: DataFrame, size: int = 1, stride: int = 1, segmenter=None) -> DataFrame:

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """df, run once; its lineage ends in a reliable checkpoint in spark.checkpoint.dir (a fresh folder where unset)."""
+    """df, run once; its lineage ends in a reliable checkpoint in spark.checkpoint.dir (a fresh folder where unset and
+    the session is local; on a cluster it must be set)."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestar-checkpoint-"))
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if at is None and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="lodestar-checkpoint-"))
     return df.checkpoint(eager=True)

@@ -7,6 +7,7 @@ several chunks may share a source_id. Metadata only pass through.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from importlib import import_module
 from importlib.util import find_spec
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,6 +120,23 @@ def is_llamaindex_available() -> bool:
         return False
 
 
+#: whether the libraries are there, as of the import of this module
+LANGCHAIN_AVAILABLE, LLAMAINDEX_AVAILABLE = is_langchain_available(), is_llamaindex_available()
+
+
+def __getattr__(name: str):
+    """The other libraries' classes under the names of the handles, imported when asked for; None without the library."""
+    if name == "LangChainDocument":
+        return import_module("langchain_core.documents").Document if LANGCHAIN_AVAILABLE else None
+    if name in ("LlamaIndexTextNode", "LlamaIndexNodeWithScore", "LlamaIndexNode"):
+        if not LLAMAINDEX_AVAILABLE:
+            return None
+        schema = import_module("llama_index.core.schema")
+        known = {"LlamaIndexTextNode": schema.TextNode, "LlamaIndexNodeWithScore": schema.NodeWithScore}
+        return known.get(name, (schema.TextNode, schema.NodeWithScore))
+    raise AttributeError(name)
+
+
 def is_langchain_document(value) -> bool:
     if not is_langchain_available():
         return False

@@ -83,6 +83,45 @@ def test_empty_inputs_and_limits(spark):
     assert cite(spark, "One thing.", ["One thing."], CitationConfig(max_citations_per_source=0))[0].citations == []
     with pytest.raises(ValueError):
         cite(spark, "a", ["b"], backend="other")
+    with pytest.raises(RuntimeError):
+        cite(spark, "a", ["b"], backend="rust")
+
+
+def test_metrics_are_exact(spark):
+    seen = api.AlignmentMetrics()
+    cite(spark, "One thing. Two things. !", ["One thing here. Another thing. Nothing.", "Two."], observation=seen)
+    assert (seen.num_answer_spans, seen.num_candidates, seen.num_alignments) == (3, 4, 3)
+
+
+def test_custom_segmenter_keeps_kind_and_paragraph(spark):
+    from lodestar.functions.optional import by_paragraph
+
+    halves = lambda t: [(0, len(t) // 2), (len(t) // 2, len(t))]
+    answers, _ = api.one_answer(spark, "abcd\n\n  efgh", [])
+    rows = api.spans_of(answers, by_paragraph(halves, "clause")).orderBy("span_no").collect()
+    assert [(r.text, r.char_start, r.char_end, r.kind, r.paragraph_index, r.sentence_index) for r in rows] == [("ab", 0, 2, "clause", 0, 0), ("cd", 2, 4, "clause", 0, 1), ("ef", 8, 10, "clause", 1, 2), ("gh", 10, 12, "clause", 1, 3)]
+    rows = api.spans_of(answers, halves).orderBy("span_no").collect()
+    assert [(r.kind, r.paragraph_index) for r in rows] == [("sentence", None)] * 2
+
+
+def test_long_chains_of_tokens(spark):
+    long = ["a-" * 500_000 + "b", "1." * 500_000 + "1", "x'" * 500_000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(long)], "i int, t string")
+    got = {r.i: r.n for r in rows.select("i", F.size(tokens.plain_tokens(F.col("t"))).alias("n")).collect()}
+    assert got == {0: 1, 1: 1, 2: 1} and [len(tokens.scan(t)) for t in long] == [1, 1, 1]
+
+
+def test_vectors_with_null_components(spark):
+    from lodestar.operators.vectors import cosine_top
+
+    rows = spark.createDataFrame([("c", 1, [1.0, 0.0]), ("c", 2, [None, 1.0]), ("c", 3, None), ("c", 4, [0.6, 0.8])], "corpus_id string, vec_id long, embedding array<double>")
+    found = cosine_top(rows.withColumnRenamed("vec_id", "query"), rows, 5).orderBy("query", "rank").collect()
+    assert [(r.query, r.vec_id, round(r.cosine, 6)) for r in found] == [(1, 1, 1.0), (1, 4, 0.6), (4, 4, 1.0), (4, 1, 0.6)]
+
+
+def test_flags_of_other_libraries():
+    assert adapters.LANGCHAIN_AVAILABLE == adapters.is_langchain_available() and adapters.LLAMAINDEX_AVAILABLE == adapters.is_llamaindex_available()
+    assert (adapters.LangChainDocument is None) == (not adapters.LANGCHAIN_AVAILABLE) and (adapters.LlamaIndexNode is None) == (not adapters.LLAMAINDEX_AVAILABLE)
 
 
 def test_two_sentence_evidence_needs_a_window(spark):
