@@ -5,6 +5,9 @@ keys. Neighbouring strings of one key make a piece of a document. A key of one p
 alike in bytes are counted before anything moves: with a copy elsewhere, all their strings repeat. Of keys with
 different pieces, one copy of each goes to the shard of its key, where suffix sorting (suffix_sort) gives the strings
 whose neighbour in suffix order shares `length` bytes. Only these pieces' texts are shuffled.
+
+Shorter passages that stand in several rows are not removed but counted: of each row the strings that are least by hash
+among their neighbours are sent with the pieces, so that two rows with a passage in common have one of its strings in common.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from .suffix_sort import repeated
 
 LENGTH = 400
 GRAM = 120
+#: bytes of the strings by which shared passages are counted, and of the shortest passage that surely has one
+MARK, PASSAGE = 220, 300
 #: bytes of pieces that are sorted at once
 SHARD = 400_000
 #: a key of more bytes has its pieces keyed again, by the least hash of nearly whole strings
@@ -76,6 +81,31 @@ def pieces_of(data: np.ndarray, off: np.ndarray, length: int, gram: int):
     return key[s], content, doc[s], s - off[doc[s]], end - s, where[s] != where[e]
 
 
+def marks_of(data: np.ndarray, off: np.ndarray, mark: int = MARK, passage: int = PASSAGE) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, document) of the distinct strings of `mark` bytes that have the least hash among those of some `passage` bytes."""
+    n = len(data)
+    if n < passage:
+        return np.zeros(0, U), np.zeros(0, np.int64)
+    with np.errstate(over="ignore"):
+        power = np.full(n + 1, U(_ODD))
+        power[0] = U(1)
+        np.multiply.accumulate(power, out=power)
+        total = np.empty(n + 1, U)
+        total[0] = 0
+        np.cumsum((data.astype(U) + U(1)) * power[n:0:-1], out=total[1:])
+        h = mix((total[mark:] - total[:-mark]) * power[mark:] * _power_of(U(_ODD), (1 << 62) - n) ^ U(0x2127599BF4325C37))
+    least = sliding_least(h, passage - mark + 1)
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))[: len(least)]
+    inside = np.arange(len(least)) + passage <= off[1:][doc]
+    new = inside.copy()
+    new[1:] &= (least[1:] != least[:-1]) | (doc[1:] != doc[:-1])
+    h, doc = least[new], doc[new]
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    once = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, bool)
+    return h[once], doc[once]
+
+
 def text_keys(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """A hash of each document's bytes."""
     return np.array([int.from_bytes(hashlib.blake2b(data[off[d] : off[d + 1]], digest_size=8).digest(), "little") for d in range(len(off) - 1)], U)
@@ -84,39 +114,66 @@ def text_keys(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 PIECE = np.dtype([("key", "<u8"), ("content", "<u8"), ("id", "<i8"), ("text", "<u8"), ("start", "<i8"), ("size", "<i4"), ("self", "?"), ("pad", "V3")])
 
 
-def candidates(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc_id, text_key, key, content, start, size, whole, sort): the pieces that may hold repeats.
+SHARED = np.dtype([("hash", "<u8"), ("id", "<i8"), ("text", "<u8")])
+
 
-    whole: another piece is alike in all bytes. sort: the piece stands for its like in the suffix sort.
+def candidates(rows: DataFrame, length: int, gram: int, marks: bool = False) -> DataFrame:
+    """(doc_id, text_key, key, content, start, size, whole, sort, marks): the pieces that may hold repeats.
+
+    whole: another piece is alike in all bytes. sort: the piece stands for its like in the suffix sort. With marks there
+    are other rows too, in which only doc_id, text_key and marks, the number of strings found in other rows, have values.
     """
     parts = min(60_000, 2 * width(rows.sparkSession))
 
     def send(source) -> Iterator[pa.RecordBatch]:
-        found, held = [], 0
+        found, shared, held = [], [], 0
 
         def flush() -> pa.RecordBatch:
             all_pieces = np.concatenate(found)
             order, at = runs((all_pieces["key"] % U(parts)).astype(np.int64), parts)
             all_pieces = all_pieces[order]
             use = [p for p in range(parts) if at[p] < at[p + 1]]
-            return batches(use, [all_pieces[at[p] : at[p + 1]].tobytes() for p in use])
+            blobs = [all_pieces[at[p] : at[p + 1]].tobytes() for p in use]
+            x = np.concatenate(shared) if shared else np.zeros(0, SHARED)
+            order, at = runs((x["hash"] % U(parts)).astype(np.int64), parts)
+            x = x[order]
+            more = [p for p in range(parts) if at[p] < at[p + 1]]
+            return batches([*use, *(parts + p for p in more)], [*blobs, *(x[at[p] : at[p + 1]].tobytes() for p in more)])
 
         for batch in source:
             ids = np.asarray(batch.column(0))
             for lo, _, data, off in chunks(batch.column(1)):
                 key, content, doc, start, size, again = pieces_of(data, off, length, gram)
                 x = np.zeros(len(key), PIECE)
-                x["key"], x["content"], x["id"], x["text"], x["start"], x["size"], x["self"] = key, content, ids[lo + doc], text_keys(data, off)[doc], start, size, again
+                names = text_keys(data, off)
+                x["key"], x["content"], x["id"], x["text"], x["start"], x["size"], x["self"] = key, content, ids[lo + doc], names[doc], start, size, again
                 found.append(x)
                 held += len(x)
+                if marks:
+                    h, doc = marks_of(data, off)
+                    y = np.zeros(len(h), SHARED)
+                    y["hash"], y["id"], y["text"] = h, ids[lo + doc], names[doc]
+                    shared.append(y)
+                    held += len(y)
                 if held > FLUSH * 4:
                     yield flush()
-                    found, held = [], 0
+                    found, shared, held = [], [], 0
         if held:
             yield flush()
 
     def meet(source) -> Iterator[pa.RecordBatch]:
-        for _, blobs in by_part(source):
+        for part, blobs in by_part(source):
+            if part >= parts:
+                x = np.concatenate([np.frombuffer(b, SHARED) for b in blobs])
+                x = x[np.argsort(x["hash"], kind="stable")]
+                same = x["hash"][1:] == x["hash"][:-1]
+                x = x[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+                if len(x):
+                    x = x[np.lexsort((x["text"], x["id"]))]
+                    at = np.flatnonzero(np.concatenate([[True], (x["id"][1:] != x["id"][:-1]) | (x["text"][1:] != x["text"][:-1])]))
+                    none = [pa.nulls(len(at), k) for k in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_())]
+                    yield pa.RecordBatch.from_arrays([pa.array(x["id"][at]), pa.array(x["text"][at].view(np.int64)), *none, pa.array(np.diff(np.append(at, len(x))))], names=NAMES)
+                continue
             x = np.concatenate([np.frombuffer(b, PIECE) for b in blobs])
             x = x[np.argsort(x["key"], kind="stable")]
             first = np.flatnonzero(np.concatenate([[True], x["key"][1:] != x["key"][:-1]]))
@@ -137,10 +194,13 @@ def candidates(rows: DataFrame, length: int, gram: int) -> DataFrame:
             for lo in range(0, len(x), 100_000):
                 s = slice(lo, lo + 100_000)
                 y = x[s]
-                yield pa.RecordBatch.from_arrays([pa.array(y["id"]), pa.array(y["text"].view(np.int64) if y["text"].flags.c_contiguous else y["text"].copy().view(np.int64)), pa.array(y["key"].copy().view(np.int64)), pa.array(y["content"].copy().view(np.int64)), pa.array(y["start"]), pa.array(y["size"]), pa.array(whole[s]), pa.array(sort[s])], names=["doc_id", "text_key", "key", "content", "start", "size", "whole", "sort"])
+                yield pa.RecordBatch.from_arrays([pa.array(y["id"]), pa.array(y["text"].view(np.int64) if y["text"].flags.c_contiguous else y["text"].copy().view(np.int64)), pa.array(y["key"].copy().view(np.int64)), pa.array(y["content"].copy().view(np.int64)), pa.array(y["start"]), pa.array(y["size"]), pa.array(whole[s]), pa.array(sort[s]), pa.nulls(len(y), pa.int64())], names=NAMES)
 
     sent = rows.mapInArrow(tidy(send), SCHEMA)
-    return sent.repartition(width(rows.sparkSession), "part").sortWithinPartitions("part").mapInArrow(tidy(meet), "doc_id long, text_key long, key long, content long, start long, size int, whole boolean, sort boolean")
+    return sent.repartition(width(rows.sparkSession), "part").sortWithinPartitions("part").mapInArrow(tidy(meet), "doc_id long, text_key long, key long, content long, start long, size int, whole boolean, sort boolean, marks long")
+
+
+NAMES = ["doc_id", "text_key", "key", "content", "start", "size", "whole", "sort", "marks"]
 
 
 def piece_bytes(found: DataFrame, rows: DataFrame) -> DataFrame:
@@ -196,10 +256,12 @@ def sorted_repeats(pieces: DataFrame, length: int, shard: int = SHARD) -> DataFr
     return pieces.repartition(width(pieces.sparkSession), "key").sortWithinPartitions("key").mapInArrow(tidy(run), "key long, content long, runs array<struct<first:long,last:long>>")
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, text_key, runs): the byte ranges to remove, unmerged, for each id and text that has any."""
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, marks: bool = False) -> DataFrame:
+    """(doc_id, text_key, runs, marks): the byte ranges to remove, unmerged, and the strings shared with other rows, for
+    each id and text that has any."""
     rows = docs.where(F.col(text).isNotNull()).select(F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("doc_id"), F.col(text).alias("text"))
-    found = cut(candidates(rows, length, gram))
+    both = cut(candidates(rows, length, gram, marks))
+    found = both.where("key is not null")
     finer = length - max(1, length // 25)
     hot = cut(found.where("sort").groupBy("key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > HOT).select("key"))
     if gram < finer and hot.limit(1).count():
@@ -214,7 +276,10 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     whole = found.where("whole").select("doc_id", "text_key", F.array(F.struct(F.col("start").alias("first"), (F.col("start") + F.col("size")).alias("last"))).alias("runs"))
     part = found.where("not whole").join(spans, ["key", "content"])
     part = part.select("doc_id", "text_key", F.transform("runs", lambda r: F.struct((r["first"] + F.col("start")).alias("first"), (r["last"] + F.col("start")).alias("last"))).alias("runs"))
-    return whole.unionByName(part).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    ranges = whole.unionByName(part).withColumn("marks", F.lit(0).cast("long"))
+    counted = both.where("key is null").groupBy("doc_id", "text_key").agg(F.sum("marks").alias("marks"))
+    counted = counted.select("doc_id", "text_key", F.slice(F.array(F.struct(F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last"))), 1, 0).alias("runs"), "marks")
+    return ranges.unionByName(counted).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.sum("marks").alias("marks"))
 
 
 def union_of(spans: list[dict]) -> list[tuple[int, int]]:
@@ -229,18 +294,19 @@ def union_of(spans: list[dict]) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans for each row of docs.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared, spans for each row of docs.
 
     Texts are UTF-8 bytes; a null text is empty. A byte goes if a string of `length` bytes over it starts anywhere else,
     in any row, the same one included; all strings are judged on the input. spans are the maximal removed runs. A
-    repeated row is another place, so all its strings repeat. Null ids are allowed. An empty table gives no rows.
+    repeated row is another place, so all its strings repeat. n_shared counts strings of MARK bytes that other rows have too,
+    chosen so that every passage of PASSAGE bytes that two rows share is counted at least once. Null ids are allowed. An empty table gives no rows.
     Strings are told apart by 64-bit hashes where whole pieces are alike, and by their bytes otherwise.
     """
-    spans = cut(repeated_spans(docs, doc_id, text, length, gram)).select(F.col("doc_id").alias("at"), "text_key", "runs")
+    spans = cut(repeated_spans(docs, doc_id, text, length, gram, True)).select(F.col("doc_id").alias("at"), "text_key", "runs", "marks")
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("at"), F.col(text).alias("text"))
     bitmap = id_bitmap(spans, "at")
     # an id that repeats with several texts has a row of spans for each; the one of the row's own text counts
-    own = spans.groupBy("at").agg(F.collect_list(F.struct("text_key", "runs")).alias("texts"))
+    own = spans.groupBy("at").agg(F.collect_list(F.struct("text_key", "runs", "marks")).alias("texts"))
     with_spans = maybe_in(rows, "at", bitmap).join(own, "at", "left").select("doc_id", "text", "texts")
     without = maybe_in(rows, "at", bitmap, inside=False).select("doc_id", "text", F.lit(None).cast(dict(with_spans.dtypes)["texts"]).alias("texts"))
     kind = dict(rows.dtypes)["doc_id"]
@@ -249,13 +315,15 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for batch in source:
             raw, off = text_bytes(batch.column(1))
             n = np.diff(off)
-            removed, count, digest, kept_spans = [], [], [], []
+            removed, count, digest, kept_spans, shared = [], [], [], [], []
             for d, texts in enumerate(batch.column(2).to_pylist()):
                 b = raw[off[d] : off[d + 1]]
-                spans = []
+                spans, marks = [], 0
                 if texts:
                     key = int(text_keys(b, np.array([0, len(b)])).view(np.int64)[0])
                     spans = union_of([r for t in texts if t["text_key"] == key for r in t["runs"]])
+                    marks = sum(t["marks"] for t in texts if t["text_key"] == key)
+                shared.append(marks)
                 at, h = 0, hashlib.sha256()
                 for x, y in spans:
                     h.update(b[at:x])
@@ -266,7 +334,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 digest.append(h.hexdigest())
                 kept_spans.append([{"start": x, "end": y} for x, y in spans])
             span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_spans, span_type)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(shared, pa.int64()), pa.array(kept_spans, span_type)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared", "spans"])
 
-    form = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
+    form = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long, spans array<struct<start:long,end:long>>"
     return with_spans.mapInArrow(tidy(run), form).unionByName(without.mapInArrow(tidy(run), form))

@@ -57,3 +57,15 @@ def test_repeated_rows_nulls_and_empty_table(spark):
     wide = [(1, t, "k", 5), (2, t, None, 6)]
     assert [r[2] for r in got(spark, wide, 30, 8, "doc_id long, text string, key string, start int")] == [90, 90]
     assert got(spark, [], 30, 8) == []
+
+
+def test_shared_passages_are_counted(spark):
+    rng = random.Random(12)
+    own = lambda n: " ".join("".join(rng.choices("abcdefghijklm", k=6)) for _ in range(n))
+    passages = [own(n) for n in (44, 55, 90)]
+    texts = [own(60) + " " + p + " " + own(40) for p in passages for _ in range(3)] + [own(120) for _ in range(20)] + [own(20) + own(25) * 2, None, ""]
+    got = {r.doc_id: (r.n_shared, r.n_removed) for r in remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[i][0] > 0 for i in range(9)) and all(got[i] == (0, 0) for i in range(9, len(texts)))
+    assert all(got[i][1] == 0 for i in range(6)) and all(got[i][1] >= 620 for i in range(6, 9))
+    again = {r.n_shared for r in remove_repeats(spark.createDataFrame([(1, texts[0])] * 2 + [(1, texts[20])], "doc_id long, text string")).collect()}
+    assert 0 in again and len(again) == 2
