@@ -3,7 +3,9 @@
 Vectors are normalised and turned by three rounds of random signs and a fast Hadamard transform; the hash of a turn is
 the axis, with its sign, that lies closest. A table joins the hashes of `turns` independent turns. Every vector stands
 in its own bucket of each table; it also probes the buckets that its next-best axes give, in the order of what they
-lose. Vectors that meet are compared in their bucket, in double precision, by blocks; only links leave the bucket.
+lose. Vectors that meet are compared in their bucket, in double precision, by blocks. A pair may meet in several buckets
+and counts in the least of them, which both vectors' codes tell, so no pairs leave a bucket: only how many links each vector
+has there, and a forest of what they connect.
 Equal vectors of a label are one vertex with a count. A bucket too large for one task is dealt into blocks, and every
 pair of its blocks is a task of its own, so that nothing is dropped.
 """
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .kernels import U, mix
+from .ngram_join import joined
 from .runtime import cut, tidy, width
 
 COSINE = 0.98
@@ -91,16 +94,17 @@ def vertices(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> Dat
     return rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(label).alias("label"), e.alias("embedding")).groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
 
 
-def links_of(vertex: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, load: int = LOAD, block: int = BLOCK) -> DataFrame:
-    """(a, b), a < b: pairs of vertices of one label and length whose cosine reaches the threshold, each once."""
+def tallies(vertex: DataFrame, cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES, load: int = LOAD, block: int = BLOCK) -> DataFrame:
+    """(a, b, n): from each bucket how many vectors a vertex links with, counting copies, in rows without b; and links
+    (a, b) that connect what the bucket's links connect, in rows without n. Links are of one label and length."""
     spark = vertex.sparkSession
     most = vertex.groupBy("label", F.size("embedding").alias("d")).count().agg(F.max("count"), F.max("d")).first()
     if not most[0]:
-        return spark.createDataFrame([], "a long, b long")
+        return spark.createDataFrame([], "a long, b long, n long")
     axes = 2 * (1 << max(1, (int(most[1]) - 1).bit_length()))
     turns = max(1, round(np.log(max(1.0, most[0] / load)) / np.log(axes)))
 
-    def place(source) -> Iterator[pa.RecordBatch]:
+    def code(source) -> Iterator[pa.RecordBatch]:
         for batch in source:
             sizes = np.asarray(batch.column(2).value_lengths())
             for d in np.unique(sizes):
@@ -108,19 +112,18 @@ def links_of(vertex: DataFrame, cosine: float = COSINE, tables: int = TABLES, pr
                 for lo in range(0, len(some), 2048):
                     rows = batch.take(pa.array(some[lo : lo + 2048]))
                     x = matrix(rows.column(2))
-                    scale = np.abs(x).max(axis=1, keepdims=True)
-                    x = x / scale
+                    x = x / np.abs(x).max(axis=1, keepdims=True)
                     x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-                    for t in range(tables):
-                        h = hashes(x, t, turns, probes)
-                        n, k = h.shape
-                        with np.errstate(over="ignore"):
-                            keys = mix(h + U(t) * U(0x9E3779B97F4A7C15) + U(int(d)))
-                        row = np.repeat(np.arange(n), k)
-                        yield pa.RecordBatch.from_arrays([rows.column(1).take(pa.array(row)), pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(np.arange(k) > 0, n)), rows.column(0).take(pa.array(row))], names=["label", "bucket", "probe", "vec_id"])
+                    with np.errstate(over="ignore"):
+                        keys = np.stack([mix(hashes(x, t, turns, probes) + U(t) * U(0x9E3779B97F4A7C15) + U(int(d))) for t in range(tables)], axis=1)
+                    codes = pa.array([k.tobytes() for k in keys], pa.binary())
+                    buckets = pa.array([sorted({(int(key), bool(p)) for table in k.view(np.int64) for p, key in enumerate(table)}) for k in keys], pa.list_(pa.struct([("bucket", pa.int64()), ("probe", pa.bool_())])))
+                    yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), rows.column(3), codes, buckets], names=["vec_id", "label", "embedding", "copies", "codes", "buckets"])
 
     kind = dict(vertex.dtypes)["label"]
-    placed = cut(vertex.select("vec_id", "label", "embedding").mapInArrow(tidy(place), f"label {kind}, bucket long, probe boolean, vec_id long"))
+    coded = vertex.select("vec_id", "label", "embedding", "copies").mapInArrow(tidy(code), f"vec_id long, label {kind}, embedding array<double>, copies long, codes binary, buckets array<struct<bucket:long,probe:boolean>>")
+    coded = cut(coded)
+    placed = coded.select("label", "vec_id", F.explode("buckets").alias("x")).select("label", "vec_id", "x.bucket", "x.probe")
     # a bucket matters if a vector lives there and another one lives there or probes it
     use = placed.groupBy("label", "bucket").agg(F.count_if(~F.col("probe")).alias("homes"), F.count("*").alias("n")).where("homes > 0 and n > 1")
     split = F.greatest(F.lit(1), F.ceil(F.col("n") / block)).cast("int")
@@ -129,23 +132,16 @@ def links_of(vertex: DataFrame, cosine: float = COSINE, tables: int = TABLES, pr
     mine = F.pmod(F.xxhash64("vec_id"), F.col("g")).cast("int")
     rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     rows = rows.select("label", "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "probe", "vec_id")
-    rows = rows.join(vertex.select("vec_id", "embedding"), "vec_id").select("label", "bucket", "i", "j", "mine", "probe", "vec_id", "embedding")
-
-    def compare(ids, x, home, mine, i, j) -> list[tuple[np.ndarray, np.ndarray]]:
-        out = []
-        left = np.flatnonzero(home & (mine == i)) if i == j else np.arange(len(ids))
-        right = np.flatnonzero(mine == j)
-        left = left if i == j else np.flatnonzero(mine == i)
-        for lo in range(0, len(left), 1024):
-            a = left[lo : lo + 1024]
-            near = x[a] @ x[right].T >= cosine
-            near &= home[a][:, None] | home[right][None, :]
-            p, q = np.nonzero(near)
-            p, q = ids[a[p]], ids[right[q]]
-            apart = p != q
-            p, q = p[apart], q[apart]
-            out.append((np.minimum(p, q), np.maximum(p, q)))
-        return out
+    rows = rows.join(coded.select("vec_id", "embedding", "copies", "codes"), "vec_id").select("label", "bucket", "i", "j", "mine", "probe", "vec_id", "embedding", "copies", "codes")
+
+    def here(bucket: int, codes: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Which pairs have no lesser bucket in which they meet: one that is home to one and home or probed of the other."""
+        least = np.full(len(p), np.iinfo(np.uint64).max, U)
+        for t in range(tables):
+            a, b = codes[p, t], codes[q, t]
+            for home, all_of in ((a[:, 0], b), (b[:, 0], a)):
+                least = np.minimum(least, np.where((home[:, None] == all_of).any(axis=1), home, least))
+        return least == np.array([bucket], np.int64).view(U)[0]
 
     def meet(source) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -153,16 +149,37 @@ def links_of(vertex: DataFrame, cosine: float = COSINE, tables: int = TABLES, pr
         def done() -> pa.RecordBatch:
             ids = np.array([h[2] for h in held], np.int64)
             home = np.array([not h[1] for h in held])
+            mine, copies = np.array([h[0] for h in held]), np.array([h[4] for h in held], np.int64)
+            codes = np.frombuffer(b"".join(h[5] for h in held), U).reshape(len(held), tables, -1)
             x = np.stack([h[3] for h in held])
             x = x / np.abs(x).max(axis=1, keepdims=True)
             x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
-            pairs = compare(ids, x, home, np.array([h[0] for h in held]), now[2], now[3])
-            both = np.unique(np.stack([np.concatenate([p for p, _ in pairs] or [np.zeros(0, np.int64)]), np.concatenate([q for _, q in pairs] or [np.zeros(0, np.int64)])], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+            i, j = now[2], now[3]
+            left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+            n, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+            for lo in range(0, len(left), 256):
+                a = left[lo : lo + 256]
+                near = x[a] @ x[right].T >= cosine
+                near &= home[a][:, None] | home[right][None, :]
+                if i == j:
+                    near &= ids[a][:, None] < ids[right][None, :]  # each pair once, and a row that stands here twice not with itself
+                p, q = np.nonzero(near)
+                for at in range(0, len(p), 65_536):
+                    s, e = a[p[at : at + 65_536]], right[q[at : at + 65_536]]
+                    once = here(now[1], codes, s, e)
+                    s, e = s[once], e[once]
+                    np.add.at(n, s, copies[e])
+                    np.add.at(n, e, copies[s])
+                    root = joined_more(root, s, e)
+            some, away = np.flatnonzero(n), np.flatnonzero(root != np.arange(len(root)))
+            none = np.zeros(len(some), bool), np.zeros(len(away), bool)
+            a = pa.array(np.concatenate([ids[some], ids[away]]))
+            b = pa.array(np.concatenate([ids[some], ids[root[away]]]), mask=np.concatenate([~none[0], none[1]]))
+            return pa.RecordBatch.from_arrays([a, b, pa.array(np.concatenate([n[some], np.zeros(len(away), np.int64)]), mask=np.concatenate([none[0], ~none[1]]))], names=["a", "b", "n"])
 
         for batch in source:
             keys = list(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True))
-            mine, probe, ids = (batch.column(c).to_pylist() for c in (4, 5, 6))
+            mine, probe, ids, copies, codes = (batch.column(c).to_pylist() for c in (4, 5, 6, 8, 9))
             flat, off = np.asarray(batch.column(7).flatten()), np.asarray(batch.column(7).offsets)
             off = off - off[0]
             for r, key in enumerate(keys):
@@ -170,12 +187,17 @@ def links_of(vertex: DataFrame, cosine: float = COSINE, tables: int = TABLES, pr
                     if len(held) > 1:
                         yield done()
                     now, held = key, []
-                held.append((mine[r], probe[r], ids[r], flat[off[r] : off[r + 1]].copy()))
+                held.append((mine[r], probe[r], ids[r], flat[off[r] : off[r + 1]].copy(), copies[r], codes[r]))
         if len(held) > 1:
             yield done()
 
-    met = rows.repartition(width(spark), "label", "bucket", "i", "j").sortWithinPartitions("label", "bucket", "i", "j").mapInArrow(tidy(meet), "a long, b long")
-    return met.distinct()
+    return rows.repartition(width(spark), "label", "bucket", "i", "j").sortWithinPartitions("label", "bucket", "i", "j").mapInArrow(tidy(meet), "a long, b long, n long")
+
+
+def joined_more(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest row that each row is connected with, after some more links."""
+    n = np.arange(len(root))
+    return joined(len(root), np.concatenate([n, i]), np.concatenate([root, j])) if len(i) else root
 
 
 def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", cosine: float = COSINE, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
@@ -187,11 +209,9 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     smallest vec_id reachable. An empty table gives no rows; other columns are not read.
     """
     vertex = cut(vertices(vectors, vec_id, embedding, label))
-    links = cut(links_of(vertex, cosine, tables, probes))
-    copies = vertex.select("vec_id", "copies")
-    ends = links.select(F.col("a").alias("vec_id"), F.col("b").alias("to")).unionByName(links.select(F.col("b").alias("vec_id"), F.col("a").alias("to")))
-    degree = ends.join(copies.select(F.col("vec_id").alias("to"), "copies"), "to").groupBy("vec_id").agg(F.sum("copies").alias("far"))
-    roots = connected_components(links).toDF("vec_id", "root")
+    found = cut(tallies(vertex, cosine, tables, probes))
+    degree = found.where("b is null").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("far"))
+    roots = connected_components(found.where("b is not null")).toDF("vec_id", "root")
     found = vertex.join(degree, "vec_id", "left").join(roots, "vec_id", "left").select(
         "label", "embedding", (F.coalesce("far", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "vec_id").alias("component_id")
     )
