@@ -137,7 +137,9 @@ def partners(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(owner, doc_id): later documents and the owners they are aligned with."""
     keys = cut(keys_of(rows, min_words))
     owners = keys.groupBy("key").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").drop("last")
-    return keys.join(owners, "key").where("doc_id > owner").select("owner", "doc_id").distinct()
+    # the owners' key is computed, so that both sides are dealt for the join and the part of a frequent key can be split
+    owners = owners.select(F.col("key").bitwiseXOR(F.lit(0)).alias("of"), "owner")
+    return keys.join(owners, F.col("key") == F.col("of")).where("doc_id > owner").select("owner", "doc_id").distinct()
 
 
 def aligned(pairs: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
@@ -147,7 +149,8 @@ def aligned(pairs: DataFrame, texts: DataFrame, min_words: int) -> DataFrame:
     is dealt over several tasks, each with a copy of its text.
     """
     many = pairs.groupBy("owner").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("g"))
-    split = pairs.join(many, "owner").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int"))
+    dealt = many.select(F.col("owner").bitwiseXOR(F.lit(0)).alias("of"), "g")
+    split = pairs.join(dealt, F.col("owner") == F.col("of")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("g")).cast("int"))
     roles = split.select("owner", "salt", "doc_id", F.lit(1).alias("role")).unionByName(many.select("owner", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("salt"), F.col("owner").alias("doc_id"), F.lit(0).alias("role")))
     rows = roles.join(texts, "doc_id").select("owner", "salt", "role", "doc_id", "text_key", "text")
 

@@ -418,9 +418,10 @@ def ngram_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     links = cut(links_within(texts.withColumnRenamed("set_key", "member"), percent, words), reps)
     roots = cut(connected_components(links), links)
     group = vertex.join(roots, vertex["set_key"] == roots["node"], "left").select("set_key", "rep", F.coalesce("root", "set_key").alias("root"))
-    lowest = group.where("root != set_key").select("root").distinct()
-    lowest = group.join(lowest, "root").groupBy("root").agg(F.min("rep").alias("low"))
-    of_key = group.join(lowest, "root", "left").select("set_key", F.coalesce("low", "rep").alias("component_id"))
+    lowest = group.groupBy("root").agg(F.min("rep").alias("low"), F.count("*").alias("members")).where("members > 1").drop("members")
+    # the computed key lets the join deal both sides, so that the part of a large group can be split
+    lowest = lowest.select(F.col("root").bitwiseXOR(F.lit(0)).alias("of"), "low")
+    of_key = group.join(lowest, F.col("root") == F.col("of"), "left").select("set_key", F.coalesce("low", "rep").alias("component_id"))
     return keys.join(of_key, "set_key", "left").select("doc_id", "set_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
