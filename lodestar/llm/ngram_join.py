@@ -35,12 +35,14 @@ from .runtime import cut, tidy, width
 WORDS = 5
 PERCENT = 75
 FLUSH = 4 * CHUNK_BYTES
+#: a task meets its signatures in so many shares
+SHARES = 4
 #: shingles are counted in 2 ** CELL_BITS cells; those of a cell are common beyond LEAST and LOAD times the mean cell
 CELL_BITS, LEAST, LOAD = 24, 16, 4
 #: members and shingles of a block of a cluster; a task compares two blocks at most
-BLOCK, BLOCK_SHINGLES = 2000, 3_000_000
+BLOCK, BLOCK_SHINGLES = 1500, 2_000_000
 #: cells of a chunk of a matrix product
-DENSE = 4_000_000
+DENSE = 2_000_000
 
 
 def sets_of(data: np.ndarray, off: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -255,20 +257,25 @@ def candidates(texts: DataFrame, common=None, text: str = "text", words: int = W
     def meet(source) -> Iterator[pa.RecordBatch]:
         low, high = np.zeros(0, U), np.zeros(0, U)
         for _, blobs in by_part(source):
-            rest, keys = [], []
-            for b in blobs:
-                n, m = (int(x) for x in np.frombuffer(b, np.int64, 2))
-                wide = np.zeros((n, 8), np.uint8)
-                wide[:, :5] = np.frombuffer(b, np.uint8, 5 * n, 16 + 12 * m).reshape(n, 5)
-                rest.append(wide.view("<u8")[:, 0])
-                keys.append(np.repeat(np.frombuffer(b, U, m, 16), np.frombuffer(b, np.uint32, m, 16 + 8 * m)))
-            r = np.concatenate(rest)
-            order = np.argsort(r)
-            r, key = r[order], np.concatenate(keys)[order]
-            first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-            least = np.repeat(np.minimum.reduceat(key, first), np.diff(np.append(first, len(r))))
-            apart = key != least
-            low, high = forest(np.concatenate([low, least[apart]]), np.concatenate([high, key[apart]]))
+            for share in range(SHARES):  # a share of the signatures at a time, to hold less
+                rest, keys = [], []
+                for b in blobs:
+                    n, m = (int(x) for x in np.frombuffer(b, np.int64, 2))
+                    five = np.frombuffer(b, np.uint8, 5 * n, 16 + 12 * m).reshape(n, 5)
+                    some = np.flatnonzero(five[:, 0] % SHARES == share)
+                    wide = np.zeros((len(some), 8), np.uint8)
+                    wide[:, :5] = five[some]
+                    owner = np.searchsorted(np.cumsum(np.frombuffer(b, np.uint32, m, 16 + 8 * m)), some, side="right")
+                    rest.append(wide.view("<u8")[:, 0])
+                    keys.append(np.frombuffer(b, U, m, 16)[owner])
+                r = np.concatenate(rest)
+                order = np.argsort(r)
+                r, key = r[order], np.concatenate(keys)[order]
+                del rest, keys, order
+                first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, np.int64)
+                least = np.repeat(np.minimum.reduceat(key, first), np.diff(np.append(first, len(r)))) if len(r) else key
+                apart = np.flatnonzero(key != least)
+                low, high = forest(np.concatenate([low, least[apart]]), np.concatenate([high, key[apart]]))
         if len(low):
             yield pa.RecordBatch.from_arrays([pa.array(signed(low)), pa.array(signed(high))], names=["a", "b"])
 
@@ -326,11 +333,15 @@ def similar(sets: np.ndarray, bounds: np.ndarray, percent: int, border: int = 0)
         holds = np.zeros((m, len(at[lo : lo + step])), np.float32)
         holds[owner[place], column] = 1
         common += holds @ holds.T
-    i, j = np.nonzero((100 + percent) * common >= percent * (size[:, None] + size[None, :]).astype(np.float32))
-    keep = (i < j) & ((i < border) & (j >= border) if border else True)
-    i, j = i[keep], j[keep]
-    exact = (100 + percent) * common[i, j].astype(np.int64) >= percent * (size[i] + size[j])
-    return i[exact], j[exact]
+    found = []
+    for lo in range(0, m, 256):
+        i, j = np.nonzero(common[lo : lo + 256] * (100 + percent) >= ((size[lo : lo + 256, None] + size[None, :]) * percent).astype(np.float32))
+        i += lo
+        keep = (i < j) & ((i < border) & (j >= border) if border else True)
+        i, j = i[keep], j[keep]
+        exact = (100 + percent) * common[i, j].astype(np.int64) >= percent * (size[i] + size[j])
+        found.append((i[exact], j[exact]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def blocks_of(clusters: DataFrame, percent: int = PERCENT, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
