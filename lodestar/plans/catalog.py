@@ -285,14 +285,14 @@ _FLAT_SQL = """SELECT c.query_id, c.span_no::INTEGER AS span_no, j.status, c.ran
 _GROUNDED = _cited_sql() + """,
 sums AS (SELECT query_id, sum(length(text)) AS total, sum(coalesce(coverage, 0) * length(text)) AS weighted,
     sum(CASE status WHEN 'supported' THEN length(text) ELSE 0 END) AS sc, sum(CASE status WHEN 'partial' THEN length(text) ELSE 0 END) AS pc, sum(CASE status WHEN 'unsupported' THEN length(text) ELSE 0 END) AS uc,
-    avg(coalesce(coverage, 0)) AS mean, min(coalesce(coverage, 0)) AS least, count(*) AS n, count_if(status = 'supported') AS s, count_if(status = 'partial') AS p, count_if(status = 'unsupported') AS u, count_if(coverage < 0.4) AS weak FROM judged GROUP BY query_id),
+    avg(coalesce(coverage, 0)) AS mean, min(coalesce(coverage, 0)) AS least, count(*) AS n, count_if(status = 'supported') AS s, count_if(status = 'partial') AS p, count_if(status = 'unsupported') AS u, count_if(coalesce(coverage, 1) < 0.4) AS weak FROM judged GROUP BY query_id),
 ground AS (SELECT a.query_id, coalesce(weighted / total, 1.0) AS groundedness_score, 1.0 - coalesce(weighted / total, 1.0) AS hallucination_rate, coalesce(sc / total, 1.0) AS supported_ratio, coalesce(pc / total, 0.0) AS partial_ratio, coalesce(uc / total, 0.0) AS unsupported_ratio,
     coalesce(mean, 1.0) AS avg_confidence, coalesce(least, 1.0) AS min_confidence, coalesce(n, 0) AS num_spans, coalesce(s, 0) AS num_supported, coalesce(p, 0) AS num_partial, coalesce(u, 0) AS num_unsupported, coalesce(weak, 0) AS num_weak_citations
   FROM (SELECT DISTINCT query_id FROM answers) a LEFT JOIN sums USING (query_id))"""
 
 _FACTS = _cited_sql() + """
-SELECT a.query_id, count(j.span_no) AS num_claims, count_if(coverage >= 0.6)::BIGINT AS num_verified, count_if(coverage >= 0.3 AND coverage < 0.6)::BIGINT AS num_partial, count_if(j.span_no IS NOT NULL AND coalesce(coverage, 0) < 0.3)::BIGINT AS num_unverified,
-  round(coalesce(count_if(coverage >= 0.6) / nullif(count(j.span_no), 0), 1.0), 9) AS verification_rate, round(coalesce(avg(CASE WHEN j.span_no IS NOT NULL THEN coalesce(coverage, 0) END), 1.0), 9) AS avg_confidence, round(coalesce(min(CASE WHEN j.span_no IS NOT NULL THEN coalesce(coverage, 0) END), 1.0), 9) AS min_confidence
+SELECT a.query_id, count(j.span_no) AS num_claims, count_if(coalesce(coverage, 0) >= 0.6)::BIGINT AS num_verified, count_if(coalesce(coverage, 0) >= 0.3 AND coalesce(coverage, 0) < 0.6)::BIGINT AS num_partial, count_if(j.span_no IS NOT NULL AND coalesce(coverage, 0) < 0.3)::BIGINT AS num_unverified,
+  round(coalesce(count_if(coalesce(coverage, 0) >= 0.6) / nullif(count(j.span_no), 0), 1.0), 9) AS verification_rate, round(coalesce(avg(CASE WHEN j.span_no IS NOT NULL THEN coalesce(coverage, 0) END), 1.0), 9) AS avg_confidence, round(coalesce(min(CASE WHEN j.span_no IS NOT NULL THEN coalesce(coverage, 0) END), 1.0), 9) AS min_confidence
 FROM (SELECT DISTINCT query_id FROM answers) a LEFT JOIN judged j USING (query_id) GROUP BY a.query_id"""
 
 _ANNOTATED = _cited_sql() + r""",
