@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .blobs import by_part, runs
 from .kernels import CHUNK_BYTES, U, chunks, lower_table, mix, space_table, span_hashes, word_spans
 from .labelled import fold
-from .runtime import cut, tidy, width
+from .runtime import cut, tidied, tidy, width
 
 END = U(0x0E17D0C5)
 #: tokens whose counts and codes are broadcast, 60 bytes each at most
@@ -33,13 +33,13 @@ HEAD = 1 << 18
 #: classes of a choice, two bits; features of a position; bound of a weight
 WAYS, BITS, FEATURES, BOUND = 4, 2, 3, 12
 #: hashed rows of weights: a power of two near one for SHARE counted tokens, within bounds (8 bytes a row are broadcast)
-LEAST_ROWS, MOST_ROWS, SHARE = 1 << 14, 1 << 20, 8
+LEAST_ROWS, MOST_ROWS, SHARE = 1 << 14, 1 << 19, 1
 #: counted tokens of a last class behind the head, and most choices to it (which bounds what is broadcast of them)
 LEAF, MOST_STEPS = 8, 10
 #: tokens that are worked on at once
-STEP = 1 << 16
+STEP = 1 << 17
 #: rounds of updates, each over its share of the training documents; damping and smoothing of the updates
-ROUNDS, DAMP, SMOOTH = 3, 0.5, 0.5
+ROUNDS, DAMP, SMOOTH = 3, 0.4, 4.0
 
 
 def sequences(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -344,6 +344,7 @@ def lengthened(b, n: int, at: int) -> np.ndarray:
 def updated(texts: DataFrame, model, w: np.ndarray, damp: float = DAMP, smooth: float = SMOOTH) -> np.ndarray:
     """The weights after one update over all texts. model: broadcast. Tasks send their sums by ranges of weights."""
     spark = texts.sparkSession
+    tidied(spark)
     start = spark.sparkContext.broadcast(w.astype(np.float16))
     ranges = min(width(spark), 1024)
     piece = -(-len(w) // ranges)
@@ -407,6 +408,7 @@ def score_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     for k in range(rounds):
         share = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == k) if rounds > 1 else learn
         w = updated(share.select("text"), model, w)
+    tidied(spark)
     weights = spark.sparkContext.broadcast(w.astype(np.float16))
     rows = docs.select(F.col(doc_id).alias("doc_id"), out.alias("held_out"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -31,14 +31,19 @@ def cut(df: DataFrame, *past: DataFrame) -> DataFrame:
     needs any more; their files go. Shuffle files of earlier steps go when the driver's garbage is collected, so that is
     asked for before more are written."""
     shared_dir(df.sparkSession)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+    tidied(df.sparkSession)
     done = df.checkpoint(eager=True)
     for p in past:
         forget(p)
     return done
 
 
+def tidied(spark: SparkSession) -> None:
+    """Collect the driver's garbage, so that shuffle files of what nothing refers to any more go."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def forget(past: DataFrame) -> None:
     """Delete the files of a cut that nothing needs any more."""
     plan = past._jdf.queryExecution().logical()

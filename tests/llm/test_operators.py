@@ -252,7 +252,7 @@ def test_updates_do_not_depend_on_the_partitions(spark):
     tokens, c, n, v = language_model.vocabulary(counts)
     model = spark.sparkContext.broadcast(language_model.model_of(tokens, c, language_model.tail_mass(counts, tokens, 1), 1))
     w = [language_model.updated(spark.createDataFrame(texts, "text string").repartition(k), model, language_model.fresh(v)) for k in (1, 5)]
-    assert (n, v) == (1200, 16) and np.allclose(*w, atol=0.02) and np.abs(w[0]).max() > 0.5
+    assert (n, v) == (1200, 16) and np.allclose(*w, atol=0.02) and np.abs(w[0]).max() > 0.2
 
 
 def test_tokens_outside_the_classes_follow_their_context(spark):
