@@ -73,7 +73,30 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
+_GROUPS = """reach AS (SELECT rn, rn AS far FROM {rows} UNION SELECT reach.rn, l.b FROM reach JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON l.a = reach.far),
+groups AS (SELECT reach.rn, min({id}) AS component_id FROM reach JOIN {rows} r ON r.rn = reach.far GROUP BY reach.rn)"""
+
+EMBEDDINGS_SQL = f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS rn, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+u AS MATERIALIZED (SELECT rn, label, e, sqrt(list_dot_product(e, e)) AS size FROM v
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (SELECT a.rn AS a, b.rn AS b FROM u a JOIN u b ON a.label = b.label AND a.rn < b.rn AND len(a.e) = len(b.e) WHERE list_dot_product(a.e, b.e) / a.size / b.size >= 0.98),
+counts AS (SELECT rn, count(*) AS n FROM (SELECT a AS rn FROM links UNION ALL SELECT b FROM links) GROUP BY rn),
+{_GROUPS.format(rows="v", id="vec_id")}
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, coalesce(component_id, vec_id) AS component_id, vec_id = coalesce(component_id, vec_id) AS kept FROM v LEFT JOIN counts USING (rn) LEFT JOIN groups USING (rn)"""
+
+NGRAM_SQL = rf"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+d AS MATERIALIZED (SELECT rn, doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i : i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+x AS MATERIALIZED (SELECT rn, unnest(s) AS x FROM d),
+common AS (SELECT p.rn AS a, q.rn AS b, count(*) AS k FROM x p JOIN x q ON p.x = q.x AND p.rn < q.rn GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM common JOIN d p ON p.rn = a JOIN d q ON q.rn = b WHERE 100 * k >= 75 * (len(p.s) + len(q.s) - k)),
+{_GROUPS.format(rows="d", id="doc_id")}
+SELECT doc_id, len(s)::BIGINT AS n_shingles, coalesce(component_id, doc_id) AS component_id FROM d LEFT JOIN groups USING (rn)"""
+
 SQL: dict[str, str] = {
+    "op2_embedding_near_dedup": EMBEDDINGS_SQL,
+    "op4_ngram_jaccard_join": NGRAM_SQL,
     "op5_url_filter": url_filter.SQL,
     "op6_source_mixing": mixing.SQL,
     "op9_benchmark_decontamination": decontaminate.SQL,
