@@ -1,8 +1,8 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
 Training estimates, for each token, the log-odds of its document frequency in toxic against other documents under an
-informative Dirichlet prior, with their variance; tokens whose lower bound is clear of zero score, all others cost a
-little. A linear scan finds every maximal segment of a document. The best segment is set against what documents of
+informative Dirichlet prior, with their variance; tokens of LEAST_DOCS toxic documents or more whose lower bound is clear
+of zero score, all others cost a little. Their number is bounded by what the labelled sample (SAMPLE_ROWS) holds. A linear scan finds every maximal segment of a document. The best segment is set against what documents of
 that length have by chance (an extreme-value law whose scale solves the moment equation of the score distribution),
 and that margin is calibrated to a probability.
 """
@@ -23,6 +23,8 @@ from .runtime import tidy
 
 PRIOR = 200.0
 LEAST_Z = 3.0
+#: toxic documents of the sample that a scoring token stands in, at least
+LEAST_DOCS = 3
 SIGNIFICANT = 0.05
 
 
@@ -120,7 +122,7 @@ def fit_toxicity(sample: DataFrame) -> ToxicityModel:
     pos, neg = F.col("y") + prior + 0.01, F.col("d") - F.col("y") + prior + 0.01
     odds = F.log(pos / (n_pos + PRIOR - pos + 1)) - F.log(neg / (n_neg + PRIOR - neg + 1))
     sd = F.sqrt(1 / pos + 1 / neg)
-    kept = t.where("y >= 3").select("token", (odds - sd).alias("s"), (odds / sd).alias("z"), F.col("d").alias("d"), "y").where(f"z >= {LEAST_Z} and s > 0").orderBy("token").collect()
+    kept = t.where(F.col("y") >= LEAST_DOCS).select("token", (odds - sd).alias("s"), (odds / sd).alias("z"), F.col("d").alias("d"), "y").where(f"z >= {LEAST_Z} and s > 0").orderBy("token").collect()
     if not kept:
         return empty
     tokens = np.array([r["token"] for r in kept], np.int64).view(U)
