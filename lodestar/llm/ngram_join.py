@@ -29,7 +29,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .blobs import SCHEMA, batches, by_part
 from .components import connected_components
 from .kernels import CHUNK_BYTES, U, chunks, lower_table, mix, shingle_sets, signed, space_table, span_hashes, word_spans
-from .prefilter import id_bitmap, maybe_in
+from .prefilter import hits, id_bitmap
 from .runtime import cut, tidy, width
 
 WORDS = 5
@@ -38,7 +38,7 @@ FLUSH = 4 * CHUNK_BYTES
 #: a task meets its signatures in so many shares
 SHARES = 4
 #: shingles are counted in 2 ** CELL_BITS cells; those of a cell are common beyond LEAST and LOAD times the mean cell
-CELL_BITS, LEAST, LOAD = 24, 16, 4
+CELL_BITS, LEAST, LOAD = 23, 16, 4
 #: members and shingles of a block of a cluster; a task compares two blocks at most
 BLOCK, BLOCK_SHINGLES = 1500, 2_000_000
 #: cells of a chunk of a matrix product
@@ -195,7 +195,7 @@ def unpacked_counts(b) -> np.ndarray:
 
 def common_cells(counted: DataFrame, shingles: int):
     """A broadcast bitmap of the crowded cells, from digest()'s rows of cells and the number of all shingles. Each task
-    sums a range, so what reaches the driver is the map itself, of two megabytes."""
+    sums a range, so what reaches the driver is the map itself, of one megabyte."""
     n_parts = width(counted.sparkSession)
     piece, most = cell_range(n_parts), max(LEAST, LOAD * shingles / (1 << CELL_BITS))
 
@@ -213,8 +213,9 @@ def common_cells(counted: DataFrame, shingles: int):
     return counted.sparkSession.sparkContext.broadcast(whole)
 
 
-def candidates(texts: DataFrame, common=None, text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(a, b): set keys; whatever sets share a signature are connected by these rows. texts has the column text.
+def candidates(texts: DataFrame, common=None, only=None, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(a, b): set keys; whatever sets share a signature are connected by these rows. texts has doc_id and text; only: a
+    bitmap of the ids that send signatures (rows of a null id do so anyway).
 
     A task meets the signatures of some parts and sends a forest of what they connect, not their groups.
     """
@@ -240,7 +241,9 @@ def candidates(texts: DataFrame, common=None, text: str = "text", words: int = W
             return batches(names, blobs)
 
         for batch in source:
-            for _, _, data, off in chunks(batch.column(0)):
+            if only is not None:
+                batch = batch.filter(pa.array(hits(batch.column(0), only.value, nulls=True)))
+            for _, _, data, off in chunks(batch.column(1)):
                 sets, bounds = sets_of(data, off, words)
                 s, i = signatures(sets, bounds, percent, cells)
                 sigs.append(s)
@@ -279,7 +282,7 @@ def candidates(texts: DataFrame, common=None, text: str = "text", words: int = W
         if len(low):
             yield pa.RecordBatch.from_arrays([pa.array(signed(low)), pa.array(signed(high))], names=["a", "b"])
 
-    sent = texts.select(F.col(text).alias("text")).mapInArrow(tidy(send), SCHEMA)
+    sent = texts.select("doc_id", "text").mapInArrow(tidy(send), SCHEMA)
     return sent.repartition(width(texts.sparkSession), "part").sortWithinPartitions("part").mapInArrow(tidy(meet), "a long, b long")
 
 
@@ -393,12 +396,15 @@ def links_within(clusters: DataFrame, percent: int = PERCENT, words: int = WORDS
     return rows.repartition(width(clusters.sparkSession), "cluster", "level", "i", "j").sortWithinPartitions("cluster", "level", "i", "j", "mine").mapInArrow(tidy(run), "a long, b long")
 
 
-def with_key(rows: DataFrame, words: int = WORDS, text: str = "text", key: str = "set_key") -> DataFrame:
-    """rows with the key of their sets, null for a set without elements."""
+def with_key(rows: DataFrame, words: int = WORDS, text: str = "text", key: str = "set_key", only=None) -> DataFrame:
+    """rows with the key of their sets, null for a set without elements. only: a bitmap of the ids (of doc_id) to keep."""
     at, names = rows.columns.index(text), rows.columns
+    id_at = names.index("doc_id") if only is not None else 0
 
     def run(source) -> Iterator[pa.RecordBatch]:
         for batch in source:
+            if only is not None:
+                batch = batch.filter(pa.array(hits(batch.column(id_at), only.value)))
             keys = [set_keys(*sets_of(data, off, words)) for _, _, data, off in chunks(batch.column(at))]
             if keys:
                 k = np.concatenate(keys)
@@ -416,13 +422,11 @@ def ngram_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     shingles = vertex.agg(F.sum("all")).first()[0] or 0
     common = common_cells(digested.where("part is not null"), shingles)
     # one row of each set sends signatures; a few others whose id hashes alike, or repeats, do no harm
-    sender = maybe_in(rows, "doc_id", id_bitmap(vertex, "rep"), nulls=True)
-    near = cut(candidates(sender, common, "text", words, percent))
+    near = cut(candidates(rows, common, id_bitmap(vertex, "rep"), words, percent))
     clusters = cut(connected_components(near).toDF("set_key", "cluster"), near)
     reps = cut(blocks_of(clusters.join(vertex.select("set_key", "rep", "n"), "set_key"), percent).drop("n"), clusters)
-    texts = maybe_in(rows, "doc_id", id_bitmap(reps, "rep"), nulls=True)
     # an id that repeats with other texts is told apart by the keys
-    texts = with_key(texts, words).join(reps.where("rep is not null").withColumnRenamed("rep", "doc_id"), ["doc_id", "set_key"]).drop("doc_id")
+    texts = with_key(rows, words, only=id_bitmap(reps, "rep")).join(reps.where("rep is not null").withColumnRenamed("rep", "doc_id"), ["doc_id", "set_key"]).drop("doc_id")
     if reps.where("rep is null").limit(1).count():
         nameless = with_key(rows.where("doc_id is null"), words).drop("doc_id").join(reps.where("rep is null").drop("rep"), "set_key")
         texts = texts.unionByName(nameless)

@@ -44,6 +44,15 @@ def id_bitmap(ids: DataFrame, column: str, bits: int = BITS):
     return ids.sparkSession.sparkContext.broadcast(whole)
 
 
+def hits(column: pa.Array, whole: np.ndarray, bits: int = BITS, nulls: bool = False) -> np.ndarray:
+    """Which ids of a column of longs are in the map, or share their hash with one that is; with nulls, null ids too."""
+    p = (mix(np.asarray(column.fill_null(0)).astype(np.int64).view(U)) % U(bits)).astype(np.int64)
+    hit = ((whole[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).astype(bool)
+    if nulls and column.null_count:
+        hit |= np.asarray(column.is_null())
+    return hit
+
+
 def maybe_in(rows: DataFrame, column: str, bitmap, bits: int = BITS, inside: bool = True, nulls: bool = False) -> DataFrame:
     """The rows whose id is in the map, and a few more whose hash coincides; or, not inside, all others. column holds longs.
     With nulls, rows of a null id count as in the map."""
@@ -52,12 +61,7 @@ def maybe_in(rows: DataFrame, column: str, bitmap, bits: int = BITS, inside: boo
     def run(source) -> Iterator[pa.RecordBatch]:
         whole = bitmap.value
         for batch in source:
-            c = batch.column(at)
-            p = (mix(np.asarray(c.fill_null(0)).astype(np.int64).view(U)) % U(bits)).astype(np.int64)
-            hit = ((whole[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1).astype(bool)
-            if nulls and c.null_count:
-                hit |= np.asarray(c.is_null())
-            yield batch.filter(pa.array(hit == inside))
+            yield batch.filter(pa.array(hits(batch.column(at), whole, bits, nulls) == inside))
 
     return rows.mapInArrow(tidy(run), rows.schema)
 
