@@ -414,7 +414,7 @@ def with_key(rows: DataFrame, words: int = WORDS, text: str = "text", key: str =
 
 
 def ngram_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """ngram_components() with set_key, which tells rows of one id and different sets apart."""
+    """ngram_components() with set_key and group, which tell rows and groups of one id apart; null for rows without words."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     digested = cut(digest(docs, doc_id, text, words))
     keys = digested.where("part is null").select("doc_id", "set_key", "n_shingles")
@@ -436,8 +436,8 @@ def ngram_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     lowest = group.groupBy("root").agg(F.min("rep").alias("low"), F.count("*").alias("members")).where("members > 1").drop("members")
     # the computed key lets the join deal both sides, so that the part of a large group can be split
     lowest = lowest.select(F.col("root").bitwiseXOR(F.lit(0)).alias("of"), "low")
-    of_key = group.join(lowest, F.col("root") == F.col("of"), "left").select("set_key", F.coalesce("low", "rep").alias("component_id"))
-    return keys.join(of_key, "set_key", "left").select("doc_id", "set_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_key = group.join(lowest, F.col("root") == F.col("of"), "left").select("set_key", F.col("root").alias("group"), F.coalesce("low", "rep").alias("component_id"))
+    return keys.join(of_key, "set_key", "left").select("doc_id", "set_key", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "group")
 
 
 def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -448,4 +448,4 @@ def ngram_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     its group's smallest. Repeated rows stay repeated. Other columns of docs are not read. Sets are compared by
     64-bit hashes of their shingles.
     """
-    return ngram_groups(docs, doc_id, text, words, percent).drop("set_key")
+    return ngram_groups(docs, doc_id, text, words, percent).drop("set_key", "group")
