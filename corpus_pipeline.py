@@ -45,10 +45,10 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     if not again.limit(1).count():
         return prefilter.without_ids(docs, "doc_id", gone, "doc_id")
     kept = prefilter.without_ids(docs, "doc_id", gone.union(again).distinct(), "doc_id")
-    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id"), F.col("set_key").alias("__set")).distinct()
+    first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id"), F.col("set_key").alias("__set"), F.col("group").alias("__group")).distinct()
     keyed = ngram_join.with_key(docs.join(again, "doc_id", "left_semi"), key="__key")
-    keyed = keyed.join(first, (F.col("doc_id") == F.col("__id")) & F.col("__key").eqNullSafe(F.col("__set")), "left_semi")
-    once = keyed.where("__key is not null").dropDuplicates(["doc_id"])
+    keyed = keyed.join(first, (F.col("doc_id") == F.col("__id")) & F.col("__key").eqNullSafe(F.col("__set")))
+    once = keyed.where("__key is not null").dropDuplicates(["doc_id", "__group"])
     return kept.unionByName(once.unionByName(keyed.where("__key is null")).select(docs.columns))
 
 
