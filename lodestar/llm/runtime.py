@@ -39,8 +39,9 @@ def cut(df: DataFrame, *past: DataFrame) -> DataFrame:
 
 
 def tidied(spark: SparkSession) -> None:
-    """Collect the driver's garbage, so that shuffle files of what nothing refers to any more go."""
+    """Collect the driver's garbage, so that shuffle files of what nothing refers to any more go, and give memory back."""
     gc.collect()
+    give_back()
     spark._jvm.System.gc()
 
 
@@ -64,19 +65,24 @@ def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def give_back() -> None:
+    """Give this process's freed memory back to the system."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than glibc
+        pass
+
+
 def tidy(run):
     """An Arrow batch function that gives freed memory back to the system when it ends: workers stay for later stages."""
 
     def tidied(source):
-        import pyarrow
-
         try:
             yield from run(source)
         finally:
-            pyarrow.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):  # another C library than glibc
-                pass
+            give_back()
 
     return tidied
