@@ -123,3 +123,41 @@ def test_similar_sets_always_share_a_signature():
             a, b = np.sort(pool[:n]), np.sort(np.concatenate([pool[:common], pool[n : n + m - common]]))
             sig, of = ngram_join.signatures(np.concatenate([a, b]), np.array([0, n, n + m]), 75)
             assert set(sig[of == 0].tolist()) & set(sig[of == 1].tolist())
+
+
+def test_a_common_passage_makes_no_candidates(spark):
+    """Texts that share a passage but are not similar are told apart before they are read again."""
+    rng = random.Random(11)
+    passages = [[f"p{k}_{j}" for j in range(9)] for k in range(40)]
+    texts = [" ".join([*(f"x{rng.randrange(10**6)}" for _ in range(18)), *rng.choice(passages), *(f"x{rng.randrange(10**6)}" for _ in range(18))]) for _ in range(400)]
+    texts += [texts[0] + " end", texts[5] + " end"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    linked = ngram_join.candidates(rows).collect()
+    assert len({k for r in linked for k in (r.a, r.b)}) == 4
+    assert sorted(tuple(r) for r in ngram_components(rows).collect()) == brute(list(enumerate(texts)))
+
+
+def test_sketches_never_differ_in_more_than_the_sets():
+    rng = np.random.default_rng(6)
+    for n, m, both in [(1, 1, 0), (5, 6, 5), (63, 65, 60), (120, 140, 115), (1000, 1100, 1000), (1000, 1300, 0), (500, 500, 300)]:
+        pool = rng.integers(0, 2**63, n + m - both, dtype=np.uint64)
+        a, b = np.sort(pool[:n]), np.sort(pool[n - both :])
+        x, y = ngram_join.sketches(np.concatenate([a, b]), np.array([0, n, n + m]))
+        assert ngram_join.apart(x, y) == ngram_join.apart(y, x) <= n + m - 2 * both
+        assert n < 100 or both > 0.75 * n or 7 * ngram_join.apart(x, y) > n + m
+
+
+def test_meetings_are_all_pairs_or_connected(monkeypatch):
+    monkeypatch.setattr(ngram_join, "PAIRED", 4)
+    rng = np.random.default_rng(8)
+    sigs, names = rng.integers(0, 60, 300, dtype=np.uint64), rng.integers(0, 90, 300, dtype=np.uint64)
+    a, b, low, high = ngram_join.meetings(sigs, names)
+    pairs, groups = set(), 0
+    for s in set(sigs.tolist()):
+        x = sorted(set(names[sigs == s].tolist()))
+        if len(x) <= 4:
+            pairs |= {(x[i], x[j]) for j in range(len(x)) for i in range(j)}
+        else:
+            groups += 1
+            assert {(x[0], k) for k in x[1:]} <= set(zip(low.tolist(), high.tolist()))
+    assert groups and sorted(zip(a.tolist(), b.tolist())) == sorted(pairs)
