@@ -38,7 +38,7 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group stays, once. Rows of a null id stay, as do rows without words; rows
-    that repeat an id with another text are told apart by their sets."""
+    that repeat an id with another text are told apart by their sets; of those that are one group the smallest row stays."""
     groups = runtime.cut(ngram_join.ngram_groups(docs))
     again = runtime.cut(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
     gone = groups.where("doc_id != component_id").select("doc_id")
@@ -48,8 +48,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     first = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__id"), F.col("set_key").alias("__set"), F.col("group").alias("__group")).distinct()
     keyed = ngram_join.with_key(docs.join(again, "doc_id", "left_semi"), key="__key")
     keyed = keyed.join(first, (F.col("doc_id") == F.col("__id")) & F.col("__key").eqNullSafe(F.col("__set")))
-    once = keyed.where("__key is not null").dropDuplicates(["doc_id", "__group"])
-    return kept.unionByName(once.unionByName(keyed.where("__key is null")).select(docs.columns))
+    once = keyed.where("__key is not null").groupBy("doc_id", "__group").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return kept.unionByName(once).unionByName(keyed.where("__key is null").select(docs.columns))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

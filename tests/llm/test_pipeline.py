@@ -99,6 +99,15 @@ def test_each_stage_against_a_plain_version(spark, tmp_path):
     assert len(mixed) == len(docs) and {str((r.doc_id, r.size)) for r in mixed} == size and all(r.taken <= 3 * r.size for r in mixed)
 
 
+def test_the_row_that_stays_does_not_depend_on_order(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    docs = [(7, text, "en", s, 1) for s in "dbac"] + [(8, "some other words", "en", "b", 1)]
+    stage = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
+    for given in (docs, docs[::-1]):
+        got = stage(spark, spark.createDataFrame(given, SCHEMA).coalesce(1), None).collect()
+        assert sorted(tuple(r) for r in got) == [(7, text, "en", "a", 1), docs[4]]
+
+
 def test_run_chains_the_stages_and_takes_empty_tables(spark, tmp_path):
     docs, labels, items = corpus()
     at = tables(spark, f"file://{tmp_path}/full", docs, labels, items)
