@@ -161,3 +161,33 @@ def test_meetings_are_all_pairs_or_connected(monkeypatch):
             groups += 1
             assert {(x[0], k) for k in x[1:]} <= set(zip(low.tolist(), high.tolist()))
     assert groups and sorted(zip(a.tolist(), b.tolist())) == sorted(pairs)
+
+
+def test_chained_clusters_are_taken_apart_before_texts_move(spark, monkeypatch):
+    """Texts of passages that many have make chains of unlike sets; a large chain's texts are not all read again."""
+    monkeypatch.setattr(ngram_join, "LEAST", 3)
+    monkeypatch.setattr(ngram_join, "LOAD", 0)
+    monkeypatch.setattr(ngram_join.blocks_of, "__defaults__", (75, 9, 400))
+    seen, within = [], ngram_join.links_within
+    monkeypatch.setattr(ngram_join, "links_within", lambda clusters, *rest: seen.append(clusters.select("member").distinct().count()) or within(clusters, *rest))
+    rng = random.Random(12)
+    passages = [[f"p{k}_{j}" for j in range(12)] for k in range(8)]
+    texts = [" ".join(w for p in rng.sample(passages, 3) for w in p) for _ in range(90)]
+    texts += [texts[0] + " end", texts[5] + " end"]
+    rows = list(enumerate(texts))
+    got = sorted(tuple(r) for r in ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows)
+    assert len(seen) == 1 and 4 <= seen[0] < len(set(texts)) // 2
+
+
+def test_possible_pairs_are_those_that_sketches_leave():
+    rng = np.random.default_rng(9)
+    pool = rng.integers(0, 2**63, 700, dtype=np.uint64)
+    sets = [np.sort(rng.permutation(pool[: n * 10 // 9 + 1])[:n]) for n in rng.integers(1, 400, 90).tolist() + [60, 64, 65, 70, 128, 129, 140]]
+    sizes = np.array([len(s) for s in sets])
+    drawn = ngram_join.sketches(np.concatenate(sets), np.concatenate([[0], np.cumsum(sizes)]))
+    can = lambda a, b: 175 * ngram_join.apart(drawn[a], drawn[b]) <= 25 * (sizes[a] + sizes[b]) and 4 * min(sizes[a], sizes[b]) >= 3 * max(sizes[a], sizes[b])
+    for side in (np.zeros(len(sets), int), rng.integers(0, 2, len(sets))):
+        found = [tuple(sorted(p)) for i, j in ngram_join.possible_pairs(sizes, drawn, side, 75) for p in zip(i.tolist(), j.tolist())]
+        want = [(a, b) for b in range(len(sets)) for a in range(b) if can(a, b) and (not side.any() or side[a] != side[b])]
+        assert want and sorted(found) == sorted(want)
