@@ -5,7 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from lodestar.llm import ngram_join
+from lodestar.llm import components, ngram_join, runtime
 from lodestar.llm.ngram_join import ngram_components
 
 SCHEMA = "doc_id long, text string, set_key string, bucket int, n int"
@@ -191,3 +191,30 @@ def test_possible_pairs_are_those_that_sketches_leave():
         found = [tuple(sorted(p)) for i, j in ngram_join.possible_pairs(sizes, drawn, side, 75) for p in zip(i.tolist(), j.tolist())]
         want = [(a, b) for b in range(len(sets)) for a in range(b) if can(a, b) and (not side.any() or side[a] != side[b])]
         assert want and sorted(found) == sorted(want)
+
+
+def test_the_callers_step_reads_two_cuts_and_joins_once(spark):
+    """What plans and sends tasks for many joins at once made the driver's heap grow to its bound after the last cut."""
+    texts = [" ".join(f"w{k + j}" for j in range(12)) for k in (0, 0, 50, 51)]
+    found = ngram_join.ngram_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 2 and plan.count("Join") == 1 and "Aggregate" not in plan
+    assert sorted(r.component_id for r in found.collect()) == [0, 0, 2, 2]
+
+
+def test_components_deal_each_link_once_a_scan(spark, monkeypatch):
+    """A round reads its links in as many tasks as they have partitions, not in twice as many."""
+    links = spark.createDataFrame([(k, k + 1) for k in range(20) if k != 9] + [(30, 30), (None, 1)], "a long, b long")
+    done, run = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df, *past: done.append(df._jdf.queryExecution().optimizedPlan().toString()) or run(df, *past))
+    got = {(r.node, r.root) for r in components.connected_components(links).collect()}
+    assert got == {(k, 0 if k < 10 else 10) for k in range(20)} | {(20, 10)}
+    assert len(done) > 2 and all(p.count("Union") == 1 for p in done[1:])
+
+
+def test_the_driver_gives_back_what_its_jvm_freed(spark, monkeypatch):
+    given, run = [], runtime.give_back_jvm
+    monkeypatch.setattr(runtime, "give_back_jvm", lambda s: given.append(run(s)))
+    runtime.cut(spark.range(3)).collect()
+    version = int(spark._jvm.System.getProperty("java.specification.version").split(".")[0])
+    assert len(given) == 1 and (given[0] or version < 17)
