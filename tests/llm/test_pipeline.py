@@ -7,6 +7,7 @@ import pytest
 from test_ngram_join import brute
 
 import corpus_pipeline
+from lodestar.llm import runtime
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -118,3 +119,12 @@ def test_run_chains_the_stages_and_takes_empty_tables(spark, tmp_path):
     assert sorted(map(str, done)) == sorted(map(str, step.collect()))
     none = tables(spark, f"file://{tmp_path}/none", [], [], [])
     assert corpus_pipeline.run(spark, none).collect() == []
+
+
+def test_the_ngram_stage_gives_back_what_the_drivers_jvm_freed(spark, monkeypatch):
+    given, run = [], runtime.give_back_jvm
+    monkeypatch.setattr(runtime, "give_back_jvm", lambda s: given.append(run(s)))
+    text = " ".join(f"w{k}" for k in range(30))
+    stage = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"]
+    kept = stage(spark, spark.createDataFrame([(k, t, "en", "a", 1) for k, t in enumerate([text, text, text + " end", "other"])], SCHEMA), None).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 3] and len(given) > 5
