@@ -218,3 +218,18 @@ def test_the_driver_gives_back_what_its_jvm_freed(spark, monkeypatch):
     runtime.cut(spark.range(3)).collect()
     version = int(spark._jvm.System.getProperty("java.specification.version").split(".")[0])
     assert len(given) == 1 and (given[0] or version < 17)
+
+
+def test_estimates_of_size_do_not_grow_from_round_to_round(spark, monkeypatch):
+    """Each round's estimate was the product of the last one's, with four times its digits, until it filled the driver."""
+    sizes, run = [], components.cut
+
+    def cut(df, *past):
+        done = run(df, *past)
+        sizes.append(done._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        return done
+
+    monkeypatch.setattr(components, "cut", cut)
+    got = components.connected_components(spark.createDataFrame([(k, k + 1) for k in range(12)], "a long, b long")).collect()
+    assert {r.root for r in got} == {0} and len(got) == 13
+    assert len(sizes) > 3 and max(sizes) < 2**64
