@@ -261,3 +261,78 @@ def test_cosine_top_k(spark):
 def test_best_citation_decides_confidence(spark):
     rows = grounding.span_confidences(spans_table(spark, [(5, 0.35, "partial")])).first()
     assert (rows.confidence, rows.weak, rows.is_grounded, rows.source_ids) == (0.35, True, True, ["s0"])
+
+
+def test_sources_are_cut_as_by_expressions(spark):
+    """Passages and tokens by the Python cutter are those of the built-in expressions."""
+    from lodestar.functions import cutting
+
+    texts = [*TEXTS, "One. Two!", "a; b\nc", "One.\n\n\nTwo.", "v1.2 is 😀. Yes", " \t\x1c ", "A a.  B b. C c.;;d;\x85e? f! g", "1,200. 5% ’x’; Straße ² x²\n$5."]
+    for size, stride in ((1, 1), (2, 1), (2, 2), (5, 1), (3, 2), (0, 0)):
+        rows = adapters.from_texts(spark, texts)
+        want = {}
+        for r in passages.with_tokens(rows, "text", lambda x: passages.passages_of(x, size, stride)).collect():
+            want.setdefault(r.source_pos, []).append((r.passage_no, r.doc_char_start, r.doc_char_end, r.segment_start, r.segment_end, r.text, list(r.tokens)))
+        cut = cutting.tokenizer()
+        for r in rows.collect():
+            parts = cutting.passages(r.text, size, stride)
+            got = [(k, *p, r.text[p[0] : p[1]], t) for k, (p, t) in enumerate(zip(parts, cut(r.text, parts), strict=True))]
+            assert got == sorted(want.get(r.source_pos, [])), (size, stride, r.text)
+
+
+def test_best_passages_need_no_table_of_all(spark, monkeypatch):
+    """Retrieval over sources gives the rows of all scores, ties by position, whatever the blocks; a passage is not read twice."""
+    import random
+
+    from lodestar.operators import lexical, retrieval
+
+    rng = random.Random(3)
+    word = lambda: f"w{int(rng.paretovariate(0.6)) % 60}"
+    rows = [(c, p, " ".join(word() for _ in range(rng.randint(1, 9))) + ". " + " ".join(word() for _ in range(rng.randint(0, 9)))) for c in "ab" for p in range(150)]
+    sources = adapters.documents(spark.createDataFrame(rows, "corpus_id string, p long, text string"), position="p", corpus="corpus_id").repartition(3)
+    answers = spark.createDataFrame([(k, "ab"[k % 2], " ".join(word() for _ in range(rng.randint(1, 8)))) for k in range(30)] + [(30, "c", "w1"), (31, "a", "w1 unheard")], "query_id long, corpus_id string, answer string")
+    spans = api.prepare_spans(answers)
+    table = api.prepare_passages(sources)
+    idf = lexical.inverse_document_frequency(table)
+    want = sorted(map(str, lexical._best(lexical.lexical_scores(spans, table, idf), 7).select("query_id", "span_no", "candidate_index", "rank", "source_index", "lexical_score").collect()))
+    monkeypatch.setattr(api, "prepare_passages", None)
+    for most, cells, run in ((10**6, 4_000_000, 20_000), (10**6, 200, 16), (50, 4_000_000, 16)):
+        monkeypatch.setattr(lexical, "BEST", most)
+        monkeypatch.setattr(retrieval, "CELLS", cells)
+        monkeypatch.setattr(retrieval, "PASSAGES", run)
+        of = lexical.Sources(spans, sources, 7)
+        assert sorted(map(str, of.top.select("query_id", "span_no", "candidate_index", "rank", "source_index", "lexical_score").collect())) == want
+    texts = {(r.corpus_id, r.candidate_index): r.text for r in table.collect()}
+    assert all(texts[r.corpus_id, r.candidate_index] == r.text for r in of.texts.collect())
+    assert of.count() == len(texts)
+    assert len(api.align_citations(answers, sources).collect()) == 32
+
+
+@pytest.mark.parametrize("scale", [1, 2**46])
+def test_scorer_is_exact_for_any_weights(scale):
+    """Light terms, ties, runs of any size, and weights whose sums doubles would round."""
+    import numpy as np
+
+    from lodestar.operators.retrieval import Scorer, packed
+
+    rng = np.random.default_rng(5)
+    v, many, n, most = 40, 900, 25, 6
+    has = rng.random((many, v)) < 1 / np.arange(1, v + 1)
+    want_of = rng.random((n, v)) < 0.25
+    w = np.sort(rng.integers(1, 50, v)) * scale + rng.integers(0, 2, v)
+    src, no = rng.integers(0, 30, many), np.arange(many)
+    owner, term = np.nonzero(want_of)
+    order = np.lexsort((w[term], owner))
+    owner, term = owner[order], term[order]
+    s = Scorer(most, n, owner, term + 1, w[term], np.zeros(n, np.int64), v)
+    for lo in range(0, many, 70):
+        part = has[lo : lo + 70]
+        s.add(packed(part.sum(axis=1), np.nonzero(part)[1] + 1, np.arange(len(part)), no[lo : lo + 70] * 0, no[lo : lo + 70], src[lo : lo + 70]))
+    s.trim()
+    got = {}
+    for i, p, place in s.kept:
+        for a, b, c in zip(i.tolist(), p.tolist(), place.tolist(), strict=True):
+            got.setdefault(a, []).append((-b, *c))
+    for i in range(n):
+        sums = [(-sum(int(x) for x in w[want_of[i] & has[d]]), int(src[d]), d, 0) for d in range(many)]
+        assert sorted(got.get(i, [])) == sorted(x for x in sums if x[0] < 0)[:most]
