@@ -336,3 +336,37 @@ def test_scorer_is_exact_for_any_weights(scale):
     for i in range(n):
         sums = [(-sum(int(x) for x in w[want_of[i] & has[d]]), int(src[d]), d, 0) for d in range(many)]
         assert sorted(got.get(i, [])) == sorted(x for x in sums if x[0] < 0)[:most]
+
+
+def test_token_digests_hold_a_bounded_length_of_texts(spark, monkeypatch):
+    """Rows come by chunks of a batch, and are those of the expressions, a null text's null."""
+    import pyarrow as pa
+
+    from lodestar.functions import cutting
+
+    run = cutting.token_digests()
+    monkeypatch.setattr(cutting, "chunked", lambda batch, at, most=40, f=cutting.chunked: f(batch, at, most))
+    texts = [*TEXTS, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    got = list(run([batch]))
+    assert len(got) > 3 and max(b.num_rows for b in got) < len(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = passages.with_tokens(rows, "text", lambda r: r).select("doc_id", F.when(F.col("text").isNotNull(), F.size("tokens")), F.md5(F.array_join("tokens", " "))).orderBy("doc_id").collect()
+    assert [tuple(r.values()) for b in got for r in b.to_pylist()] == [tuple(r) for r in want]
+
+
+def test_cosine_products_are_taken_by_tiles(spark, monkeypatch):
+    """No product is larger than a tile, however many rows a batch has; the best are those of all pairs, ties by id."""
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "TILE", 8)
+    monkeypatch.setattr(vectors, "ROWS", 16)
+    v = np.random.default_rng(2).integers(-2, 3, (150, 3)).astype(float)
+    rows = spark.createDataFrame([("c", k, x.tolist()) for k, x in enumerate(v)], "corpus_id string, vec_id long, embedding array<double>").coalesce(1)
+    got = vectors.cosine_top(rows.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "query"), rows, 4)
+    found = {(r.query, r.rank): round(r.cosine, 9) for r in got.collect()}
+    size = np.sqrt((v * v).sum(axis=1))
+    for q in range(0, 150, 5):
+        if size[q]:
+            cos = np.sort(np.round(v @ v[q] / np.where(size == 0, 1, size) / size[q], 9))[::-1][:4]
+            assert [found[q, k + 1] for k in range(4)] == cos.tolist()
